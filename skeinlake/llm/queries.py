@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlake.llm import groups, leaks, lookalikes, survivors
+from skeinlake.llm import groups, history_index, leaks, lookalikes, mixing, survivors
 from skeinlake.sources.tables import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return history_index.repeated_media(table(spark, folder, "media"), table(spark, folder, "media_metadata"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.media_survivors(
         table(spark, folder, "quarantine_item"), table(spark, folder, "media"), table(spark, folder, "media_metadata")
@@ -28,6 +32,17 @@ def p7_removed(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.remove_spans(table(spark, folder, "documents"), table(spark, folder, "eval_item"), "doc_id", "text", "item_id", "text")
 
 
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    mixed, _ = mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+    return mixed.withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and actual share of each source."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[1]
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.lookalike_pairs(table(spark, folder, "documents"))
 
@@ -37,10 +52,13 @@ def p9_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_removed": p7_removed,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_canonical": p9_canonical,
 }

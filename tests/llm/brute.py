@@ -106,3 +106,44 @@ def p4(quarantine: list[dict], media: list[dict], metadata: list[dict], instant:
         if any(any(u.values()) for u in usable.values()):
             out.add((q, "record", min(candidates, key=lambda c: (-sum(usable[c].values()), trust(c)))))
     return out
+
+
+def p2(media: list[dict], metadata: list[dict], radius: int = 4) -> set[tuple]:
+    import numpy as np
+
+    batch, sha, current = {}, {}, {}
+    for m in media:
+        i = m["mediaId"]
+        batch[i] = min(batch.get(i, m["batchNo"]), m["batchNo"])
+        s = (m["sha256"] or "").strip().lower()
+        if re.fullmatch("[0-9a-f]{64}", s):
+            sha[i] = s
+    for m in metadata:
+        if m["mediaId"] not in current or m["extractedAt"] > current[m["mediaId"]]["extractedAt"]:
+            current[m["mediaId"]] = m
+    code = {}
+    for i, m in current.items():
+        try:
+            h = json.loads(m["raw"]).get("perceptualHash")
+        except (TypeError, ValueError, AttributeError):
+            continue
+        if isinstance(h, str) and re.fullmatch("[0-9a-f]{16}", h.strip().lower()):
+            code[i] = int(h.strip(), 16)
+    out, by_sha, ids, codes, n = set(), defaultdict(list), [], np.zeros(len(batch), dtype=np.uint64), 0
+    for i in sorted(batch, key=lambda i: (batch[i], i)):
+        hits = {}
+        if i in code:
+            for j in np.nonzero(np.bitwise_count(codes[:n] ^ np.uint64(code[i])) <= radius)[0]:
+                hits[ids[j]] = "near"
+        for j in by_sha[sha[i]] if i in sha else ():
+            hits[j] = "exact"
+        if hits:
+            out |= {(min(i, j), max(i, j), k) for j, k in hits.items()}
+            continue
+        if i in sha:
+            by_sha[sha[i]].append(i)
+        if i in code:
+            ids.append(i)
+            codes[n] = code[i]
+            n += 1
+    return out
