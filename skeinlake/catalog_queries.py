@@ -1,3 +1,597 @@
-"""Queries over the catalog operators."""
-QUERIES = {}
-ORACLES = {}
+"""Queries over the catalog operators with their SQL equivalents.
+
+The search queries run on orders as a catalog (``orders_catalog``), the views on wal_record, the
+rest on the catalog tables as they are.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skeinlake.functions import scalars as S
+from skeinlake.operators import pipeline, search, views
+from skeinlake.operators.search import SearchRequest
+from skeinlake.sources import log
+from skeinlake.sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a query, and its SQL if it has one."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+# Search
+
+
+def orders_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as a catalog view: status as kind, priority as type and camera, date as capture time."""
+    o = table(spark, folder, "orders")
+    key = F.col("o_orderkey")
+    lat, lon = F.col("o_totalprice") / 10000.0, (F.col("o_custkey") % 360 - 180).cast("double") + 0.25
+    taken = F.when(key % 17 != 0, F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("double"))
+    return o.select(
+        F.concat(F.lit("med_"), F.lpad(key.cast("string"), 10, "0")).alias("mediaId"),
+        (key % 101 != 0).alias("present"),
+        F.col("o_orderstatus").alias("kind"),
+        S.normalized("o_orderpriority").alias("mimeType"),
+        F.concat(F.lit("src_"), (F.col("o_custkey") % 7).cast("string")).alias("sourceId"),
+        F.when(key % 3 == 0, F.array(F.lit("exact"), F.lit("strong"))).when(key % 3 == 1, F.array(F.lit("probable"))).alias("levels"),
+        F.concat(F.lit("camera "), (F.col("o_custkey") % 3).cast("string")).alias("cameraModel"),
+        taken.alias("takenAt"),
+        S.taken_day(taken).alias("takenDay"),
+        S.gps_tile(lat, lon).alias("gpsTile"),
+        F.sha2(key.cast("string"), 256).alias("sha256"),
+    )
+
+
+CATALOG_SQL = """
+    WITH catalog AS (
+        SELECT 'med_' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS "mediaId", o_orderkey % 101 <> 0 AS present,
+               o_orderstatus AS kind, lower(trim(o_orderpriority)) AS "mimeType",
+               'src_' || CAST(o_custkey % 7 AS VARCHAR) AS "sourceId",
+               CASE o_orderkey % 3 WHEN 0 THEN ['exact', 'strong'] WHEN 1 THEN ['probable'] END AS levels,
+               'camera ' || CAST(o_custkey % 3 AS VARCHAR) AS "cameraModel",
+               CASE WHEN o_orderkey % 17 <> 0 THEN CAST(epoch_ms(o_orderdate) AS DOUBLE) END AS "takenAt",
+               CASE WHEN o_orderkey % 17 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS "takenDay",
+               printf('%.1f', floor(o_totalprice / 10000.0 * 10) / 10) || ':' ||
+               printf('%.1f', floor((CAST(o_custkey % 360 - 180 AS DOUBLE) + 0.25) * 10) / 10) AS "gpsTile",
+               sha256(CAST(o_orderkey AS VARCHAR)) AS sha256
+        FROM orders)
+"""
+PAGE = ["mediaId", "kind", "cameraModel", "takenAt", "takenDay", "gpsTile"]
+_PAGE_SQL = 'SELECT "mediaId", kind, "cameraModel", "takenAt", "takenDay", "gpsTile" FROM '
+_ASC, _DESC = 'ORDER BY "mediaId"', 'ORDER BY "takenAt" DESC NULLS LAST, "mediaId"'
+
+
+def _searched(name: str, request: SearchRequest, where: str, order: str = _ASC, limit: int = 100, offset: int = 0) -> None:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return search.page(orders_catalog(spark, folder), request).select(*PAGE)
+
+    QUERIES[name] = run
+    ORACLES[name] = f"{CATALOG_SQL} {_PAGE_SQL} (SELECT * FROM catalog WHERE {where} {order} LIMIT {limit} OFFSET {offset}) WHERE present"
+
+
+_searched("search_kind_asc", SearchRequest(kind="F"), "kind = 'F'")
+_searched("search_camera_taken_desc", SearchRequest(camera_model=" Camera 1 ", sort="takenAt_desc"), "\"cameraModel\" = 'camera 1'", _DESC)
+_searched("search_taken_day", SearchRequest(taken_day="1995-03-15", limit=500), "\"takenDay\" = '1995-03-15'", limit=500)
+_searched("search_mime_type", SearchRequest(mime_type="1-URGENT"), "\"mimeType\" = '1-urgent'")
+_searched("search_source", SearchRequest(source_id="src_3", sort="takenAt_desc", limit=50), "\"sourceId\" = 'src_3'", _DESC, 50)
+_searched("search_dup_level", SearchRequest(duplicate_level="strong"), "list_contains(levels, 'strong')")
+_searched("search_gps_tile", SearchRequest(gps_tile="15.0:-100.8", limit=500), "\"gpsTile\" = '15.0:-100.8'", limit=500)
+for _n, _prefix in {2: "a1", 3: "A1B", 4: "a1b2", 5: "a1b2c", 8: "a1b2c3d4", 9: "a1b2c3d4e"}.items():
+    _searched(f"search_sha_prefix_{_n}", SearchRequest(sha256_prefix=_prefix, limit=500), f"starts_with(sha256, '{_prefix.lower()}')", limit=500)
+_searched("search_sha_prefix_64", SearchRequest(sha256_prefix="6B86B273FF34FCE19D6B804EFF5A3F5747ADA4EAA22F1D49C01E52DDB7875B4B"), "sha256 = sha256('1')")
+_searched("search_invalid_prefix_empty", SearchRequest(sha256_prefix="zzz"), "false")
+_searched("search_conjunctive", SearchRequest(kind="O", camera_model="camera 2", source_id="src_1", duplicate_level="probable", sort="takenAt_desc"), "kind = 'O' AND \"cameraModel\" = 'camera 2' AND \"sourceId\" = 'src_1' AND list_contains(levels, 'probable')", _DESC)
+_searched("page_offset", SearchRequest(kind="P", limit=40, offset=20), "kind = 'P'", limit=40, offset=20)
+_searched("page_keyset_asc", SearchRequest(kind="F", limit=25, cursor="med_0000000500x"), "kind = 'F' AND \"mediaId\" > 'med_0000000500x'", limit=25)
+_CURSOR = "(SELECT \"takenAt\" FROM catalog WHERE \"mediaId\" = 'med_0000000100')"
+_searched("page_keyset_desc", SearchRequest(kind="F", sort="takenAt_desc", limit=25, cursor="med_0000000100"), f"kind = 'F' AND (\"takenAt\" < {_CURSOR} OR \"takenAt\" IS NULL OR (\"takenAt\" = {_CURSOR} AND \"mediaId\" > 'med_0000000100'))", _DESC, 25)
+_searched("page_unknown_cursor_desc", SearchRequest(kind="F", sort="takenAt_desc", limit=25, cursor="med_none"), "kind = 'F'", _DESC, 25)
+_searched("search_all_media", SearchRequest(limit=500), "present", limit=500)
+
+
+@query(CATALOG_SQL + "SELECT count(*) AS total FROM catalog WHERE kind = 'F' AND \"cameraModel\" = 'camera 0'")
+def search_total(spark, folder):
+    return search.total(orders_catalog(spark, folder), SearchRequest(kind="F", camera_model="camera 0"))
+
+
+@query(CATALOG_SQL + "SELECT value, count(*) AS n FROM (SELECT unnest(levels) AS value FROM catalog) GROUP BY 1")
+def facet_levels(spark, folder):
+    return search.facet_counts(orders_catalog(spark, folder), "levels")
+
+
+@query(CATALOG_SQL + 'SELECT "gpsTile" AS value, count(*) AS n FROM catalog GROUP BY 1')
+def facet_gps_tiles(spark, folder):
+    return search.facet_counts(orders_catalog(spark, folder), "gpsTile")
+
+
+@query("""
+    SELECT total, "limit", "offset", greatest(1, CAST(ceil(total / CAST("limit" AS DOUBLE)) AS BIGINT)) AS "pageCount",
+           least(CAST(floor("offset" / CAST("limit" AS DOUBLE)) AS BIGINT) + 1, greatest(1, CAST(ceil(total / CAST("limit" AS DOUBLE)) AS BIGINT))) AS "pageNumber",
+           "offset" > 0 AS "hasPrev", "offset" + "limit" < total AS "hasNext"
+    FROM (SELECT o_custkey % 50 AS total, 1 + o_orderkey % 9 AS "limit", o_orderkey % 60 AS "offset" FROM orders)
+""")
+def page_stats(spark, folder):
+    rows = table(spark, folder, "orders").selectExpr("o_custkey % 50 as total", "1 + o_orderkey % 9 as limit", "o_orderkey % 60 as offset")
+    return search.page_stats(rows)
+
+
+@query(CATALOG_SQL + """SELECT "mediaId" FROM catalog c WHERE present AND kind <> 'O' AND (contains("mediaId", 'a7') OR contains(sha256, 'a7')) ORDER BY 1 LIMIT 30""")
+def picker_filter(spark, folder):
+    catalog = orders_catalog(spark, folder)
+    return search.pick(catalog, catalog.where("kind = 'O'"), " A7 ", 30).select("mediaId")
+
+
+CURRENT_SQL = "current AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mediaId ORDER BY extractedAt DESC) AS rn FROM media_metadata) WHERE rn = 1)"
+MEDIA_SQL = "m AS (SELECT DISTINCT mediaId, sha256, size, sourceEntryId FROM media)"
+LINKS_SQL = "links AS (SELECT DISTINCT mediaId, sourceEntryId, lower(trim(level)) AS level FROM duplicate_link WHERE mediaId IS NOT NULL AND sourceEntryId IS NOT NULL AND lower(trim(level)) IN ('exact', 'strong', 'probable'))"
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The current metadata of each media, takenAt left as delivered."""
+    m = table(spark, folder, "media_metadata")
+    return m.groupBy("mediaId").agg(F.max(F.struct("extractedAt", *[c for c in m.columns if c not in ("mediaId", "extractedAt")])).alias("r")).select("mediaId", "r.*")
+
+
+def media_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "media").select("mediaId", "sha256", "size", "sourceEntryId").distinct()
+
+
+def link_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "duplicate_link").select("mediaId", "sourceEntryId", S.duplicate_level("level").alias("level"))
+    return rows.where("mediaId is not null and sourceEntryId is not null and level is not null").distinct()
+
+
+def latest_entries(spark: SparkSession, folder: str, snapshot: int) -> DataFrame:
+    """Entries of one delivery: the row seen last, the greatest path among equals."""
+    e = table(spark, folder, "entry_snapshot").where((F.col("snapshotNo") == snapshot) & F.col("sourceEntryId").isNotNull())
+    fields = ["sourceId", "path", "size", "mtimeMs", "state", "fingerprint"]
+    return e.groupBy("sourceEntryId").agg(F.max(F.struct("lastSeenAt", *fields)).alias("r")).select("sourceEntryId", "r.*")
+
+
+def _entries_sql(name: str, snapshot: int) -> str:
+    return f"""{name} AS (SELECT sourceEntryId, r.sourceId AS sourceId, r.path AS path, r.size AS size, r.mtimeMs AS mtimeMs, r.state AS state, r.fingerprint AS fingerprint
+        FROM (SELECT sourceEntryId, max(struct_pack(seen := lastSeenAt, sourceId := sourceId, path := path, size := size, mtimeMs := mtimeMs, state := state, fingerprint := fingerprint)) AS r
+              FROM entry_snapshot WHERE snapshotNo = {snapshot} AND sourceEntryId IS NOT NULL GROUP BY 1))"""
+
+
+@query(f"""
+    WITH {CURRENT_SQL}, {MEDIA_SQL}, {LINKS_SQL}, {_entries_sql('e', 6)},
+    levels AS (SELECT mediaId, level FROM links UNION SELECT m.mediaId, level FROM links JOIN m USING (sourceEntryId))
+    SELECT mediaId AS "mediaId", m.mediaId IS NOT NULL AS present, c.kind, nullif(lower(trim(c.cameraModel)), '') AS "cameraModel", e.sourceId AS "sourceId", l.levels
+    FROM m FULL JOIN current c USING (mediaId)
+         FULL JOIN (SELECT mediaId, string_agg(level, ',' ORDER BY level) AS levels FROM levels GROUP BY 1) l USING (mediaId)
+         LEFT JOIN e ON e.sourceEntryId = m.sourceEntryId
+    WHERE c.kind = 'photo' AND contains(l.levels, 'strong')
+""")
+def search_media_tables(spark, folder):
+    """Photos with a strong link, over the catalog tables."""
+    metadata = current(spark, folder).withColumn("takenAt", F.unix_millis(F.col("extractedAt").cast("timestamp")).cast("double"))
+    view = search.catalog_view(media_rows(spark, folder), metadata, latest_entries(spark, folder, 6), link_rows(spark, folder))
+    rows = search.matching(view, SearchRequest(kind="photo", duplicate_level="strong"))
+    return rows.select("mediaId", "present", "kind", "cameraModel", "sourceId", F.array_join("levels", ",").alias("levels"))
+
+
+# Views of the log
+
+EVENTS_SQL = "ev AS (SELECT min(seq) AS seq, arg_min(event.type, seq) AS type, arg_min(event.createdAt, seq) AS made, arg_min(event.payload, seq) AS p FROM wal_record GROUP BY event.eventId)"
+
+
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    return views.typed(table(spark, folder, "wal_record"))
+
+
+@query(f"""
+    WITH {EVENTS_SQL},
+    gone AS (SELECT p->>'$.sourceId' AS id, max(seq) AS r FROM ev WHERE type = 'SOURCE_REMOVED' GROUP BY 1),
+    up AS (SELECT p->>'$.source.sourceId' AS id, seq, p FROM ev WHERE type IN ('SOURCE_CREATED', 'SOURCE_UPDATED'))
+    SELECT up.id AS "sourceId", arg_max(p->>'$.source.path', seq) AS path, min(seq) AS pos
+    FROM up LEFT JOIN gone USING (id) WHERE r IS NULL OR seq > r GROUP BY 1
+""")
+def view_sources(spark, folder):
+    return views.sources(events(spark, folder)).select("sourceId", "path", "pos")
+
+
+@query(f"""
+    WITH {EVENTS_SQL},
+    up AS (SELECT p->>'$.entry.sourceEntryId' AS id, p->>'$.entry.sourceId' AS source, seq, p, lead(seq) OVER (PARTITION BY p->>'$.entry.sourceEntryId' ORDER BY seq) AS until
+           FROM ev WHERE type = 'SOURCE_ENTRY_UPSERTED'),
+    gone AS (SELECT p->>'$.sourceId' AS source, seq AS r FROM ev WHERE type = 'SOURCE_REMOVED'),
+    ended AS (SELECT id, max(r) AS r FROM up JOIN gone USING (source) WHERE r > seq AND (until IS NULL OR r < until) GROUP BY 1),
+    alive AS (SELECT up.* FROM up LEFT JOIN ended USING (id) WHERE r IS NULL OR seq > r),
+    last AS (SELECT id, max(seq) AS u, min(seq) AS pos, arg_max(p, seq) AS p FROM alive GROUP BY 1),
+    mark AS (SELECT p->>'$.sourceEntryId' AS id, max(seq) AS m FROM ev WHERE type = 'SOURCE_ENTRY_MARKED_MISSING' GROUP BY 1)
+    SELECT id AS "sourceEntryId", p->>'$.entry.sourceId' AS "sourceId", p->>'$.entry.path' AS path,
+           CASE WHEN m > u THEN 'missing' ELSE p->>'$.entry.state' END AS state, pos
+    FROM last LEFT JOIN mark USING (id)
+""")
+def view_entries(spark, folder):
+    return views.entries(events(spark, folder)).select("sourceEntryId", "sourceId", "path", "state", "pos")
+
+
+@query(f"""
+    WITH {EVENTS_SQL}
+    SELECT p->>'$.media.sourceEntryId' AS "sourceEntryId", arg_max(p->>'$.media.mediaId', seq) AS "mediaId", arg_max(p->>'$.media.sha256', seq) AS sha256, min(seq) AS pos
+    FROM ev WHERE type = 'MEDIA_IMPORTED' GROUP BY 1
+""")
+def view_media_by_entry(spark, folder):
+    return views.media(events(spark, folder), "sourceEntryId").select("sourceEntryId", "mediaId", "sha256", "pos")
+
+
+@query(f"""
+    WITH {EVENTS_SQL}
+    SELECT CASE type WHEN 'MEDIA_IMPORTED' THEN p->>'$.media.sourceEntryId' ELSE p->>'$.sourceEntryId' END AS "sourceEntryId",
+           arg_max(CASE type WHEN 'MEDIA_IMPORTED' THEN 'imported' ELSE 'duplicate' END, seq) AS status
+    FROM ev WHERE type IN ('MEDIA_IMPORTED', 'MEDIA_SKIPPED_DUPLICATE_EXACT') GROUP BY 1
+""")
+def view_ingest_status(spark, folder):
+    return views.ingest_status(events(spark, folder)).select("sourceEntryId", "status")
+
+
+@query(f"""
+    WITH {EVENTS_SQL}, j AS (SELECT p->>'$.jobId' AS id, seq, type, made, p FROM ev WHERE type LIKE 'JOB_%')
+    SELECT id AS "jobId", arg_min(p->>'$.kind', seq) FILTER (type = 'JOB_ENQUEUED') AS kind,
+           coalesce(arg_max(CASE type WHEN 'JOB_STARTED' THEN 'running' WHEN 'JOB_FAILED' THEN 'failed' WHEN 'JOB_COMPLETED' THEN 'completed' ELSE 'queued' END, seq) FILTER (type <> 'JOB_ENQUEUED'), 'queued') AS status,
+           CAST(coalesce(max(CAST(p->>'$.attempt' AS INTEGER)), 0) AS INTEGER) AS attempts, min(seq) FILTER (type = 'JOB_ENQUEUED') AS pos
+    FROM j GROUP BY 1 HAVING min(seq) FILTER (type = 'JOB_ENQUEUED') IS NOT NULL
+""")
+def view_jobs(spark, folder):
+    return views.jobs(events(spark, folder)).select("jobId", "kind", "status", "attempts", "pos")
+
+
+@query(f"""
+    WITH {EVENTS_SQL}, j AS (SELECT p->>'$.jobId' AS id, type FROM ev WHERE type LIKE 'JOB_%')
+    SELECT DISTINCT id AS "jobId" FROM j WHERE id NOT IN (SELECT id FROM j WHERE type = 'JOB_ENQUEUED' AND id IS NOT NULL)
+""")
+def orphan_jobs(spark, folder):
+    return views.orphan_job_events(events(spark, folder))
+
+
+@query(f"""
+    WITH {EVENTS_SQL},
+    up AS (SELECT p->>'$.entry.sourceEntryId' AS id, p->>'$.entry.sourceId' AS source, seq FROM ev WHERE type = 'SOURCE_ENTRY_UPSERTED'),
+    gone AS (SELECT p->>'$.sourceId' AS source, seq AS r FROM ev WHERE type = 'SOURCE_REMOVED'),
+    im AS (SELECT p->>'$.media.mediaId' AS media, p->>'$.media.sourceEntryId' AS id, seq AS t FROM ev WHERE type = 'MEDIA_IMPORTED'),
+    held AS (SELECT media, t, max(seq) AS seq, arg_max(source, seq) AS source FROM im JOIN up USING (id) WHERE seq < t GROUP BY 1, 2),
+    ok AS (SELECT * FROM held WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.source = held.source AND r > seq AND r < t))
+    SELECT media AS "mediaId", arg_max(source, t) AS "sourceId" FROM ok GROUP BY 1
+""")
+def view_index_asof(spark, folder):
+    return views.import_sources(events(spark, folder))
+
+
+@query(f"""
+    WITH {EVENTS_SQL}
+    SELECT 'media' AS kind, count(DISTINCT p->>'$.media.mediaId') AS n FROM ev WHERE type = 'MEDIA_IMPORTED'
+    UNION ALL SELECT 'ingestStatus', count(DISTINCT p->>'$.media.sourceEntryId') FROM ev WHERE type = 'MEDIA_IMPORTED'
+""")
+def snapshot_union(spark, folder):
+    e = events(spark, folder)
+    return log.snapshot_union({"media": views.media(e), "ingestStatus": views.ingest_status(e)}).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+    WITH {EVENTS_SQL}, cut AS (SELECT CAST(max(seq) / 2 AS BIGINT) AS c FROM wal_record),
+    up AS (SELECT p->>'$.media.mediaId' AS id, seq, p FROM ev, cut WHERE type = 'MEDIA_IMPORTED')
+    SELECT id AS "mediaId", arg_max(p->>'$.media.sha256', seq) AS sha256, bool_or(seq > c) AS "inTail" FROM up, cut GROUP BY 1
+""")
+def snapshot_plus_tail(spark, folder):
+    """Media from a snapshot of the first half of the log and the tail after it."""
+    e = events(spark, folder)
+    cut = table(spark, folder, "wal_record").agg(F.round(F.max("seq") / 2).cast("bigint").alias("c"))
+    halves = e.where("type = 'MEDIA_IMPORTED'").crossJoin(F.broadcast(cut))  # one row
+    snapshot = views.media(halves.where("seq <= c")).select("mediaId", "sha256", F.lit(0).alias("at"))
+    tail = views.media(halves.where("seq > c")).select("mediaId", "sha256", F.lit(1).alias("at"))
+    both = snapshot.unionByName(tail).groupBy("mediaId").agg(F.max_by("sha256", "at").alias("sha256"), (F.max("at") == 1).alias("inTail"))
+    return both
+
+
+@query("""
+    WITH first AS (SELECT seq, min(hash) AS hash FROM wal_record GROUP BY 1),
+    l AS (SELECT w.seq, w.schemaVersion = 1 AS version_ok, (w.seq = 1 OR b.seq IS NOT NULL) AND c.n = 1 AS seq_ok, w.prevHash IS NOT DISTINCT FROM b.hash AS prev_ok
+          FROM wal_record w LEFT JOIN first b ON b.seq = w.seq - 1 JOIN (SELECT seq, count(*) AS n FROM wal_record GROUP BY 1) c ON c.seq = w.seq)
+    SELECT version_ok, seq_ok, prev_ok, count(*) AS n FROM l GROUP BY ALL
+""")
+def log_chain_check(spark, folder):
+    rows = table(spark, folder, "wal_record").withColumn("line", F.lit(None).cast("string"))
+    return log.checks(rows).groupBy("version_ok", "seq_ok", "prev_ok").agg(F.count("*").alias("n"))
+
+
+@query()
+def log_signed(spark, folder):
+    """HMACs of the log's event payloads in canonical form."""
+    rows = table(spark, folder, "wal_record").select("seq", "event.payload").distinct()
+    return rows.select("seq", log.hmac_sha256(log._unsigned("payload"), b"test-secret").alias("mac"))
+
+
+@query("SELECT name, rank FROM (SELECT CAST(sourceId AS VARCHAR) AS name, row_number() OVER (ORDER BY createdAt DESC, sourceId) AS rank FROM (SELECT sourceId, max(createdAt) AS createdAt FROM media_source GROUP BY 1)) WHERE rank <= 5")
+def retention_topn(spark, folder):
+    names = table(spark, folder, "media_source").groupBy(F.col("sourceId").alias("name")).agg(F.max("createdAt").alias("mtime"))
+    kept = log.retained(names, None, 5)
+    return kept.select("name", F.row_number().over(Window.orderBy(F.col("mtime").desc(), "name")).cast("bigint").alias("rank"))
+
+
+# Pipeline
+
+
+@query(f"""
+    WITH {_entries_sql('c', 5)}, {_entries_sql('l', 6)},
+    k AS (SELECT sourceId || '/' || path AS path, max(sourceEntryId) AS id, arg_max(size, sourceEntryId) AS size, arg_max(mtimeMs, sourceEntryId) AS mtimeMs, arg_max(state, sourceEntryId) AS state FROM c WHERE path IS NOT NULL GROUP BY 1),
+    s AS (SELECT sourceId || '/' || path AS path, arg_max(size, sourceEntryId) AS size, arg_max(mtimeMs, sourceEntryId) AS mtimeMs FROM l WHERE path IS NOT NULL GROUP BY 1)
+    SELECT path, id AS "sourceEntryId", CASE WHEN s.path IS NULL THEN 'missing' WHEN k.path IS NULL THEN 'new'
+           WHEN s.size IS NOT DISTINCT FROM k.size AND s.mtimeMs IS NOT DISTINCT FROM k.mtimeMs THEN 'unchanged' ELSE 'changed' END AS outcome
+    FROM s FULL JOIN k USING (path) WHERE s.path IS NOT NULL OR k.state IS DISTINCT FROM 'missing'
+""")
+def scan_diff(spark, folder):
+    def files(snapshot):
+        rows = latest_entries(spark, folder, snapshot).where("path is not null")
+        keyed = rows.groupBy(F.concat_ws("/", "sourceId", "path").alias("path"))
+        return keyed.agg(F.max(F.struct("sourceEntryId", "size", "mtimeMs", "state")).alias("r")).select("path", "r.*")
+
+    return pipeline.scan_diff(files(6).select("path", "size", "mtimeMs"), files(5))
+
+
+@query(f"""
+    WITH v AS (SELECT mediaId, min(batchNo) AS b, max(lower(trim(sha256))) AS sha FROM media WHERE regexp_full_match(lower(trim(sha256)), '[0-9a-f]{{64}}') GROUP BY 1),
+    known AS (SELECT sha, min(mediaId) AS old FROM v WHERE b = 1 GROUP BY 1),
+    f AS (SELECT sha, min(mediaId) AS first FROM v WHERE b > 1 GROUP BY 1)
+    SELECT v.mediaId AS entry, v.sha AS sha256, old IS NULL AND v.mediaId = first AS imported,
+           CASE WHEN NOT (old IS NULL AND v.mediaId = first) THEN coalesce(old, first) END AS original
+    FROM v JOIN f USING (sha) LEFT JOIN known USING (sha) WHERE b > 1
+""")
+def exact_dedup(spark, folder):
+    """Media of later batches against those of the first."""
+    m = table(spark, folder, "media").select("mediaId", "batchNo", S.sha256_hex("sha256").alias("sha256")).where("sha256 is not null")
+    m = m.groupBy("mediaId").agg(F.min("batchNo").alias("b"), F.max("sha256").alias("sha256"))
+    incoming = m.where("b > 1").select(F.col("mediaId").alias("entry"), "sha256", F.col("mediaId").alias("rank"))
+    return pipeline.exact_dedup(incoming, m.where("b = 1").select("sha256", "mediaId"))
+
+
+def _near_items(spark, folder):
+    raw = F.try_variant_get(F.try_parse_json("raw"), "$.perceptualHash", "string")
+    hashes = current(spark, folder).select("mediaId", S.perceptual_hash(raw).alias("phash"))
+    heads = latest_entries(spark, folder, 6).select(F.col("sourceEntryId"), S.head_key("fingerprint").alias("head"), "state")
+    rows = media_rows(spark, folder).join(hashes, "mediaId").where("phash is not null").join(heads, "sourceEntryId", "left")
+    return rows.select(F.col("mediaId").alias("entry"), "mediaId", "head", "phash", F.lit("active").alias("state"), F.col("mediaId").alias("rank"))
+
+
+NEAR_SQL = f"""
+    WITH {CURRENT_SQL}, {MEDIA_SQL}, {_entries_sql('e', 6)},
+    i AS (SELECT m.mediaId AS id, lower(trim(try_cast(c.raw AS JSON)->>'$.perceptualHash')) AS h,
+                 CASE WHEN len(string_split(e.fingerprint, ':')) = 3 AND try_cast(split_part(e.fingerprint, ':', 1) AS BIGINT) IS NOT NULL AND split_part(e.fingerprint, ':', 3) <> ''
+                      THEN split_part(e.fingerprint, ':', 1) || ':' || split_part(e.fingerprint, ':', 3) END AS head
+          FROM m JOIN current c USING (mediaId) LEFT JOIN e USING (sourceEntryId)
+          WHERE regexp_full_match(lower(trim(try_cast(c.raw AS JSON)->>'$.perceptualHash')), '[0-9a-f]{{16}}')),
+    p AS (SELECT a.id, b.id AS candidate, CASE WHEN a.head = b.head THEN 0 ELSE 1 END AS way,
+                 bit_count(xor(CAST('0x' || a.h AS UBIGINT), CAST('0x' || b.h AS UBIGINT))) AS d
+          FROM i a JOIN i b ON a.id <> b.id AND left(a.h, 4) = left(b.h, 4)
+          UNION SELECT a.id, b.id, 0, bit_count(xor(CAST('0x' || a.h AS UBIGINT), CAST('0x' || b.h AS UBIGINT))) FROM i a JOIN i b ON a.id <> b.id AND a.head = b.head),
+    q AS (SELECT id, candidate, min(way) AS way, min(d) AS d FROM p WHERE d <= 10 GROUP BY 1, 2)
+"""
+
+
+@query(NEAR_SQL + "SELECT id AS entry, candidate, CAST(d AS INTEGER) AS distance FROM q")
+def near_dup_pairs(spark, folder):
+    pairs = pipeline.near_pairs(_near_items(spark, folder), 10)
+    return pairs.select("entry", "candidate", F.col("distance").cast("int").alias("distance"))
+
+
+@query(NEAR_SQL + """
+    SELECT id AS entry, CASE WHEN min(d) <= 4 THEN 'strong' ELSE 'quarantine' END AS outcome,
+           arg_min(candidate, struct_pack(d := d, way := way, c := candidate)) FILTER (d <= 4) AS "mediaId", CAST(min(d) FILTER (d <= 4) AS INTEGER) AS distance,
+           CASE WHEN min(d) > 4 THEN id || ',' || string_agg(candidate, ',' ORDER BY way, candidate) END AS candidates
+    FROM q GROUP BY id
+""")
+def near_dup_classified(spark, folder):
+    found = pipeline.classify_near(_near_items(spark, folder))
+    return found.select("entry", "outcome", "mediaId", F.col("distance").cast("int").alias("distance"), F.array_join("candidateMediaIds", ",").alias("candidates"))
+
+
+@query(f"""
+    WITH {CURRENT_SQL}, {MEDIA_SQL}, {LINKS_SQL}
+    SELECT m.mediaId AS "mediaId", c.kind, c.mimeType AS "mimeType", l.links
+    FROM m LEFT JOIN current c USING (mediaId)
+         LEFT JOIN (SELECT mediaId, string_agg(level || '>' || sourceEntryId, ',' ORDER BY level, sourceEntryId) AS links FROM links GROUP BY 1) l USING (mediaId)
+""")
+def media_detail(spark, folder):
+    rows = pipeline.media_detail(media_rows(spark, folder), current(spark, folder), link_rows(spark, folder))
+    shown = F.array_join(F.transform("links", lambda x: F.concat_ws(">", x["level"], x["sourceEntryId"])), ",")
+    return rows.select("mediaId", "kind", "mimeType", shown.alias("links"))
+
+
+@query(f"""
+    WITH {CURRENT_SQL}, {MEDIA_SQL}, {LINKS_SQL}, {_entries_sql('e', 6)}, one AS (SELECT sourceEntryId, min(mediaId) AS mediaId FROM m GROUP BY 1),
+    q AS (SELECT sourceEntryId, min(quarantineId) AS quarantineId FROM quarantine_item GROUP BY 1)
+    SELECT e.sourceEntryId AS "sourceEntryId", CASE WHEN one.mediaId IS NULL THEN 'none' ELSE 'imported' END AS status, one.mediaId AS "ownMediaId",
+           c.kind AS "mediaKind", q.quarantineId AS "quarantineId", coalesce(l.n, 0) AS links
+    FROM e LEFT JOIN one USING (sourceEntryId) LEFT JOIN current c ON c.mediaId = one.mediaId LEFT JOIN q USING (sourceEntryId)
+         LEFT JOIN (SELECT sourceEntryId, count(*) AS n FROM links GROUP BY 1) l USING (sourceEntryId)
+""")
+def entry_detail(spark, folder):
+    media = media_rows(spark, folder).groupBy("sourceEntryId").agg(F.min_by(F.struct("mediaId", "sha256"), "mediaId").alias("r")).select("sourceEntryId", "r.*")
+    ingest = media.select("sourceEntryId", F.lit("imported").alias("status"))
+    held = table(spark, folder, "quarantine_item").groupBy("sourceEntryId").agg(F.min("quarantineId").alias("quarantineId"))
+    rows = pipeline.entry_detail(latest_entries(spark, folder, 6), ingest, media, current(spark, folder), held, link_rows(spark, folder))
+    return rows.select("sourceEntryId", "status", "ownMediaId", "mediaKind", "quarantineId", F.coalesce(F.size("links"), F.lit(0)).cast("bigint").alias("links"))
+
+
+@query("""
+    SELECT DISTINCT quarantineId AS "albumId", i AS "mediaId" FROM (SELECT quarantineId, unnest(candidateMediaIds) AS i FROM quarantine_item)
+    WHERE i IS NOT NULL AND i NOT IN (SELECT mediaId FROM media WHERE mediaId IS NOT NULL)
+""")
+def album_members_missing(spark, folder):
+    lists = table(spark, folder, "quarantine_item").select(F.col("quarantineId").alias("albumId"), F.filter("candidateMediaIds", lambda x: x.isNotNull()).alias("mediaIds"))
+    return pipeline.missing_members(lists, media_rows(spark, folder))
+
+
+@query("""
+    SELECT DISTINCT mediaId AS "mediaId", CASE kind WHEN 'photo' THEN 'thumb' ELSE 'poster' END AS asset FROM media_metadata
+    WHERE kind IN ('photo', 'video') AND mediaId NOT IN (SELECT mediaId FROM media WHERE batchNo = 1)
+""")
+def derived_plan(spark, folder):
+    present = table(spark, folder, "media").where("batchNo = 1").select("mediaId", F.explode(F.array(F.lit("thumb"), F.lit("poster"))).alias("asset"))
+    return pipeline.derived_plan(table(spark, folder, "media_metadata"), present)
+
+
+@query("""
+    SELECT DISTINCT sha AS sha256, 'media/sha256/' || left(sha, 2) || '/' || substr(sha, 3, 2) || '/' || sha AS path
+    FROM (SELECT lower(trim(sha256)) AS sha, batchNo FROM media) WHERE regexp_full_match(sha, '[0-9a-f]{64}') AND batchNo > 6
+      AND sha NOT IN (SELECT lower(trim(sha256)) FROM media WHERE batchNo <= 6 AND sha256 IS NOT NULL)
+""")
+def vault_new_contents(spark, folder):
+    m = table(spark, folder, "media").select(S.sha256_hex("sha256").alias("sha256"), "batchNo")
+    return pipeline.new_contents(m.where("batchNo > 6"), m.where("batchNo <= 6"))
+
+
+@query("""
+    WITH c AS (SELECT quarantineId, status, acceptedMediaId, createdAt FROM quarantine_item WHERE status <> 'pending'),
+    f AS (SELECT quarantineId, arg_min(status, createdAt) AS status, arg_min(coalesce(acceptedMediaId, ''), createdAt) AS media FROM c GROUP BY 1),
+    p AS (SELECT quarantineId, any_value(candidateMediaIds) AS ids FROM (SELECT DISTINCT quarantineId, candidateMediaIds FROM quarantine_item WHERE status = 'pending') GROUP BY 1 HAVING count(*) = 1)
+    SELECT f.quarantineId AS "quarantineId", CASE WHEN p.quarantineId IS NULL THEN 'not_found' WHEN f.status = 'accepted' AND NOT coalesce(list_contains(p.ids, f.media), false) THEN 'not_a_candidate' END AS error
+    FROM f LEFT JOIN p USING (quarantineId)
+""")
+def quarantine_decisions(spark, folder):
+    q = table(spark, folder, "quarantine_item")
+    action = F.when(F.col("status") == "accepted", "accept").otherwise("reject")
+    commands = q.where("status <> 'pending'").select("quarantineId", action.alias("action"), F.coalesce("acceptedMediaId", F.lit("")).alias("mediaId"), F.col("createdAt").alias("at"))
+    items = q.where("status = 'pending'").select("quarantineId", "candidateMediaIds").distinct()
+    single = items.groupBy("quarantineId").agg(F.first("candidateMediaIds").alias("candidateMediaIds"), F.count("*").alias("n")).where("n = 1")
+    return pipeline.decide(single.withColumn("status", F.lit("pending")), commands).select("quarantineId", "error")
+
+
+@query("""
+    SELECT (SELECT count(*) FROM media_source) AS sources, (SELECT count(*) FROM media) AS media,
+           (SELECT count(*) FROM quarantine_item WHERE status = 'pending') AS "quarantinePending", (SELECT count(*) FROM duplicate_link) AS links
+""")
+def app_metrics(spark, folder):
+    t = lambda n: table(spark, folder, n)
+    return pipeline.metrics({"sources": (t("media_source"), None), "media": (t("media"), None), "quarantinePending": (t("quarantine_item"), F.col("status") == "pending"), "links": (t("duplicate_link"), None)})
+
+
+@query("""
+    WITH r AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+    SELECT event_type, min(v) AS min_v, max(v) FILTER (i = least(floor(n * 0.5), n - 1)) AS p50, max(v) FILTER (i = least(floor(n * 0.95), n - 1)) AS p95, max(v) AS max_v, round(avg(v), 6) AS avg_v
+    FROM r GROUP BY 1
+""")
+def latency_percentiles(spark, folder):
+    return pipeline.latency_stats(table(spark, folder, "events"), "event_type", "value").withColumn("avg_v", F.round("avg_v", 6))
+
+
+@query("""
+    WITH r AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
+    s AS (SELECT event_type, max(v) FILTER (i = least(floor(n * 0.95), n - 1)) AS p95, avg(v) AS a FROM r GROUP BY 1)
+    SELECT event_type AS name, printf('p95 %.2f > 10.00', p95) AS violation FROM s WHERE p95 > 10
+    UNION ALL SELECT event_type, printf('avg %.2f > 5.00', a) FROM s WHERE a > 5
+""")
+def perf_budget(spark, folder):
+    return pipeline.budget_violations(pipeline.latency_stats(table(spark, folder, "events"), "event_type", "value"), "event_type", 10.0, 5.0)
+
+
+# Scalars
+
+
+@query("""
+    SELECT DISTINCT fingerprint, CASE WHEN len(string_split(fingerprint, ':')) = 3 AND try_cast(split_part(fingerprint, ':', 1) AS BIGINT) IS NOT NULL AND split_part(fingerprint, ':', 3) <> ''
+           THEN CAST(CAST(split_part(fingerprint, ':', 1) AS BIGINT) AS VARCHAR) || ':' || split_part(fingerprint, ':', 3) END AS head FROM entry_snapshot WHERE fingerprint IS NOT NULL
+""")
+def fingerprint_parse(spark, folder):
+    rows = table(spark, folder, "entry_snapshot").where("fingerprint is not null").select("fingerprint").distinct()
+    return rows.select("fingerprint", S.head_key("fingerprint").alias("head"))
+
+
+def _case(table_: dict[str, str], ext: str) -> str:
+    return f"CASE {ext} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table_.items()) + " END"
+
+
+_EXT = "lower(regexp_extract(regexp_extract(path, '([^/]*)/*$', 1), '^.+?(\\.[^.]*)$', 1))"
+
+
+@query(f"""
+    SELECT DISTINCT path, {_case(dict.fromkeys(S.PHOTO_EXTENSIONS, 'photo') | dict.fromkeys(S.VIDEO_EXTENSIONS, 'video'), _EXT).replace(' END', " ELSE 'unknown' END")} AS kind,
+           {_case(S.METADATA_MIME, _EXT)} AS mime, {_case(S.SERVED_MIME, _EXT).replace(' END', " ELSE 'application/octet-stream' END")} AS served
+    FROM entry_snapshot WHERE path IS NOT NULL
+""")
+def mime_kind(spark, folder):
+    rows = table(spark, folder, "entry_snapshot").where("path is not null").select("path").distinct()
+    return rows.select("path", S.media_kind("path").alias("kind"), S.metadata_mime("path").alias("mime"), S.served_mime("path").alias("served"))
+
+
+@query("""
+    WITH p AS (SELECT DISTINCT path FROM entry_snapshot WHERE path IS NOT NULL),
+    l AS (SELECT path, array_to_string(string_split(path, '/')[1:n], '/') AS part FROM p, unnest(range(1, len(string_split(path, '/')) + 1)) AS t(n))
+    SELECT path, bool_or(regexp_full_match(part, '201[^/]|20[^/][^/]/[^/]*a[^/]*|[^/]*a[^/]*|.*\\.png|.*\\.PNG')) AS excluded FROM l GROUP BY 1
+""")
+def glob_filter(spark, folder):
+    rows = table(spark, folder, "entry_snapshot").where("path is not null").select("path").distinct()
+    return rows.select("path", S.excluded("path", ["201?", "20??/*a*", "*a*", "**.png", "**.PNG"]).alias("excluded"))
+
+
+@query("SELECT c_custkey, printf('%.1f', floor(c_acctbal / 100 * 10) / 10) || ':' || printf('%.1f', floor(c_acctbal / 77 * 10) / 10) AS tile FROM customer")
+def gps_tile(spark, folder):
+    return table(spark, folder, "customer").select("c_custkey", S.gps_tile(F.col("c_acctbal") / 100, F.col("c_acctbal") / 77).alias("tile"))
+
+
+@query("SELECT DISTINCT createdAt AS ms, strftime(make_timestamp(CAST(floor(createdAt) AS BIGINT) * 1000), '%Y-%m-%d') AS day FROM duplicate_link")
+def taken_day(spark, folder):
+    return table(spark, folder, "duplicate_link").select(F.col("createdAt").alias("ms"), S.taken_day("createdAt").alias("day")).distinct()
+
+
+_BITS = "list_aggregate([CASE WHEN embedding[i + 1] > embedding[(i + 1) % 64 + 1] THEN '1' ELSE '0' END for i in range(64)], 'string_agg', '')"
+
+
+@query(f"SELECT vec_id, {_BITS} AS bits FROM embeddings")
+def sign_bits(spark, folder):
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.get("embedding", i) > F.get("embedding", (i + 1) % 64), "1").otherwise("0"))
+    return table(spark, folder, "embeddings").select("vec_id", F.array_join(bits, "").alias("bits"))
+
+
+@query("SELECT quarantineId AS id, (SELECT string_agg(x, ',' ORDER BY spot) FROM (SELECT x, min(i) AS spot FROM (SELECT trim(candidateMediaIds[i], ' \t') AS x, i FROM unnest(range(1, len(candidateMediaIds) + 1)) AS t(i)) WHERE x <> '' GROUP BY x)) AS ids FROM quarantine_item WHERE candidateMediaIds IS NOT NULL")
+def array_ordered_distinct(spark, folder):
+    rows = table(spark, folder, "quarantine_item").where("candidateMediaIds is not null")
+    joined = S.ordered_distinct("candidateMediaIds")
+    return rows.select(F.col("quarantineId").alias("id"), F.when(F.size(joined) > 0, F.array_join(joined, ",")).alias("ids"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(least(30000, 500 * pow(2, l_linenumber - 1)) AS BIGINT) AS delay FROM lineitem")
+def backoff(spark, folder):
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", S.retry_delay_ms(F.col("l_linenumber")).alias("delay"))
+
+
+@query("""
+    SELECT mediaId AS "mediaId", CASE WHEN size < 1024 THEN CAST(size AS VARCHAR) || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576.0) ELSE printf('%.1f GB', size / 1073741824.0) END AS shown
+    FROM (SELECT DISTINCT mediaId, size FROM media WHERE size IS NOT NULL)
+""")
+def format_bytes(spark, folder):
+    rows = table(spark, folder, "media").where("size is not null").select("mediaId", "size").distinct()
+    return rows.select("mediaId", S.format_bytes(F.col("size")).alias("shown"))
+
+
+@query("SELECT event_id, 64 * value AS v, CAST(bit_count(xor(CAST(event_id AS UBIGINT), CAST(user_id AS UBIGINT))) AS INTEGER) AS bits FROM events")
+def hamming(spark, folder):
+    h = lambda c: F.lpad(F.hex(c), 16, "0")
+    rows = table(spark, folder, "events")
+    return rows.select("event_id", (F.col("value") * 64).alias("v"), S.hamming(h("event_id"), h("user_id")).cast("int").alias("bits"))
+
+
+@query("SELECT i, repeat(lpad(lower(to_hex(i)), 8, '0'), 8) AS sha FROM (SELECT o_orderkey AS i FROM orders)")
+def bench_sha(spark, folder):
+    return table(spark, folder, "orders").select(F.col("o_orderkey").alias("i"), S.bench_sha(F.col("o_orderkey")).alias("sha"))
+
+
+@query("SELECT DISTINCT level, CASE WHEN lower(trim(level)) IN ('exact', 'strong', 'probable') THEN lower(trim(level)) END AS known FROM duplicate_link")
+def level_normalized(spark, folder):
+    return table(spark, folder, "duplicate_link").select("level", S.duplicate_level("level").alias("known")).distinct()
