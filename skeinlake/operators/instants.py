@@ -179,8 +179,9 @@ def normalise(rows: DataFrame, value: str, zone: str, source: str, confidence: f
     """
     work = Workspace(rows.sparkSession, "instants")
     added = ["instantMs", "notation", "posterior", "status"]
-    kept = rows.drop(*[c for c in (*added, "readings") if c not in (value, zone, source)])
-    read = readings(kept.withColumns({"_value": F.col(value), "_tz": F.col(zone).cast("string"), "_source": F.col(source).cast("string")}), "_value", "_tz")
+    # The input travels as one struct, so that none of its names can clash with those used here.
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), F.col(value).cast("string").alias("_value"), F.col(zone).cast("string").alias("_tz"), F.col(source).cast("string").alias("_source"))
+    read = readings(packed, "_value", "_tz")
     read = work.save(read.drop("_value", "_tz").withColumn("_set", F.transform("readings", lambda r: r["notation"])), "read")
     # One row per source and set of notations: what the mixtures are fitted on doesn't grow with repeated values.
     sets = read.where(F.size("_set") > 0).groupBy(F.coalesce("_source", F.lit("")).alias("source"), F.col("_set").alias("notations")).agg(F.count("*").alias("n"))
@@ -194,11 +195,11 @@ def normalise(rows: DataFrame, value: str, zone: str, source: str, confidence: f
     joined = joined.withColumn("_best", best).withColumn("_at", F.array_position("_posterior", F.col("_best")).cast("int"))
     chosen = F.when(F.col("_best") >= confidence, F.try_element_at("readings", F.col("_at")))
     status = F.when(F.size("_set") == 0, "none").when(F.size("_set") == 1, "single").when(F.col("_best") >= confidence, "resolved").otherwise("ambiguous")
-    hidden = ("readings", "_source", "_set", "_fit_source", "_fit_set", "_posterior", "_best", "_at", "_chosen")
-    return (
-        joined.withColumn("_chosen", chosen)
-        .withColumns({"instantMs": F.col("_chosen.ms"), "notation": F.col("_chosen.notation"), "posterior": F.col("_best"), "status": status})
-        .drop(*hidden)
+    shown = joined.withColumn("_chosen", chosen).withColumn("_status", status)
+    return shown.select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in rows.columns if c not in added],
+        F.col("_chosen.ms").alias("instantMs"),
+        F.col("_chosen.notation").alias("notation"),
+        F.col("_best").alias("posterior"),
+        F.col("_status").alias("status"),
     )
-
-
