@@ -63,4 +63,33 @@ QUERIES = {
     "p9_canonical": p9_canonical,
 }
 
-ORACLES: dict[str, str] = {}
+_ORDER = sorted(lookalikes.ONE, key=lambda c: not lookalikes.ONE[c])
+_TRANSLATED = f"translate(text, '{''.join(_ORDER)}', '{''.join(lookalikes.ONE[c] for c in _ORDER).replace(chr(39), chr(39) * 2)}')"
+_FORM = f"nfc_normalize({_TRANSLATED})"
+_GRAMS = "SELECT {key}, list_aggregate(w[i:i + 11], 'string_agg', ' ') AS g FROM (SELECT {key}, regexp_extract_all(lower({form}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL), unnest(range(1, len(w) - 10)) AS t(i)"
+
+#: The SQL leaves out letters whose mapped form has several characters, which the test tables don't hold.
+ORACLES = {
+    "p6_found": """
+        WITH RECURSIVE s(level, ord) AS (VALUES ('exact', 1), ('strong', 2), ('probable', 3)),
+        l AS (SELECT DISTINCT lower(trim(level)) AS level, mediaId AS a, sourceEntryId AS b FROM duplicate_link WHERE mediaId IS NOT NULL AND sourceEntryId IS NOT NULL),
+        t AS (SELECT s.level, a, b FROM l JOIN s own ON own.level = l.level JOIN s ON s.ord >= own.ord),
+        own AS (SELECT DISTINCT mediaId AS a, sourceEntryId AS b FROM media WHERE mediaId IS NOT NULL AND sourceEntryId IS NOT NULL),
+        p AS (SELECT * FROM t UNION SELECT t.level, own.a, own.b FROM t JOIN own ON own.a = t.a UNION SELECT t.level, own.a, own.b FROM t JOIN own ON own.b = t.b),
+        e AS (SELECT level, a AS x, b AS y FROM p UNION SELECT level, b, a FROM p),
+        r AS (SELECT level, x, x AS y FROM e UNION SELECT r.level, r.x, e.y FROM r JOIN e ON e.level = r.level AND e.x = r.y)
+        SELECT level, x AS "memberId", min(y) AS "groupId" FROM r GROUP BY 1, 2
+    """,
+    "p7_found": f"""
+        WITH d AS ({_GRAMS.format(key="doc_id", form=_FORM, table="documents")}), i AS ({_GRAMS.format(key="item_id", form=_FORM, table="eval_item")})
+        SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)
+    """,
+    "p9_found": f"""
+        WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL)
+        SELECT DISTINCT least(a.doc_id, b.doc_id) AS doc_id_a, greatest(a.doc_id, b.doc_id) AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text
+    """,
+    "p9_canonical": f"""
+        WITH f AS (SELECT doc_id, {_FORM} AS form FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS canonical_id FROM f
+    """,
+}
