@@ -30,6 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete all intermediate tables in the shared folder; results that weren't written yet can't be read afterwards."""
+    delete(spark, f"{shared_dir(spark)}/skeinlake")
+
+
 class Workspace:
     """A private folder below the shared one, with named tables in it."""
 

@@ -1,5 +1,6 @@
 import pytest
 
+from skeinlake.plans.staging import cleanup
 from skeinlake.session import local_session
 
 
@@ -7,4 +8,5 @@ from skeinlake.session import local_session
 def spark():
     session = local_session("*", partitions=4, memory="6g")
     yield session
+    cleanup(session)
     session.stop()
