@@ -401,6 +401,47 @@ def near_dup_classified(spark, folder):
     return found.select("entry", "outcome", "mediaId", F.col("distance").cast("int").alias("distance"), F.array_join("candidateMediaIds", ",").alias("candidates"))
 
 
+def _near_items_all(spark, folder):
+    """Every media with an entry, by the entry's state; a media without one is neither decided nor a candidate, as in the reference."""
+    raw = F.try_variant_get(F.try_parse_json("raw"), "$.perceptualHash", "string")
+    hashes = current(spark, folder).select("mediaId", S.perceptual_hash(raw).alias("phash"))
+    heads = latest_entries(spark, folder, 6).select("sourceEntryId", S.head_key("fingerprint").alias("head"), "state")
+    rows = media_rows(spark, folder).join(heads, "sourceEntryId").join(hashes, "mediaId", "left")
+    return rows.select(F.col("mediaId").alias("entry"), "mediaId", "head", "phash", "state", F.col("mediaId").alias("rank"))
+
+
+NEAR_ALL_SQL = f"""
+    WITH {CURRENT_SQL}, {MEDIA_SQL}, {_entries_sql('e', 6)},
+    t AS (SELECT m.mediaId AS id, e.state, e.fingerprint, lower(trim(try_cast(c.raw AS JSON)->>'$.perceptualHash')) AS text
+          FROM m JOIN e USING (sourceEntryId) LEFT JOIN current c USING (mediaId)),
+    i AS (SELECT id, state, CASE WHEN regexp_full_match(text, '[0-9a-f]{{16}}') THEN text END AS h,
+                 CASE WHEN len(string_split(fingerprint, ':')) = 3 AND try_cast(split_part(fingerprint, ':', 1) AS BIGINT) IS NOT NULL AND split_part(fingerprint, ':', 3) <> ''
+                      THEN split_part(fingerprint, ':', 1) || ':' || split_part(fingerprint, ':', 3) END AS head FROM t),
+    p AS (SELECT a.id, a.h, b.id AS candidate, b.h AS other, 0 AS way FROM i a JOIN i b ON a.id <> b.id AND a.head = b.head WHERE b.state = 'active'
+          UNION ALL SELECT a.id, a.h, b.id, b.h, 1 FROM i a JOIN i b ON a.id <> b.id AND left(a.h, 4) = left(b.h, 4) WHERE b.state = 'active'),
+    q AS (SELECT id, candidate, min(way) AS way, min(d) AS d
+          FROM (SELECT *, bit_count(xor(CAST('0x' || h AS UBIGINT), CAST('0x' || other AS UBIGINT))) AS d FROM p) WHERE h IS NULL OR d <= 10 GROUP BY 1, 2)
+"""
+
+
+@query(NEAR_ALL_SQL + "SELECT id AS entry, candidate, CAST(d AS INTEGER) AS distance FROM q")
+def near_dup_pairs_all(spark, folder):
+    """near_dup_pairs over all media, those without a perceptual hash by head key; only active entries are candidates."""
+    pairs = pipeline.near_pairs(_near_items_all(spark, folder), 10)
+    return pairs.select("entry", "candidate", F.col("distance").cast("int").alias("distance"))
+
+
+@query(NEAR_ALL_SQL + """
+    SELECT id AS entry, CASE WHEN min(d) <= 4 THEN 'strong' ELSE 'quarantine' END AS outcome,
+           arg_min(candidate, struct_pack(d := d, way := way, c := candidate)) FILTER (d <= 4) AS "mediaId", CAST(min(d) FILTER (d <= 4) AS INTEGER) AS distance,
+           CASE WHEN coalesce(min(d) > 4, true) THEN id || ',' || string_agg(candidate, ',' ORDER BY way, candidate) END AS candidates
+    FROM q GROUP BY id
+""")
+def near_dup_classified_all(spark, folder):
+    found = pipeline.classify_near(_near_items_all(spark, folder))
+    return found.select("entry", "outcome", "mediaId", F.col("distance").cast("int").alias("distance"), F.array_join("candidateMediaIds", ",").alias("candidates"))
+
+
 @query(f"""
     WITH {CURRENT_SQL}, {MEDIA_SQL}, {LINKS_SQL}
     SELECT m.mediaId AS "mediaId", c.kind, c.mimeType AS "mimeType", l.links
