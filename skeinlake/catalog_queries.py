@@ -156,10 +156,10 @@ def link_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("mediaId is not null and sourceEntryId is not null and level is not null").distinct()
 
 
-def latest_entries(spark: SparkSession, folder: str, snapshot: int) -> DataFrame:
-    """Entries of one delivery: the row seen last, the greatest path among equals."""
+def latest_entries(spark: SparkSession, folder: str, snapshot: int, *more: str) -> DataFrame:
+    """Entries of one delivery, with further columns if named: the row seen last, the greatest path among equals."""
     e = table(spark, folder, "entry_snapshot").where((F.col("snapshotNo") == snapshot) & F.col("sourceEntryId").isNotNull())
-    fields = ["sourceId", "path", "size", "mtimeMs", "state", "fingerprint"]
+    fields = ["sourceId", "path", "size", "mtimeMs", "state", "fingerprint", *more]
     return e.groupBy("sourceEntryId").agg(F.max(F.struct("lastSeenAt", *fields)).alias("r")).select("sourceEntryId", "r.*")
 
 
@@ -345,6 +345,34 @@ def scan_diff(spark, folder):
     return pipeline.scan_diff(files(6).select("path", "size", "mtimeMs"), files(5))
 
 
+def _keyed_sql(name: str, snapshot: int) -> str:
+    return f"""{name} AS (SELECT key, max(sourceEntryId) AS id, arg_max(size, sourceEntryId) AS size, arg_max(mtimeMs, sourceEntryId) AS mtimeMs, arg_max(state, sourceEntryId) AS state
+        FROM (SELECT sourceEntryId, r.size AS size, r.mtimeMs AS mtimeMs, r.state AS state,
+                     CASE WHEN r.archivePath IS NOT NULL AND r.innerPath IS NOT NULL THEN r.sourceId || ':archive:' || r.archivePath || '::' || r.innerPath
+                          ELSE r.sourceId || ':file:' || coalesce(r.path, '') END AS key
+              FROM (SELECT sourceEntryId, max(struct_pack(seen := lastSeenAt, sourceId := sourceId, path := path, size := size, mtimeMs := mtimeMs, state := state,
+                                                          fingerprint := fingerprint, archivePath := archivePath, innerPath := innerPath)) AS r
+                    FROM entry_snapshot WHERE snapshotNo = {snapshot} AND sourceEntryId IS NOT NULL GROUP BY 1)) GROUP BY 1)"""
+
+
+@query(f"""
+    WITH {_keyed_sql('k', 5)}, {_keyed_sql('s', 6)}
+    SELECT key, k.id AS "sourceEntryId", CASE WHEN s.id IS NULL THEN 'missing' WHEN k.id IS NULL THEN 'new'
+           WHEN s.size IS NOT DISTINCT FROM k.size AND s.mtimeMs IS NOT DISTINCT FROM k.mtimeMs THEN 'unchanged' ELSE 'changed' END AS outcome
+    FROM s FULL JOIN k USING (key) WHERE s.id IS NOT NULL OR k.state IS DISTINCT FROM 'missing'
+""")
+def scan_diff_all(spark, folder):
+    """scan_diff over entries of every kind, by natural key."""
+
+    def entries(snapshot):
+        rows = latest_entries(spark, folder, snapshot, "archivePath", "innerPath")
+        key = S.natural_key(*(F.col(c) for c in ("sourceId", "path", "archivePath", "innerPath")))
+        keyed = rows.groupBy(key.alias("path"))
+        return keyed.agg(F.max(F.struct("sourceEntryId", "size", "mtimeMs", "state")).alias("r")).select("path", "r.*")
+
+    return pipeline.scan_diff(entries(6).select("path", "size", "mtimeMs"), entries(5)).withColumnRenamed("path", "key")
+
+
 @query(f"""
     WITH v AS (SELECT mediaId, min(batchNo) AS b, max(lower(trim(sha256))) AS sha FROM media WHERE regexp_full_match(lower(trim(sha256)), '[0-9a-f]{{64}}') GROUP BY 1),
     known AS (SELECT sha, min(mediaId) AS old FROM v WHERE b = 1 GROUP BY 1),

@@ -28,3 +28,17 @@ def test_near_duplicates_of_all_media(spark, tmp_path):
     for name in ("near_dup_pairs_all", "near_dup_classified_all"):
         _, extra, missing = harness.compare(spark, folder, catalog_queries.QUERIES[name], catalog_queries.ORACLES[name])
         assert not extra and not missing
+
+
+def test_scan_diff_of_archive_entries(spark, tmp_path):
+    schema = "snapshotNo int, sourceEntryId string, sourceId string, path string, archivePath string, innerPath string, size bigint, mtimeMs double, state string, fingerprint string, lastSeenAt double"
+    inside = lambda snapshot, name, size, state="active": (snapshot, f"e{name}", "s", None, "a.zip", name, size, 1.0, state, "f", 1.0)
+    rows = [inside(5, "same", 1), inside(5, "grown", 1), inside(5, "lost", 1), inside(5, "gone", 1, "missing"), inside(6, "same", 1), inside(6, "grown", 2), inside(6, "more", 1)]
+    rows += [(n, "ef", "s", "a.zip", None, None, 9, 1.0, "active", "f", 1.0) for n in (5, 6)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/entry_snapshot.parquet")
+    query = catalog_queries.QUERIES["scan_diff_all"]
+    at = "s:archive:a.zip::"
+    want = {(at + "same", "esame", "unchanged"), (at + "grown", "egrown", "changed"), (at + "lost", "elost", "missing"), (at + "more", None, "new"), ("s:file:a.zip", "ef", "unchanged")}
+    assert {tuple(r) for r in query(spark, str(tmp_path)).collect()} == want
+    _, extra, missing = harness.compare(spark, str(tmp_path), query, catalog_queries.ORACLES["scan_diff_all"])
+    assert not extra and not missing
