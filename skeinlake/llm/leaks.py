@@ -14,6 +14,7 @@ are streamed through one after the other.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinlake.llm.lookalikes import unified
+from skeinlake.llm.lookalikes import unified, unified_character
 
 #: Maximal runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
@@ -190,38 +191,108 @@ def _scanner(shared):
     return run
 
 
-def remove_spans(documents: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, min_words: int = 12) -> DataFrame:
-    """key, text, removed_words: every text, without the words that it shares with items in runs of at least ``min_words``.
+def _origins(text: str) -> tuple[list[int], list[int]]:
+    """For each character of the lower-case unified form: where the part of ``text`` it comes from starts and ends.
 
-    Texts without such runs stay as they are; in others the words kept are separated as in the
-    original. A null text stays null.
+    A part is the least that can be unified by itself: a character with the marks that compose
+    with it and the characters after it that are mapped to nothing.
     """
-    spark = documents.sparkSession
-    rows = items.select(item_key, item_text).where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).distinct()
-    known = [(r[0], words(r[1])) for r in rows.toLocalIterator()]
-    shared = spark.sparkContext.broadcast(build(sorted(known), min_words))
+    parts: list[tuple[int, str]] = []
+    for i, c in enumerate(text):
+        mapped = c if c.isascii() else unified_character(c)
+        if parts and not c.isascii():
+            start, before = parts[-1]
+            inner = not mapped or unicodedata.combining(unicodedata.normalize("NFD", mapped)[0])
+            if inner or _nfc(before + mapped) != _nfc(before) + _nfc(mapped):
+                parts[-1] = (start, before + mapped)
+                continue
+        parts.append((i, mapped))
+    starts, ends = [], []
+    for (start, mapped), end in zip(parts, [*(start for start, _ in parts[1:]), len(text)]):
+        size = len(_nfc(mapped).lower())
+        starts += [start] * size
+        ends += [end] * size
+    return starts, ends
+
+
+def _nfc(text: str) -> str:
+    return text if text.isascii() else unicodedata.normalize("NFC", text)
+
+
+def _without(text: str, drop: set[int]) -> str:
+    """The text without the words at these places and what stands between each and the word before it."""
+    at = [m.span() for m in WORD.finditer(unified(text).lower())]
+    starts, ends = _origins(text)
+    kept, done, before = [], 0, 0
+    for i, (a, b) in enumerate(at):
+        end = ends[b - 1]
+        if i in drop:
+            kept.append(text[done : max(done, min(before, starts[a]))])
+            done = end
+        before = end
+    return "".join(kept) + text[done:]
+
+
+def _dropped(automata: list[SuffixAutomaton], tokens: list[str]) -> set[int]:
+    return {i for automaton in automata for own in scan(automaton, tokens).values() for s, e in own for i in range(s, e)}
+
+
+def _cutter(shared):
+    """Cuts spans in one pass, with all automata in one broadcast."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = shared.value
+        automata = shared.value
         for batch in batches:
-            kept, removed = [], []
-            for text_ in batch["text"]:
-                if text_ is None:
-                    kept.append(None)
-                    removed.append(0)
-                    continue
-                form = unified(text_)
-                at = [m.span() for m in WORD.finditer(form)]
-                spans = scan(automaton, [form[a:b].lower() for a, b in at])
-                drop = {i for own in spans.values() for s, e in own for i in range(s, e)}
-                if drop:
-                    ends = [0, *(b for _, b in at)]
-                    parts = [form[ends[i] : ends[i + 1]] for i in range(len(at)) if i not in drop]
-                    kept.append("".join(parts) + form[ends[-1] :])
-                else:
-                    kept.append(text_)
-                removed.append(len(drop))
-            yield pd.DataFrame({"id": batch["id"], "text": kept, "removed_words": removed})
+            drops = [set() if t is None else _dropped(automata, words(t)) for t in batch["text"]]
+            kept = [_without(t, d) if d else t for t, d in zip(batch["text"], drops)]
+            yield pd.DataFrame({"id": batch["id"], "text": kept, "removed_words": [len(d) for d in drops]})
+
+    return run
+
+
+def _finder(shared):
+    """Digest of each text that has words to drop, and their places."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automata = shared.value
+        for batch in batches:
+            rows = [(k, sorted(d)) for k, t in zip(batch["digest"], batch["text"]) if (d := _dropped(automata, words(t)))]
+            yield pd.DataFrame(rows, columns=["digest", "places"])
+
+    return run
+
+
+def _cut_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        drops = [set() if p is None else {int(i) for i in p} for p in batch["places"]]
+        kept = [_without(t, d) if d else t for t, d in zip(batch["text"], drops)]
+        yield pd.DataFrame({"id": batch["id"], "text": kept, "removed_words": [len(d) for d in drops]})
+
+
+REMOVED = "id long, text string, removed_words int"
+
 
+def remove_spans(documents: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, min_words: int = 12, min_coverage: float = 1.1, words_per_automaton: int = 1_000_000) -> DataFrame:
+    """key, text, removed_words: every text, without the words that it shares with items in the runs that ``leaks`` counts.
+
+    Texts without such runs stay as they are; in others what is kept is as in the original. A null
+    text stays null. Where the items need several broadcasts, texts are searched once for each and
+    the places found are joined to them by digest.
+    """
+    spark = documents.sparkSession
+    rows = items.select(item_key, item_text).where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).distinct()
+    known = sorted((r[0], r[1]) for r in rows.toLocalIterator())
     texts = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return texts.mapInPandas(run, "id long, text string, removed_words int").withColumnsRenamed({"id": key, "text": text})
+    sent = [spark.sparkContext.broadcast([build(part, least) for least, part in _by_least(g, min_words, min_coverage)]) for g in _groups(known, words_per_automaton)]
+    if len(sent) <= 1:
+        out = texts.mapInPandas(_cutter(sent[0] if sent else spark.sparkContext.broadcast([])), REMOVED)
+    else:
+        texts = texts.withColumn("digest", F.sha2("text", 256))
+        searched = texts.where("text is not null").select("digest", "text")
+        found = None
+        for shared in sent:
+            one = searched.mapInPandas(_finder(shared), "digest string, places array<int>")
+            found = one if found is None else found.unionByName(one)
+        places = found.groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"))
+        out = texts.join(places, "digest", "left").select("id", "text", "places").mapInPandas(_cut_places, REMOVED)
+    return out.withColumnsRenamed({"id": key, "text": text})

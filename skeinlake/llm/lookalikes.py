@@ -78,6 +78,11 @@ def unified(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_PYTHON))
 
 
+def unified_character(c: str) -> str:
+    """What a character is mapped to before letters are composed."""
+    return c.translate(_PYTHON)
+
+
 @F.pandas_udf(T.StringType())
 def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t))
