@@ -169,7 +169,8 @@ def media_survivors(quarantine: DataFrame, media: DataFrame, metadata: DataFrame
     wanted = listed.select(F.col("candidate").alias("mediaId")).distinct()
     known = media.where("mediaId is not null").join(wanted, "mediaId", "left_semi").groupBy("mediaId").agg(F.max("size").alias("size"))
     latest = current_metadata(metadata.join(wanted, "mediaId", "left_semi"))
-    timed = instants.normalise(latest, "takenAt", "tzName", "cameraModel")
+    # Fitted on all metadata, so that a value is settled as where the whole table is normalised.
+    timed = instants.normalise(latest, "takenAt", "tzName", "cameraModel", fit_on=metadata)
     extractor = F.try_variant_get(_complete(F.col("raw")), "$.extractor", "string")
     facts = timed.select(
         "mediaId",

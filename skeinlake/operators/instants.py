@@ -169,30 +169,38 @@ def _fit(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": group["source"], "notations": sets, "posterior": [p.tolist() for p in posterior]})
 
 
-def normalise(rows: DataFrame, value: str, zone: str, source: str, confidence: float = 0.9) -> DataFrame:
+def normalise(rows: DataFrame, value: str, zone: str, source: str, confidence: float = 0.9, fit_on: DataFrame | None = None) -> DataFrame:
     """Adds instantMs, notation, posterior and status to each row.
 
     ``status`` is single (one reading), resolved (several, settled by the source's mixture),
     ambiguous (several, none reaching ``confidence``; no instant) or none (no reading: null,
-    blank, placeholder, impossible date or time, unknown zone). Rows without source share one
-    mixture. Columns of the input named like the added ones are replaced.
+    blank, placeholder, impossible date or time, unknown zone). Readings of the same instant count
+    together. Rows without source share one mixture. The mixtures are fitted on ``fit_on`` if given,
+    which must hold the values of ``rows`` under the same column names. Columns of the input named like the added ones are replaced.
     """
     work = Workspace(rows.sparkSession, "instants")
     added = ["instantMs", "notation", "posterior", "status"]
+    named = [F.col(value).cast("string").alias("_value"), F.col(zone).cast("string").alias("_tz"), F.col(source).cast("string").alias("_source")]
+
+    def read_of(packed: DataFrame, name: str) -> DataFrame:
+        read = readings(packed, "_value", "_tz")
+        return work.save(read.drop("_value", "_tz").withColumn("_set", F.transform("readings", lambda r: r["notation"])), name)
+
     # The input travels as one struct, so that none of its names can clash with those used here.
-    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), F.col(value).cast("string").alias("_value"), F.col(zone).cast("string").alias("_tz"), F.col(source).cast("string").alias("_source"))
-    read = readings(packed, "_value", "_tz")
-    read = work.save(read.drop("_value", "_tz").withColumn("_set", F.transform("readings", lambda r: r["notation"])), "read")
+    read = read_of(rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), *named), "read")
+    fit = read if fit_on is None else read_of(fit_on.select(*named), "fit")
     # One row per source and set of notations: what the mixtures are fitted on doesn't grow with repeated values.
-    sets = read.where(F.size("_set") > 0).groupBy(F.coalesce("_source", F.lit("")).alias("source"), F.col("_set").alias("notations")).agg(F.count("*").alias("n"))
+    sets = fit.where(F.size("_set") > 0).groupBy(F.coalesce("_source", F.lit("")).alias("source"), F.col("_set").alias("notations")).agg(F.count("*").alias("n"))
     fitted = sets.groupBy("source").applyInPandas(_fit, "source string, notations array<string>, posterior array<double>")
     joined = read.join(
         fitted.withColumnsRenamed({"source": "_fit_source", "notations": "_fit_set", "posterior": "_posterior"}),
         (F.coalesce("_source", F.lit("")) == F.col("_fit_source")) & (F.col("_set") == F.col("_fit_set")),
         "left",
     )
-    best = F.array_max("_posterior")
-    joined = joined.withColumn("_best", best).withColumn("_at", F.array_position("_posterior", F.col("_best")).cast("int"))
+    together = lambda r: F.aggregate(F.zip_with("readings", "_posterior", lambda x, p: F.when(x["ms"] == r["ms"], p).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
+    ranked = F.transform("readings", lambda r, i: F.struct(together(r).alias("sum"), F.get("_posterior", i).alias("own"), (-i).alias("place")))
+    joined = joined.withColumn("_top", F.when(F.col("_posterior").isNotNull(), F.array_max(ranked)))
+    joined = joined.withColumn("_best", F.col("_top.sum")).withColumn("_at", 1 - F.col("_top.place"))
     chosen = F.when(F.col("_best") >= confidence, F.try_element_at("readings", F.col("_at")))
     status = F.when(F.size("_set") == 0, "none").when(F.size("_set") == 1, "single").when(F.col("_best") >= confidence, "resolved").otherwise("ambiguous")
     shown = joined.withColumn("_chosen", chosen).withColumn("_status", status)
