@@ -44,6 +44,10 @@ class SuffixAutomaton:
     core: list[int] = field(default_factory=list)
     items: dict[int, list[int]] = field(default_factory=dict)
 
+    def plain(self) -> tuple:
+        """The fields in their order: numbers, lists and dictionaries, which any executor can read."""
+        return self.min_words, self.next, self.link, self.length, self.core, self.items
+
     def _state(self, length: int, transitions: dict[str, int], link: int) -> int:
         self.next.append(transitions)
         self.length.append(length)
@@ -127,7 +131,13 @@ def scan(automaton: SuffixAutomaton, tokens: list[str]) -> dict[int, list[tuple[
     return found
 
 
-def _groups(items: list[tuple[int, str]], words_per_automaton: int) -> Iterator[list[tuple[int, list[str]]]]:
+def _known(items: DataFrame, item_key: str, item_text: str) -> Iterator[tuple[int, str]]:
+    """The different items in order, read partition by partition."""
+    rows = items.select(item_key, item_text).where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).distinct()
+    return ((r[0], r[1]) for r in rows.orderBy(item_key, item_text).toLocalIterator())
+
+
+def _groups(items: Iterable[tuple[int, str]], words_per_automaton: int) -> Iterator[list[tuple[int, list[str]]]]:
     group, size = [], 0
     for item, text in items:
         tokens = words(text)
@@ -149,11 +159,11 @@ def leaks(documents: DataFrame, items: DataFrame, key: str, text: str, item_key:
     ``words`` counts the text's words inside shared spans, ``longest`` the longest span, ``coverage``
     the spans' part of the item. Where ``min_coverage`` is at most 1, an item that is shorter than
     ``min_words`` counts once that part of it is found in one run. Null texts and items, and texts
-    without words, share nothing. The items are read to the driver, the texts never.
+    without words, share nothing. The driver reads the items, of which it holds those of one
+    automaton at a time, and never the texts.
     """
     spark = documents.sparkSession
-    rows = items.select(item_key, item_text).where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).distinct()
-    known = sorted((r[0], r[1]) for r in rows.toLocalIterator())
+    known = _known(items, item_key, item_text)
     texts = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     out = spark.createDataFrame([], LEAKS)
     for group in _groups(known, words_per_automaton):
@@ -161,7 +171,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str, text: str, item_key:
             sizes = {}
             for item, tokens in part:
                 sizes[item] = max(len(tokens), sizes.get(item, 1))
-            shared = spark.sparkContext.broadcast((build(part, least), sizes))
+            shared = spark.sparkContext.broadcast((build(part, least).plain(), sizes))
             out = out.unionByName(texts.mapInPandas(_scanner(shared), LEAKS))
     return out
 
@@ -179,7 +189,8 @@ def _by_least(group: list[tuple[int, list[str]]], min_words: int, min_coverage:
 
 def _scanner(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton, sizes = shared.value
+        fields, sizes = shared.value
+        automaton = SuffixAutomaton(*fields)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["id"], batch["text"]):
@@ -241,7 +252,7 @@ def _cutter(shared):
     """Cuts spans in one pass, with all automata in one broadcast."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automata = shared.value
+        automata = [SuffixAutomaton(*fields) for fields in shared.value]
         for batch in batches:
             drops = [set() if t is None else _dropped(automata, words(t)) for t in batch["text"]]
             kept = [_without(t, d) if d else t for t, d in zip(batch["text"], drops)]
@@ -254,7 +265,7 @@ def _finder(shared):
     """Digest of each text that has words to drop, and their places."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automata = shared.value
+        automata = [SuffixAutomaton(*fields) for fields in shared.value]
         for batch in batches:
             rows = [(k, sorted(d)) for k, t in zip(batch["digest"], batch["text"]) if (d := _dropped(automata, words(t)))]
             yield pd.DataFrame(rows, columns=["digest", "places"])
@@ -280,10 +291,9 @@ def remove_spans(documents: DataFrame, items: DataFrame, key: str, text: str, it
     the places found are joined to them by digest.
     """
     spark = documents.sparkSession
-    rows = items.select(item_key, item_text).where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).distinct()
-    known = sorted((r[0], r[1]) for r in rows.toLocalIterator())
+    known = _known(items, item_key, item_text)
     texts = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sent = [spark.sparkContext.broadcast([build(part, least) for least, part in _by_least(g, min_words, min_coverage)]) for g in _groups(known, words_per_automaton)]
+    sent = [spark.sparkContext.broadcast([build(part, least).plain() for least, part in _by_least(g, min_words, min_coverage)]) for g in _groups(known, words_per_automaton)]
     if len(sent) <= 1:
         out = texts.mapInPandas(_cutter(sent[0] if sent else spark.sparkContext.broadcast([])), REMOVED)
     else:
