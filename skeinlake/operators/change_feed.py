@@ -2,20 +2,25 @@
 
 The table lies in files by hash bucket of the key. A batch of changes is routed to
 its buckets; only the files of touched buckets are read, merged with the changes in
-key order and replaced by new files. A manifest names, for each bucket, the
-generation whose files hold it; publishing the next manifest is the commit. Files
-of earlier generations stay readable until ``vacuum``.
-
-The stored rows are facts that merge in any order, so that late changes give the
-same table as timely ones: the last upsert of a key with its position (a deletion is
-an upsert that leaves a tombstone), the greatest position of a "missing" mark, and
-for each source the greatest position of its removal. The current table is derived
-from them on reading.
+key order and replaced by new files. Every attempt writes into a folder of its own; a
+manifest names, for each bucket, the attempt whose files hold it, and publishing the
+next manifest, which only one of several writers can do, is the commit. Files of
+earlier attempts stay readable until ``vacuum``.
+
+A bucket is a ledger: one row for each event of its keys, at the lowest position at
+which the event was seen. Any copy may come later under a lower position and take an
+event back behind others, so what an event has overtaken stays in the ledger, and
+batches in any order and repetition give the same table. The current table is derived
+on reading: the last upsert of a key (a deletion is an upsert that leaves a tombstone),
+a later "missing" mark, and for each source its last removal. ``purge`` declares
+positions settled and drops what can no longer matter, tombstones and entries of
+removed sources included; the ids stay, as they recognise copies.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +39,7 @@ UPSERT, MISSING, REMOVED = "SOURCE_ENTRY_UPSERTED", "SOURCE_ENTRY_MARKED_MISSING
 
 
 def entry_events(log: DataFrame) -> DataFrame:
-    """seq, type, key, sourceId, row, lastSeenAt of the log's events that concern entries.
+    """eventId, seq, type, key, removed, lastSeenAt, row of the log's events that concern entries.
 
     An event counts once, at its lowest seq. Rows without seq, event id or readable payload, and
     upserts or marks without an entry id and removals without a source id, change nothing.
@@ -56,43 +61,41 @@ def entry_events(log: DataFrame) -> DataFrame:
             F.when(F.col("type") == UPSERT, F.struct(*[f"p.entry.{f}" for f in ENTRY_FIELDS])).alias("row"),
         ).alias("e"),
     )
-    first = shaped.groupBy("eventId").agg(F.min_by("e", F.col("e.seq")).alias("e")).select("e.*")
+    first = shaped.groupBy("eventId").agg(F.min_by("e", F.col("e.seq")).alias("e")).select("eventId", "e.*")
     return first.where("(type = 'SOURCE_REMOVED' and removed is not null) or key is not null")
 
 
-def _facts(events: DataFrame, buckets: int) -> DataFrame:
-    """One row of facts per key; a key's changes are combined before they are shuffled."""
-    keyed = events.where("key is not null")
-    upsert = F.col("type") == UPSERT
-    mark = F.when(~upsert, F.struct("seq", "lastSeenAt"))
-    return (
-        keyed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-        .groupBy("bucket", "key")
-        .agg(
-            F.max(F.when(upsert, F.col("seq"))).alias("u"),
-            F.max_by("row", F.when(upsert, F.col("seq"))).alias("row"),
-            F.max(mark).alias("mark"),
-        )
-        .select("bucket", "key", "u", "row", "mark")
+LEDGER = ["bucket", "key", "eventId", "seq", "upsert", "lastSeenAt", "row"]
+
+
+def _ledger(events: DataFrame, buckets: int) -> DataFrame:
+    """The events that concern keys, as ledger rows."""
+    return events.where("key is not null").select(
+        F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "key", "eventId", "seq", (F.col("type") == UPSERT).alias("upsert"), "lastSeenAt", "row"
     )
 
 
 def _merge(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Facts of both sides; rows meet in key order inside their bucket, without another exchange."""
-    both = old.unionByName(new).repartition("bucket").sortWithinPartitions("bucket", "key")
-    return both.groupBy("bucket", "key").agg(
-        F.max("u").alias("u"), F.max_by("row", "u").alias("row"), F.max("mark").alias("mark")
+    """Ledger rows of both sides, each event at its lowest position; rows meet in key order inside their bucket.
+
+    A purged event (``upsert`` null) stays purged, whatever copies of it come.
+    """
+    both = old.unionByName(new).repartition("bucket").sortWithinPartitions("bucket", "key", "eventId")
+    first = both.groupBy("bucket", "key", "eventId").agg(
+        F.min("seq").alias("seq"), F.min_by(F.struct("upsert", "lastSeenAt", "row"), "seq").alias("e"), F.bool_or(F.col("upsert").isNull()).alias("purged")
     )
+    kept = lambda c: F.when(~F.col("purged"), F.col(f"e.{c}")).alias(c)
+    return first.select("bucket", "key", "eventId", "seq", kept("upsert"), kept("lastSeenAt"), kept("row"))
 
 
 @dataclass
 class Manifest:
     version: int = 0
     buckets: int = 0
-    #: bucket -> generation that holds its rows
-    files: dict[str, int] = field(default_factory=dict)
-    #: generation of the table of source removals
-    removals: int | None = None
+    #: bucket -> attempt that holds its rows
+    files: dict[str, str] = field(default_factory=dict)
+    #: attempt that holds the table of source removals
+    removals: str | None = None
 
 
 class EntryTable:
@@ -108,50 +111,70 @@ class EntryTable:
         return Manifest(**json.loads(read_text(self.spark, f"{self.root}/manifest/{names[-1]}")))
 
     def _schema(self) -> T.StructType:
-        empty = self.spark.createDataFrame([], "seq bigint, type string, key string, lastSeenAt double, row struct<" + ENTRY_STRUCT + ">")
-        return nullable(_facts(empty, 1).schema)
+        empty = self.spark.createDataFrame([], "seq bigint, eventId string, type string, key string, lastSeenAt double, row struct<" + ENTRY_STRUCT + ">")
+        return nullable(_ledger(empty, 1).schema)
 
     def _rows(self, manifest: Manifest, touched: list[int] | None = None) -> DataFrame:
         schema = self._schema()
-        held = {b: g for b, g in manifest.files.items() if touched is None or int(b) in touched}
-        paths = [f"{self.root}/rows/generation={g}/bucket={b}" for b, g in held.items()]
+        held = {b: a for b, a in manifest.files.items() if touched is None or int(b) in touched}
+        paths = [f"{self.root}/rows/attempt={a}/bucket={b}" for b, a in held.items()]
         if not paths:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/rows").parquet(*paths)
         return rows.select(*schema.names)
 
     def _removals(self, manifest: Manifest) -> DataFrame:
-        schema = "removed string, r bigint"
+        schema = "eventId string, removed string, r bigint"
         if manifest.removals is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/removals/generation={manifest.removals}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/removals/attempt={manifest.removals}")
+
+    def _commit(self, manifest: Manifest, attempt: str, touched: list[int]) -> int:
+        version = manifest.version + 1
+        files = manifest.files | {str(b): attempt for b in touched}
+        text = json.dumps({"version": version, "buckets": manifest.buckets, "files": files, "removals": attempt})
+        publish_text(self.spark, f"{self.root}/manifest/{version:012d}.json", text)
+        return version
+
+    def _write(self, attempt: str, rows: DataFrame | None, removals: DataFrame) -> None:
+        if rows is not None:
+            rows.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/rows/attempt={attempt}")
+        removals.coalesce(1).write.parquet(f"{self.root}/removals/attempt={attempt}")
+
+    @staticmethod
+    def _attempt(manifest: Manifest) -> str:
+        """A folder name of its own, led by the version that it may become."""
+        return f"{manifest.version + 1:012d}-{uuid.uuid4().hex}"
 
     def apply(self, events: DataFrame) -> int:
         """Merge a batch of ``entry_events`` and commit; returns the new version.
 
-        Fails, leaving the table as it was, if another writer commits the same version first.
+        Raises FileExistsError, leaving the table as it was and readable, if another writer commits
+        the same version first; the batch can then be applied again.
         """
         manifest = self.manifest()
-        version = manifest.version + 1
-        new = _facts(events, manifest.buckets)
+        new = _ledger(events, manifest.buckets)
         touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most the number of buckets
-        if touched:
-            merged = _merge(self._rows(manifest, touched), new)
-            merged.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/rows/generation={version}")
-        removed = events.where(F.col("type") == REMOVED).select("removed", F.col("seq").alias("r"))
-        removals = self._removals(manifest).unionByName(removed).groupBy("removed").agg(F.max("r").alias("r"))
-        removals.write.mode("overwrite").parquet(f"{self.root}/removals/generation={version}")
-        files = manifest.files | {str(b): version for b in touched}
-        text = json.dumps({"version": version, "buckets": manifest.buckets, "files": files, "removals": version})
-        publish_text(self.spark, f"{self.root}/manifest/{version:012d}.json", text)
-        return version
+        removed = events.where(F.col("type") == REMOVED).select("eventId", "removed", F.col("seq").alias("r"))
+        removals = self._removals(manifest).unionByName(removed).groupBy("eventId").agg(F.min_by("removed", "r").alias("removed"), F.min("r").alias("r"))
+        attempt = self._attempt(manifest)
+        self._write(attempt, _merge(self._rows(manifest, touched), new) if touched else None, removals)
+        return self._commit(manifest, attempt, touched)
+
+    def _left(self, rows: DataFrame, manifest: Manifest) -> DataFrame:
+        """key, u, row, mark of the keys that are left: not deleted, nor under a source removed after their last upsert."""
+        upsert = F.col("upsert")
+        last = rows.groupBy("bucket", "key").agg(
+            F.max(F.when(upsert, F.col("seq"))).alias("u"), F.max_by("row", F.when(upsert, F.col("seq"))).alias("row"), F.max(F.when(~upsert, F.struct("seq", "lastSeenAt"))).alias("mark")
+        )
+        removals = self._removals(manifest).groupBy("removed").agg(F.max("r").alias("r"))
+        there = last.where("u is not null and not (row.state <=> 'deleted')")
+        return there.join(removals, (F.col("row.sourceId") == F.col("removed")) & (F.col("r") > F.col("u")), "left_anti")
 
     def current(self) -> DataFrame:
-        """The entries that are left: not deleted, and not under a source removed after their last upsert."""
+        """The entries that are left, a later "missing" mark laid over them."""
         manifest = self.manifest()
-        rows = self._rows(manifest).where("u is not null and not (row.state <=> 'deleted')")
-        removals = self._removals(manifest)
-        left = rows.join(removals, (F.col("row.sourceId") == F.col("removed")) & (F.col("r") > F.col("u")), "left_anti")
+        left = self._left(self._rows(manifest), manifest)
         missing = F.coalesce(F.col("mark.seq") > F.col("u"), F.lit(False))
         seen = F.when(missing, F.coalesce("mark.lastSeenAt", "row.lastSeenAt")).otherwise(F.col("row.lastSeenAt"))
         return left.select(F.col("key").alias("sourceEntryId"), "row.*", missing.alias("_missing"), seen.alias("_seen")).select(
@@ -161,16 +184,42 @@ class EntryTable:
             F.when(F.col("_missing"), "missing").otherwise(F.col("state")).alias("state"),
         )
 
+    def purge(self, settled: int) -> int:
+        """Drop what no longer matters once no unseen event will come under a position below ``settled``; returns the new version.
+
+        Of the events below it, each key keeps the contents of its last upsert and last mark, and
+        none if it was deleted or its source removed after that; removals below it are dropped.
+        Copies of known events may still come.
+        """
+        manifest = self.manifest()
+        rows = self._rows(manifest)
+        below = rows.where(F.col("seq") < settled)
+        before = self._left(below, Manifest(removals=manifest.removals))
+        alive = before.select("key", F.col("u").alias("_u"), F.col("mark.seq").alias("_m"))
+        marked = rows.join(alive, "key", "left")
+        keep = (F.col("seq") >= settled) | (F.col("seq") == F.col("_u")) | ((F.col("seq") == F.col("_m")) & (F.col("_m") > F.col("_u")))
+        kept = F.coalesce(keep, F.lit(False))
+        purged = marked.select("bucket", "key", "eventId", "seq", *[F.when(kept, F.col(c)).alias(c) for c in ("upsert", "lastSeenAt", "row")])
+        attempt = self._attempt(manifest)
+        self._write(attempt, purged.repartition("bucket").sortWithinPartitions("bucket", "key", "eventId"), self._removals(manifest).where(F.col("r") >= settled))
+        return self._commit(manifest, attempt, [int(b) for b in manifest.files])
+
     def vacuum(self) -> None:
-        """Delete the files that the current manifest does not name."""
+        """Delete the files of attempts up to the current version that the current manifest does not name.
+
+        Attempts at the next version, which may still be committed, stay.
+        """
         manifest = self.manifest()
-        for name in list_names(self.spark, f"{self.root}/rows"):
-            generation = int(name.partition("=")[2])
+        past = lambda name: int(name.partition("=")[2].split("-")[0]) <= manifest.version
+        for name in filter(past, list_names(self.spark, f"{self.root}/rows")):
+            attempt = name.partition("=")[2]
             for bucket in list_names(self.spark, f"{self.root}/rows/{name}"):
-                if bucket.startswith("bucket=") and manifest.files.get(bucket.partition("=")[2]) != generation:
+                if bucket.startswith("bucket=") and manifest.files.get(bucket.partition("=")[2]) != attempt:
                     delete(self.spark, f"{self.root}/rows/{name}/{bucket}")
-        for name in list_names(self.spark, f"{self.root}/removals"):
-            if name != f"generation={manifest.removals}":
+            if attempt not in manifest.files.values():
+                delete(self.spark, f"{self.root}/rows/{name}")
+        for name in filter(past, list_names(self.spark, f"{self.root}/removals")):
+            if name.partition("=")[2] != manifest.removals:
                 delete(self.spark, f"{self.root}/removals/{name}")
 
 

@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -30,9 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, below the shared one."""
+    return f"{shared_dir(spark)}/skeinlake/{spark.sparkContext.applicationId}"
+
+
 def cleanup(spark: SparkSession) -> None:
-    """Delete all intermediate tables in the shared folder; results that weren't written yet can't be read afterwards."""
-    delete(spark, f"{shared_dir(spark)}/skeinlake")
+    """Delete the intermediate tables of this application; results that weren't written yet can't be read afterwards."""
+    delete(spark, session_dir(spark))
 
 
 class Workspace:
@@ -40,7 +46,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/skeinlake/{label}-{uuid.uuid4().hex}"
+        self.root = f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -94,14 +100,30 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def publish_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write ``text`` under a temporary name and rename it; an existing ``path`` is an error."""
-    fs, target = _fs(spark, path)
-    if fs.exists(target):
-        raise FileExistsError(path)
-    _, temporary = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    """Make ``path`` with this text, whole and once: of several writers one succeeds, the others get FileExistsError.
+
+    The text is written under a temporary name and then given its own by a step that fails where
+    the name exists: a hard link on local file systems, elsewhere a rename without overwriting,
+    which the file system must offer as an atomic step, as HDFS does.
+    """
+    jvm = spark._jvm
+    fs, temporary = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    _, target = _fs(spark, path)
     stream = fs.create(temporary, False)
-    stream.write(bytearray(text.encode("utf-8")))
-    stream.close()
-    if not fs.rename(temporary, target):
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            place = lambda p: jvm.java.nio.file.Paths.get(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+            jvm.java.nio.file.Files.createLink(place(target), place(temporary))
+        else:
+            options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(temporary, target, options)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            raise FileExistsError(path) from None
+        raise
+    finally:
         fs.delete(temporary, False)
-        raise FileExistsError(path)

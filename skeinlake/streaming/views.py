@@ -1,8 +1,8 @@
 """Views kept up to date from a stream of log records.
 
-Each micro-batch is merged into the bucketed entry table by copy-on-write; its facts merge in any
-order and any number of times, so that late records, and batches delivered again after a failure,
-give the same table as timely ones.
+Each micro-batch is merged into the bucketed entry table by copy-on-write; events merge in any
+order and any number of times, so that late records, copies under other positions, and batches
+delivered again after a failure give the same table as timely ones.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ import pytest
 
 from skeinlake.operators import change_feed, views
 from skeinlake.operators.change_feed import EntryTable, entry_events, replay
-from skeinlake.plans.staging import Workspace
+from skeinlake.plans.staging import Workspace, publish_text, read_text
 from skeinlake.streaming.views import maintain_entries
 
 LOG = "seq bigint, event struct<eventId string, type string, createdAt double, jobId string, payload string>, u string, row int"
@@ -83,9 +83,11 @@ def test_only_touched_buckets_are_rewritten_and_old_files_go(spark):
     assert rows_of(table.current()) == want
 
 
-def test_batches_in_any_order_and_repeated(spark):
-    rows = [r for r in history(5, 90) if r[0] <= 90]
-    rows = list({r[0]: r for r in rows}.values())
+@pytest.mark.parametrize("seed", [5, 6])
+def test_batches_in_any_order_and_repeated(spark, seed):
+    rows = history(seed, 90)  # with copies under other positions, some of them lower than the event's first
+    rows += [(r.randrange(1, 90), e, "x", 1) for r in [random.Random(seed)] for _, e, *_ in r.sample(rows, 25)]
+    rows = [(seq * 1000 + i, *rest) for i, (seq, *rest) in enumerate(rows)]
     parts = [rows[i::3] for i in range(3)]
     table = EntryTable(spark, Workspace(spark, "t").root, buckets=4)
     for part in [*parts, parts[1]]:
@@ -93,14 +95,54 @@ def test_batches_in_any_order_and_repeated(spark):
     assert rows_of(table.current()) == fold(rows)[0]
 
 
-def test_a_second_writer_of_a_version_fails(spark):
-    rows = spark.createDataFrame(history(6, 20), LOG)
+def upsert(seq, event, key, value, source="src_9", state="active"):
+    entry = {"sourceEntryId": key, "sourceId": source, "fingerprint": value, "state": state, "lastSeenAt": 5}
+    return (seq, (event, "SOURCE_ENTRY_UPSERTED", 1.0, None, json.dumps({"entry": entry})), "x", 1)
+
+
+def test_a_later_copy_takes_an_event_back(spark):
     table = EntryTable(spark, Workspace(spark, "t").root, buckets=2)
+    first = [upsert(50, "x", "k", "of x"), upsert(30, "y", "k", "of y"), upsert(20, "z", "k", "of z")]
+    for part, want in ((first, "of x"), ([upsert(10, "x", "k", "of x")], "of y"), ([upsert(5, "y", "k", "of y")], "of z")):
+        table.apply(entry_events(spark.createDataFrame(part, LOG)))
+        assert rows_of(table.current()) == {("k", want, "active", 5.0)}
+
+
+def test_a_losing_writer_leaves_the_table_readable(spark):
+    rows = history(6, 40)
+    table = EntryTable(spark, Workspace(spark, "t").root, buckets=2)
+    table.apply(entry_events(spark.createDataFrame(rows[:20], LOG)))
     first = table.manifest()
-    table.apply(entry_events(rows))
-    table.manifest = lambda: first
+    table.apply(entry_events(spark.createDataFrame(rows[20:], LOG)))
+    late = EntryTable(spark, table.root)
+    late.manifest = lambda: first
     with pytest.raises(FileExistsError):
-        table.apply(entry_events(rows))
+        late.apply(entry_events(spark.createDataFrame([upsert(1000, "late", "se_1", "late")], LOG)))
+    assert rows_of(table.current()) == fold(rows)[0]
+    table.vacuum()
+    assert rows_of(table.current()) == fold(rows)[0]
+    table.apply(entry_events(spark.createDataFrame([upsert(1000, "late", "se_1", "late")], LOG)))
+    assert ("se_1", "late", "active", 5.0) in rows_of(table.current())
+
+
+def test_purge_keeps_the_table_and_drops_what_is_settled(spark):
+    rows = [r for r in history(9, 120) if r[0] <= 120]
+    table = EntryTable(spark, Workspace(spark, "t").root, buckets=4)
+    table.apply(entry_events(spark.createDataFrame([r for r in rows if r[0] <= 80], LOG)))
+    before = table._rows(table.manifest()).where("row is not null").count()
+    table.purge(81)
+    assert rows_of(table.current()) == fold([r for r in rows if r[0] <= 80])[0]
+    left = table._rows(table.manifest()).where("row is not null").count()
+    assert left < before and left <= 8
+    table.apply(entry_events(spark.createDataFrame(rows, LOG)))  # all events again, and new ones
+    assert rows_of(table.current()) == fold(rows)[0]
+
+
+def test_a_name_is_published_once(spark, tmp_path):
+    publish_text(spark, str(tmp_path / "m.json"), "one")
+    with pytest.raises(FileExistsError):
+        publish_text(spark, str(tmp_path / "m.json"), "two")
+    assert read_text(spark, str(tmp_path / "m.json")) == "one" and not list(tmp_path.glob("*.tmp"))
 
 
 def test_nulls_and_empty(spark):
@@ -117,8 +159,6 @@ def test_stream_equals_batch(spark, tmp_path):
     spark.createDataFrame(rows, LOG).repartition(3).write.parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
     table = EntryTable(spark, str(tmp_path / "table"), buckets=4)
-    unique = list({r[1][0]: r for r in sorted(rows, key=lambda r: -r[0])}.values())  # each event's lowest seq
-    assert len(unique) == 60
-    maintain_entries(stream.where("seq <= 60"), table, str(tmp_path / "cp")).awaitTermination()
-    assert rows_of(table.current()) == fold(unique)[0]
+    maintain_entries(stream, table, str(tmp_path / "cp")).awaitTermination()
+    assert rows_of(table.current()) == fold(rows)[0]
     assert change_feed.power_of_two(5) == 8
