@@ -1,33 +1,56 @@
 """Checking each new batch for duplicates against everything accepted before.
 
-The history is kept as segments, one for each load of batches, each split into shards of a
-navigable small-world graph over the perceptual codes of the load's media. A new batch is searched in the
-shards of the history and in its own, with the beam that each shard tuned against exhaustive
-search; what comes back is reranked by the exact distance. Equal digests are joined. What the
-batch keeps becomes a new segment; once ``fan_in`` segments of one size class exist, they are
-compacted into one, so that the number of shards to search grows with the history's size and not
-with the number of batches.
-
-Media with the same digest and code behave alike, so graphs, searches and decisions work on the
-different signatures of a batch, and copies are joined at the end.
+The accepted media are kept in segments, one for each batch: a table of digests in hash buckets
+and shards of a navigable small-world graph over the perceptual codes. A new batch is joined with
+the digest buckets it touches and searched in the graph shards, with the beam that each shard tuned
+against exhaustive search; what comes back is reranked by the exact distance. What the history
+doesn't match gets a graph of its own, in which rounds settle what the batch repeats of itself.
+This graph, with the codes that were accepted marked, becomes the batch's segment; once ``fan_in``
+segments of one level exist, they are compacted into one of the next level, so that the number of
+segments grows with the logarithm of the number of batches.
+
+A segment of more than ``capacity`` codes has several shards. Up to ``radius + 1`` of them, a
+search visits all. Beyond, codes are placed once for each of ``radius + 1`` slices of their bits,
+in the shard that the slice's value hashes to: two codes within the radius are equal in one slice
+at least, so a search visits ``radius + 1`` shards however many there are and misses nothing.
+Shards that a frequent slice value overfills are split, and many queries of one shard are searched
+in blocks.
+
+A manifest names the segments and the batches they hold; publishing the next one is the commit, so
+a batch is added whole or not at all, and any later session opens the index where it was left.
+Media with the same digest and code behave alike, so searches and decisions work on the different
+signatures of a batch, and copies are joined at the end.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass, field
+import uuid
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlake.functions.text import strip
 from skeinlake.llm import small_world
-from skeinlake.plans.staging import Workspace, delete
-
-SHARD = "segment int, shard int, pos int, code long, links array<int>, beam int, owner string"
-ACCEPTED = "node string, sha string, code long"
+from skeinlake.plans.sizing import power_of_two
+from skeinlake.plans.staging import Workspace, delete, list_names, publish_text, read_text
+
+SHARD = "segment int, family int, part int, codes binary, links binary, rest binary, beam int, recall double, owners array<string>"
+SHARD_COLUMNS = [c.split()[0] for c in SHARD.split(", ")]
+KEY = ["segment", "family", "part"]
+ACCEPTED = "node string, sha string, code long, bucket int"
+MATCHES = "batch int, sha string, code long, accepted string, kind string"
+#: Leads the owner of a code that is accepted while a batch is being decided; sorts before any node.
+KEPT = "!"
+#: Accepted media per digest bucket of a segment, and the most buckets.
+PER_BUCKET, MOST_BUCKETS = 1_000_000, 1 << 16
+#: Bytes that a code takes in a shard, roughly, and of shards that are sent to all executors rather than joined.
+CODE_BYTES, SENT_BYTES = 256, 32 << 20
 
 
 def media_signatures(media: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -47,246 +70,351 @@ def media_signatures(media: DataFrame, metadata: DataFrame) -> DataFrame:
     return first.join(latest.select("mediaId", code.alias("code")), "mediaId", "left")
 
 
+def _buckets(accepted: int) -> int:
+    return min(MOST_BUCKETS, power_of_two(accepted / PER_BUCKET))
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Where the codes of a segment lie: in ``parts`` shards each for ``families`` slices of their bits.
+
+    One family places codes by their whole value, and queries go to all its shards.
+    """
+
+    segment: int
+    families: int
+    parts: int
+
+    @classmethod
+    def of(cls, segment: int, count: int, capacity: int, radius: int) -> Layout:
+        parts = max(1, math.ceil(count / capacity))
+        return cls(segment, 1 if parts <= radius + 1 else radius + 1, parts)
+
+    def _part(self, code: Column, family: int) -> Column:
+        if self.families == 1:
+            return F.pmod(F.xxhash64(code), F.lit(self.parts)).cast("int")
+        cuts = [64 * i // self.families for i in range(self.families + 1)]
+        low, high = cuts[family], cuts[family + 1]
+        piece = F.shiftrightunsigned(F.shiftleft(code, 64 - high), 64 - high + low)
+        return F.pmod(F.xxhash64(piece, F.lit(family)), F.lit(self.parts)).cast("int")
+
+    def _at(self, family: Column, part: Column) -> Column:
+        return F.struct(F.lit(self.segment).alias("segment"), family.cast("int").alias("family"), part.cast("int").alias("part"))
+
+    def placed(self, code: Column) -> Column:
+        """Array of the shards that hold a code."""
+        return F.array(*[self._at(F.lit(f), self._part(code, f)) for f in range(self.families)])
+
+    def visited(self, code: Column) -> Column:
+        """Array of the shards that a search for a code visits."""
+        if self.families > 1:
+            return self.placed(code)
+        return F.transform(F.sequence(F.lit(0), F.lit(self.parts - 1)), lambda p: self._at(F.lit(0), p))
+
+
+def _row(key: tuple, graph: small_world.Graph, owners) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "segment": [key[0]], "family": [key[1]], "part": [key[2]], "codes": [graph.codes.astype("<u8").tobytes()], "links": [graph.pack()],
+            "rest": [graph.rest.astype("<i8").tobytes()], "beam": [graph.beam], "recall": [graph.recall], "owners": [owners],
+        }
+    )
+
+
+def _codes(shard) -> np.ndarray:
+    return np.frombuffer(shard.codes, dtype="<u8")
+
+
+def _graph(shard) -> small_world.Graph:
+    return small_world.Graph.unpack(_codes(shard), shard.links, int(shard.beam), np.frombuffer(shard.rest, dtype="<i8"))
+
+
 def _build_shard(radius: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("spread", kind="stable")
-        codes = rows["code"].to_numpy(dtype=np.int64)
-        graph = small_world.build(codes.view(np.uint64), radius)
-        return pd.DataFrame(
-            {
-                "segment": key[0], "shard": key[1], "pos": np.arange(len(codes)), "code": codes,
-                "links": graph.neighbours(), "beam": graph.beam, "owner": rows["owner"].to_numpy(),
-            }
-        )
+        graph = small_world.build(rows["code"].to_numpy(dtype=np.int64).view(np.uint64), radius)
+        return _row(key, graph, rows["owner"].tolist())
 
     return run
 
 
-def build_segment(codes: DataFrame, segment: int, count: int, capacity: int, radius: int) -> DataFrame:
+def build_segment(codes: DataFrame, layout: Layout, capacity: int, radius: int) -> DataFrame:
     """Shards of at most about ``capacity`` of the distinct codes (columns code, owner)."""
-    shards = max(1, math.ceil(count / capacity))
-    placed = codes.select(
-        F.lit(segment).alias("segment"),
-        F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"),
-        "code",
-        "owner",
-        F.xxhash64("code", F.lit(1)).alias("spread"),
-    )
-    return placed.groupBy("segment", "shard").applyInPandas(_build_shard(radius), SHARD)
-
-
-def _search_shard(radius: int):
-    def run(key: tuple, shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if shard.empty or queries.empty:
-            return pd.DataFrame({"code": [], "hit": [], "owner": []})
-        shard = shard.sort_values("pos", kind="stable")
-        codes = shard["code"].to_numpy(dtype=np.int64)
-        width = max(1, int(shard["links"].map(len).max()))
-        links = np.full((len(codes), width), -1, dtype=np.int32)
-        for i, own in enumerate(shard["links"]):
-            links[i, : len(own)] = own
-        graph = small_world.Graph(codes.view(np.uint64), links, int(shard["beam"].iloc[0]))
-        asked = queries["code"].to_numpy(dtype=np.int64)
-        q, n = small_world.search(graph, asked.view(np.uint64), radius)
-        return pd.DataFrame({"code": asked[q], "hit": codes[n], "owner": shard["owner"].to_numpy()[n]})
+    placed = codes.select("code", "owner", F.inline(layout.placed(F.col("code"))), F.xxhash64("code", F.lit(1)).alias("spread"))
+    if layout.families == 1:
+        placed = placed.withColumn("sub", F.lit(0))
+    else:
+        sizes = placed.groupBy(*KEY).agg(F.ceil(F.count("*") / F.lit(2 * capacity)).alias("subs"))
+        placed = placed.join(sizes, KEY).withColumn("sub", F.pmod(F.xxhash64("code", F.lit(3)), F.col("subs")))
+    shards = max(1, layout.families * layout.parts)
+    spread = placed.repartition(min(4 * shards, 2000), *KEY, "sub")
+    return spread.groupBy(*KEY, "sub").applyInPandas(_build_shard(radius), SHARD).select(*SHARD_COLUMNS)
+
+
+def _search_rows(radius: int, nearest_owner: bool):
+    """Searches query blocks joined with shards; all owned hits, or the least owner of each query's hits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard in batch.itertuples(index=False):
+                asked = np.asarray(shard.asked, dtype=np.int64)
+                q, n = small_world.search(_graph(shard), asked.view(np.uint64), radius)
+                owners = np.asarray(shard.owners, dtype=object)
+                held = np.array([o is not None for o in owners], dtype=bool)
+                q, n = q[held[n]], n[held[n]]
+                found = pd.DataFrame({"code": asked[q], "hit": _codes(shard).view(np.int64)[n], "owner": owners[n]})
+                yield found.groupby("code", as_index=False, sort=False).agg({"hit": "first", "owner": "min"}) if nearest_owner and len(found) else found
 
     return run
 
 
-def search_shards(shards: DataFrame, keys: list[tuple[int, int]], queries: DataFrame, count: int, radius: int, block: int = 2048) -> DataFrame:
-    """code, hit, owner: codes of ``shards`` within ``radius`` of each of the distinct ``queries`` codes.
+def search_shards(shards: DataFrame, layouts: list[Layout], held: int, queries: DataFrame, count: int, radius: int, nearest_owner: bool = False, block: int = 1024) -> DataFrame:
+    """code, hit, owner: owned codes of ``shards`` within ``radius`` of each of the about ``count`` distinct ``queries`` codes.
 
-    Queries go to every shard of ``keys`` (segment, shard), each a graph that has to be walked, in
-    blocks of about ``block``, so that a large batch is spread over tasks.
+    Blocks of queries meet the shards they visit; the shards, which have ``held`` codes at most, are
+    sent to the blocks if that is less than ``SENT_BYTES``, else both are joined by shard. With
+    ``nearest_owner``, one row for each query and shard with the least owner among the hits;
+    otherwise all, reranked by exact distance.
     """
-    blocks = max(1, math.ceil(count / block))
-    each = F.array(*[F.struct(F.lit(s).alias("segment"), F.lit(k).alias("shard")) for s, k in keys])
-    routed = queries.select("code", F.pmod(F.xxhash64("code", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.inline(each))
-    copies = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    on = ["segment", "shard", "block"]
-    found = copies.groupBy(*on).cogroup(routed.groupBy(*on)).applyInPandas(_search_shard(radius), "code long, hit long, owner string")
-    return found.where(F.bit_count(F.col("code").bitwiseXOR(F.col("hit"))) <= radius)
+    routed = queries.select("code", F.inline(F.flatten(F.array(*[layout.visited(F.col("code")) for layout in layouts]))))
+    if any(layout.families > 1 for layout in layouts):
+        sizes = routed.groupBy(*KEY).agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
+        routed = routed.join(sizes, KEY)
+    else:
+        routed = routed.withColumn("blocks", F.lit(max(1, math.ceil(count / block))))
+    routed = routed.withColumn("block", F.pmod(F.xxhash64("code", F.lit(2)), F.col("blocks")))
+    tasks = max(1, math.ceil(count / block)) * sum(layout.parts for layout in layouts)
+    blocks = routed.repartition(min(2 * tasks, 2000), *KEY, "block").groupBy(*KEY, "block").agg(F.collect_list("code").alias("asked"))
+    size = CODE_BYTES * held * max(layout.families for layout in layouts)
+    rows = blocks.join(F.broadcast(shards) if size <= SENT_BYTES else shards, KEY).select("asked", "codes", "links", "rest", "beam", "owners")
+    found = rows.mapInPandas(_search_rows(radius, nearest_owner), "code long, hit long, owner string")
+    return found if nearest_owner else found.where(F.bit_count(F.col("code").bitwiseXOR(F.col("hit"))) <= radius).distinct()
 
 
-def first_independent(members: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """node, win: of nodes that conflict within the groups of ``members`` (g, node), the set that a pass in node order keeps.
+def set_owners(shards: DataFrame, layout: Layout, owners: DataFrame) -> DataFrame:
+    """The shards of one segment with the owners of ``owners`` (code, owner) in place of theirs; other codes have none and only guide searches."""
 
-    A node wins once it is the first undecided one in all its groups; the rest of those groups loses.
-    """
-    now, kept, turn = members, [], 0
-    while True:
-        first = now.groupBy("g").agg(F.min("node").alias("first"))
-        wins = now.join(first, "g").groupBy("node").agg(F.min(F.col("first") == F.col("node")).alias("win"))
-        marked = now.join(wins, "node")
-        taken = marked.groupBy("g").agg(F.max("win").alias("taken"))
-        decided = marked.join(taken, "g").groupBy("node").agg(F.max("taken").alias("decided"))
-        state = work.save(marked.join(decided, "node").select("g", "node", "win", "decided"), f"{name}_{turn}")
-        kept.append(state.where("decided").select("node", "win").distinct())
-        now = state.where("not decided").select("g", "node")
-        if now.isEmpty():
-            break
-        turn += 1
-    out = kept[0]
-    for more in kept[1:]:
-        out = out.unionByName(more)
-    return out
+    def run(key: tuple, held: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        own = dict(zip(rows["code"].tolist(), rows["owner"]))
+        held["owners"] = [[own.get(c) for c in _codes(s).view(np.int64).tolist()] for s in held.itertuples(index=False)]
+        return held[SHARD_COLUMNS]
+
+    placed = owners.select("code", "owner", F.inline(layout.placed(F.col("code"))))
+    return shards.groupBy(*KEY).cogroup(placed.groupBy(*KEY)).applyInPandas(run, SHARD)
 
 
 @dataclass
-class HistoryIndex:
-    """The accepted media: their digests, and their codes in graph shards."""
-
-    spark: SparkSession
-    work: Workspace
-    radius: int = 4
-    capacity: int = 8192
-    fan_in: int = 4
-    #: segment -> number of codes
-    segments: dict[int, int] = field(default_factory=dict)
-    loads: list[int] = field(default_factory=list)
-    next_segment: int = 0
+class Segment:
+    """``codes`` is an upper bound; ``folder`` holds its accepted media by digest bucket and, if it has codes, its shards."""
 
-    def _shards(self) -> DataFrame:
-        return self.spark.read.schema(SHARD).parquet(*[self.work.path(f"segment{s}") for s in self.segments])
+    segment: int
+    level: int
+    codes: int
+    accepted: int
+    buckets: int
+    folder: str
+    families: int = 1
+    parts: int = 0
 
-    def _keys(self) -> list[tuple[int, int]]:
-        return [(s, k) for s, n in self.segments.items() for k in range(self._parts(n))]
+    def layout(self) -> Layout:
+        return Layout(self.segment, self.families, self.parts)
 
-    def _parts(self, count: int) -> int:
-        return max(1, math.ceil(count / self.capacity))
 
-    def _accepted(self) -> DataFrame:
-        paths = [self.work.path(f"accepted{b}") for b in self.loads]
-        return self.spark.read.schema(ACCEPTED).parquet(*paths) if paths else self.spark.createDataFrame([], ACCEPTED)
+@dataclass
+class Manifest:
+    version: int = 0
+    next_segment: int = 0
+    batches: list[int] = field(default_factory=list)
+    segments: list[Segment] = field(default_factory=list)
+    #: batch -> folders of its matches
+    matches: dict[str, list[str]] = field(default_factory=dict)
 
-    def add(self, load: int, media: DataFrame) -> DataFrame:
-        """Accept what is new in a load (node, sha, code); returns matches as sha, code, accepted, kind.
 
-        ``node`` identifies a media and orders the load, which may hold several batches. A match
-        joins a signature of the load with an accepted node of an earlier load or of this one; a
-        media repeats those that come before it.
+class HistoryIndex:
+    """The accepted media under ``root``: their digests, and their codes in graph shards."""
+
+    def __init__(self, spark: SparkSession, root: str, radius: int = 4, capacity: int = 8192, fan_in: int = 4):
+        self.spark, self.root, self.radius, self.capacity, self.fan_in = spark, root, radius, capacity, fan_in
+        self.work = Workspace(spark, "history-work")
+
+    def manifest(self) -> Manifest:
+        names = [n for n in list_names(self.spark, f"{self.root}/manifest") if n.endswith(".json")]
+        if not names:
+            return Manifest()
+        held = json.loads(read_text(self.spark, f"{self.root}/manifest/{names[-1]}"))
+        return Manifest(**held | {"segments": [Segment(**s) for s in held["segments"]]})
+
+    def _shards(self, segments: list[Segment]) -> DataFrame:
+        return self.spark.read.schema(SHARD).parquet(*[f"{s.folder}/shards" for s in segments])
+
+    def _accepted(self, segments: list[Segment], touched: list[int] | None = None) -> DataFrame:
+        """Accepted media of the segments, from the digest buckets that ``touched`` (numbers modulo a power of two) fall into."""
+        paths = []
+        for s in segments:
+            own = range(s.buckets) if touched is None else sorted({t % s.buckets for t in touched})
+            there = set(list_names(self.spark, f"{s.folder}/accepted"))
+            paths += [f"{s.folder}/accepted/bucket={b}" for b in own if f"bucket={b}" in there]
+        if not paths:
+            return self.spark.createDataFrame([], ACCEPTED).drop("bucket")
+        return self.spark.read.schema(ACCEPTED.rpartition(", ")[0]).parquet(*paths)
+
+    def recall(self) -> DataFrame:
+        """segment, family, part, codes, beam, recall of each shard, as measured against exhaustive search when it was built."""
+        held = [s for s in self.manifest().segments if s.parts]
+        return self._shards(held).select(*KEY, (F.length("codes") / 8).cast("bigint").alias("codes"), "beam", "recall")
+
+    def matches(self) -> DataFrame:
+        """batch, sha, code, accepted, kind: what the signatures of each batch repeat."""
+        paths = [p for own in self.manifest().matches.values() for p in own]
+        return self.spark.read.schema(MATCHES).parquet(*paths) if paths else self.spark.createDataFrame([], MATCHES)
+
+    def add(self, batch: int, media: DataFrame) -> None:
+        """Accept what is new in a batch (node, sha, code) and store its matches, as one commit.
+
+        ``node`` identifies a media and orders the batch; those of later batches must be greater.
+        A match joins a signature of the batch with an accepted node of an earlier batch or of this
+        one; a media repeats those that come before it. Raises ValueError if the batch is in the
+        index and FileExistsError if another writer commits first; the index then stays as it was.
         """
-        radius, name = self.radius, f"load{load}"
+        before = self.manifest()
+        if batch in before.batches:
+            raise ValueError(f"batch {batch} is in the index")
+        attempt = f"{self.root}/segments/{before.version + 1:08d}-{uuid.uuid4().hex}"
+        name, radius = f"batch{batch}", self.radius
         signatures = media.groupBy("sha", "code").agg(F.min("node").alias("node")).where("sha is not null or code is not null")
         signatures = self.work.save(signatures, f"{name}_signatures")
-        codes = signatures.where("code is not null").select("code").distinct().withColumn("owner", F.lit(None).cast("string"))
-        count = codes.count()
-
-        accepted = self._accepted()
-        found = self._exact(signatures, accepted)
-        if self.segments and count:
-            near = search_shards(self._shards(), self._keys(), codes, count, radius).select("code", F.col("owner").alias("accepted"))
-            found = found.unionByName(self._near(signatures, near.where("accepted is not null"), accepted))
-        history = self.work.save(found, f"{name}_history")
-
-        segment, inside = self.next_segment, None
-        if count:
-            own = self.work.save(build_segment(codes, segment, count, self.capacity, radius), f"{name}_graph")
-            keys = [(segment, k) for k in range(self._parts(count))]
-            inside = self.work.save(search_shards(own, keys, codes, count, radius).select("code", "hit"), f"{name}_inside")
-        new = signatures.join(history.select("node").distinct(), "node", "left_anti")
-        members = new.where("sha is not null").select(F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("sha").alias("c"), "node")
-        if inside is not None:
-            by_code = new.where("code is not null").select("code", "node")
-            pairs = inside.where("code <= hit").select(F.col("code").alias("a"), F.col("hit").alias("b"), F.explode(F.array_distinct(F.array("code", "hit"))).alias("code"))
-            members = members.unionByName(pairs.join(by_code, "code").select("a", "b", F.lit(None).cast("string").alias("c"), "node"))
-        members = members.select(F.struct("a", "b", "c").alias("g"), "node").distinct()
-        shared = members.join(members.groupBy("g").count().where("count > 1").select("g"), "g", "left_semi")
-        decided = first_independent(shared, self.work, f"{name}_rounds")
-        kept = new.join(decided.where("not win").select("node"), "node", "left_anti")
-        kept = self.work.save(kept.select("node", "sha", "code"), f"accepted{load}")
-
-        matches = history.unionByName(self._exact(signatures, kept))
-        if inside is not None:
-            owners = kept.where("code is not null").select(F.col("code").alias("hit"), F.col("node").alias("accepted"))
-            matches = matches.unionByName(self._near(signatures, inside.join(owners, "hit").select("code", "accepted"), kept))
-        matches = self.work.save(matches.select("sha", "code", "accepted", "kind").distinct(), f"{name}_matches")
-        self.loads.append(load)
-        if inside is not None:
-            self._append(own, kept, segment, count)
-        for part in ("signatures", "history", "graph", "inside"):
-            self.work.drop(f"{name}_{part}")
-        return matches
-
-    @staticmethod
-    def _exact(signatures: DataFrame, accepted: DataFrame) -> DataFrame:
-        same = accepted.where("sha is not null").select("sha", F.col("node").alias("accepted"))
-        return signatures.join(same, "sha").select("sha", "code", "node", "accepted", F.lit("exact").alias("kind"))
-
-    @staticmethod
-    def _near(signatures: DataFrame, near: DataFrame, accepted: DataFrame) -> DataFrame:
-        """Near matches of the load's signatures, without those that are equal by digest."""
-        digests = accepted.select(F.col("node").alias("accepted"), F.col("sha").alias("asha"))
-        pairs = signatures.join(near, "code").join(digests, "accepted")
-        return pairs.where("not coalesce(sha = asha, false)").select("sha", "code", "node", "accepted", F.lit("near").alias("kind"))
-
-    def _append(self, graph: DataFrame, kept: DataFrame, segment: int, count: int) -> None:
-        """The load's graph becomes a segment that knows who owns each accepted code; other codes only guide searches."""
-        owners = kept.where("code is not null").select("code", F.col("node").alias("own"))
-        named = graph.join(owners, "code", "left").withColumn("owner", F.col("own"))
-        self.work.save(named.select(*[c.split()[0] for c in SHARD.split(", ")]), f"segment{segment}")
-        self.segments[segment] = count
-        self.next_segment += 1
-        self._compact()
-
-    def _tier(self, count: int) -> int:
-        return int(math.log(max(1, count / self.capacity), self.fan_in)) if count > self.capacity else 0
-
-    def _compact(self) -> None:
-        """Merge the segments of a size class once there are ``fan_in`` of them, keeping accepted codes only."""
+        slot = F.pmod(F.xxhash64("sha"), F.lit(MOST_BUCKETS)).cast("int")
+        most = max([1, *(s.buckets for s in before.segments)])
+        n = signatures.agg(
+            F.count("*").alias("signatures"), F.count("code").alias("codes"), F.collect_set(F.when(F.col("sha").isNotNull(), slot % most)).alias("touched")
+        ).head()
+        codes = signatures.where("code is not null").select("code").distinct()
+        found, new = [], signatures
+        if before.segments and n["signatures"]:
+            matched = self._lookup(signatures, codes, n["codes"], before.segments, n["touched"])
+            self._save(matched, batch, f"{attempt}/matches-history")
+            found.append(f"{attempt}/matches-history")
+            known = self.spark.read.schema(MATCHES).parquet(found[0]).select(F.col("sha").alias("s"), F.col("code").alias("c")).distinct()
+            new = signatures.join(known, F.col("sha").eqNullSafe(F.col("s")) & F.col("code").eqNullSafe(F.col("c")), "left_anti")
+            new = self.work.save(new, f"{name}_new")
+
+        segment = Segment(before.next_segment, 0, n["codes"], n["signatures"], _buckets(n["signatures"]), attempt)
+        graph = layout = None
+        if n["codes"]:
+            layout = Layout.of(segment.segment, n["codes"], self.capacity, radius)
+            segment.families, segment.parts = layout.families, layout.parts
+            owners = new.where("code is not null").groupBy("code").agg(F.min("node").alias("owner"))
+            graph = self.work.save(build_segment(owners, layout, self.capacity, radius), f"{name}_graph")
+        kept = self._decide(new, graph, layout, n["codes"], name)
+        self._keep(kept, segment)
+        stored = self._accepted([segment])
+        if graph is not None:
+            owned = stored.where("code is not null").select("code", F.col("node").alias("owner"))
+            set_owners(graph, layout, owned).write.option("compression", "zstd").parquet(f"{attempt}/shards")
+        self._save(self._lookup(signatures, codes, n["codes"], [segment], None), batch, f"{attempt}/matches-own")
+        found.append(f"{attempt}/matches-own")
+
+        after = Manifest(before.version + 1, before.next_segment + 1, [*before.batches, batch], [*before.segments, segment], before.matches | {str(batch): found})
+        gone = self._compact(after)
+        publish_text(self.spark, f"{self.root}/manifest/{after.version:08d}.json", json.dumps(asdict(after)))
+        for s in gone:
+            for part in ("shards", "accepted"):
+                delete(self.spark, f"{s.folder}/{part}")
+        for part in (n for n in list_names(self.spark, self.work.root) if n.startswith(f"{name}_")):
+            self.work.drop(part)
+
+    def _save(self, matches: DataFrame, batch: int, path: str) -> None:
+        matches.select(F.lit(batch).alias("batch"), "sha", "code", "accepted", "kind").write.option("compression", "zstd").parquet(path)
+
+    def _lookup(self, signatures: DataFrame, codes: DataFrame, count: int, segments: list[Segment], touched: list[int] | None) -> DataFrame:
+        """sha, code, accepted, kind: accepted media of the segments that match a signature."""
+        same = self._accepted(segments, touched).where("sha is not null").select("sha", F.col("node").alias("accepted"))
+        found = signatures.where("sha is not null").join(same, "sha").select("sha", "code", "accepted", F.lit("exact").alias("kind"))
+        held = [s for s in segments if s.parts]
+        if held and count:
+            hits = search_shards(self._shards(held), [s.layout() for s in held], sum(s.codes for s in held), codes, count, self.radius)
+            near = signatures.join(hits.select("code", F.col("owner").alias("accepted")), "code")
+            found = found.unionByName(near.select("sha", "code", "accepted", F.lit("near").alias("kind")))
+        # A pair that is equal by digest is exact only. An accepted signature is matched by its own copies.
+        return found.groupBy("sha", "code", "accepted").agg(F.min("kind").alias("kind"))
+
+    def _keep(self, kept: DataFrame, segment: Segment) -> None:
+        bucket = F.pmod(F.xxhash64("sha"), F.lit(segment.buckets)).cast("int")
+        kept.select("node", "sha", "code", bucket.alias("bucket")).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{segment.folder}/accepted")
+
+    def _decide(self, new: DataFrame, graph: DataFrame | None, layout: Layout | None, count: int, name: str) -> DataFrame:
+        """node, sha, code that a pass over ``new`` in node order accepts.
+
+        In each round a signature is accepted if it comes first among the undecided ones it conflicts
+        with, and rejected if it conflicts with an accepted one. Searches return the least owner of
+        the hits only, so what a round moves is one row a signature, however alike they are.
+        """
+        state = new.select("sha", "code", "node", F.lit(None).cast("boolean").alias("kept"))
+        turn = 0
+        while True:
+            undecided = state.where("kept is null")
+            rank = F.when(F.col("kept"), F.concat(F.lit(KEPT), F.col("node"))).otherwise(F.col("node")).alias("owner")
+            running = state.where("kept is null or kept")
+            by_sha = running.where("sha is not null").groupBy("sha").agg(F.min(rank).alias("first"))
+            rivals = undecided.join(by_sha, "sha", "left")
+            if graph is not None:
+                if turn:
+                    graph_now = set_owners(graph, layout, running.where("code is not null").groupBy("code").agg(F.min(rank).alias("owner")))
+                else:
+                    graph_now = graph
+                asked = undecided.where("code is not null").select("code").distinct()
+                near = search_shards(graph_now, [layout], count, asked, count, self.radius, nearest_owner=True).groupBy("code").agg(F.min("owner").alias("near"))
+                rivals = rivals.join(near, "code", "left").withColumn("first", F.least("first", "near"))
+            rivals = self.work.save(rivals.select("sha", "code", "node", F.coalesce("first", "node").alias("first")), f"{name}_rivals{turn}")
+            leaders = rivals.where("first = node").select(F.col("node").alias("leader"))
+            marked = rivals.join(leaders, F.col("first") == F.col("leader"), "left")
+            verdict = F.when(F.col("first") == F.col("node"), True).when(F.col("first").startswith(KEPT) | F.col("leader").isNotNull(), False)
+            decided = marked.select("sha", "code", "node", verdict.alias("kept")).unionByName(state.where("kept"))
+            state = self.work.save(decided, f"{name}_state{turn}")
+            if state.where("kept is null").isEmpty():
+                return state.where("kept").select("node", "sha", "code")
+            turn += 1
+
+    def _compact(self, after: Manifest) -> list[Segment]:
+        """Merges the segments of a level once there are ``fan_in`` of them, into one of the next level with accepted codes only; returns those replaced."""
+        gone: list[Segment] = []
         while True:
-            by: dict[int, list[int]] = {}
-            for s, n in self.segments.items():
-                by.setdefault(self._tier(n), []).append(s)
-            full = next((s for s in by.values() if len(s) >= self.fan_in), None)
+            by: dict[int, list[Segment]] = {}
+            for s in after.segments:
+                by.setdefault(s.level, []).append(s)
+            full = next((own for own in by.values() if len(own) >= self.fan_in), None)
             if full is None:
-                return
-            paths = [self.work.path(f"segment{s}") for s in full]
-            codes = self.spark.read.schema(SHARD).parquet(*paths).where("owner is not null").select("code", "owner")
-            count = codes.count()
-            merged = self.next_segment
-            self.next_segment += 1
-            self.work.save(build_segment(codes, merged, count, self.capacity, self.radius), f"segment{merged}")
-            for s in full:
-                del self.segments[s]
-                delete(self.spark, self.work.path(f"segment{s}"))
-            if count:
-                self.segments[merged] = count
-
-
-def plan_loads(sizes: dict[int, int]) -> list[list[int]]:
-    """Consecutive batches in loads that are no larger than what precedes them, unless a single batch is."""
-    loads: list[list[int]] = []
-    before = size = 0
-    for batch in sorted(sizes):
-        if loads and size + sizes[batch] <= before:
-            loads[-1].append(batch)
-            size += sizes[batch]
-        else:
-            before += size
-            loads.append([batch])
-            size = sizes[batch]
-    return loads
-
-
-def repeated_media(media: DataFrame, metadata: DataFrame, radius: int = 4, capacity: int = 8192) -> DataFrame:
+                return gone
+            accepted = self._accepted(full)
+            n = accepted.agg(F.count("*").alias("accepted"), F.count("code").alias("codes")).head()
+            folder = f"{self.root}/segments/{after.version:08d}-{uuid.uuid4().hex}"
+            merged = Segment(after.next_segment, full[0].level + 1, n["codes"], n["accepted"], _buckets(n["accepted"]), folder)
+            self._keep(accepted, merged)
+            if n["codes"]:
+                layout = Layout.of(merged.segment, n["codes"], self.capacity, self.radius)
+                merged.families, merged.parts = layout.families, layout.parts
+                codes = accepted.where("code is not null").select("code", F.col("node").alias("owner"))
+                build_segment(codes, layout, self.capacity, self.radius).write.option("compression", "zstd").parquet(f"{folder}/shards")
+            after.segments = [s for s in after.segments if s not in full] + [merged]
+            after.next_segment += 1
+            gone += full
+
+
+def repeated_media(media: DataFrame, metadata: DataFrame, radius: int = 4, capacity: int = 8192, fan_in: int = 4) -> DataFrame:
     """mediaIdA, mediaIdB, matchKind of all batches in order: media not accepted and the accepted they match.
 
-    Media without valid digest and code match nothing. Empty tables give no rows.
+    The batches are added to an empty index one by one. Media without valid digest and code match
+    nothing. Empty tables give no rows.
     """
     spark = media.sparkSession
     work = Workspace(spark, "history")
     order = F.concat(F.lpad((F.col("batch").cast("bigint") + 2**31).cast("string"), 10, "0"), F.lit("|"), F.col("mediaId"))
-    known = work.save(media_signatures(media, metadata).withColumn("node", order), "media")
-    index = HistoryIndex(spark, work, radius, capacity)
-    sizes = {r["batch"]: r["count"] for r in known.groupBy("batch").count().collect()}  # one row a batch
-    for i, batches in enumerate(plan_loads(sizes)):
-        index.add(i, known.where(F.col("batch").between(batches[0], batches[-1])).select("node", "sha", "code"))
-    if not index.loads:
-        return spark.createDataFrame([], "mediaIdA string, mediaIdB string, matchKind string")
-    paths = [work.path(f"load{i}_matches") for i in index.loads]
-    matches = spark.read.schema("sha string, code long, accepted string, kind string").parquet(*paths).distinct()
-    rows = known.where("sha is not null or code is not null").select("mediaId", "sha", "code", "node")
-    same = rows["sha"].eqNullSafe(matches["sha"]) & rows["code"].eqNullSafe(matches["code"]) & (matches["accepted"] < rows["node"])
-    pairs = rows.join(matches, same).select("mediaId", F.expr("substr(accepted, 12)").alias("other"), F.col("kind").alias("matchKind"))
+    known = media_signatures(media, metadata).where("sha is not null or code is not null").withColumn("node", order)
+    known = work.save(known.sortWithinPartitions("batch"), "media")  # row groups hold few batches
+    index = HistoryIndex(spark, work.path("index"), radius, capacity, fan_in)
+    for batch in sorted(r[0] for r in known.select("batch").distinct().collect()):  # one row a batch
+        index.add(batch, known.where(F.col("batch") == batch).select("node", "sha", "code"))
+    matches = index.matches().withColumnsRenamed({"batch": "b", "sha": "s", "code": "c"})
+    same = (F.col("batch") == F.col("b")) & F.col("sha").eqNullSafe(F.col("s")) & F.col("code").eqNullSafe(F.col("c")) & (F.col("accepted") < F.col("node"))
+    pairs = known.join(matches, same).select("mediaId", F.expr("substr(accepted, 12)").alias("other"), F.col("kind").alias("matchKind"))
     return pairs.select(F.least("mediaId", "other").alias("mediaIdA"), F.greatest("mediaId", "other").alias("mediaIdB"), "matchKind").distinct()

@@ -4,12 +4,13 @@ Codes are inserted in blocks: each is linked both ways with the nearest codes th
 over the codes before it finds. Early codes have far neighbours, which later become the long links
 that a search follows first. Searches walk many queries at once; every code whose distance was
 computed and is within the radius is a hit, and a query with so many hits that they might have
-filled its beam is searched again with a wider one, so hits are never cut off.
+filled its beam is searched again with a wider one, so hits are never cut off. Codes that even a
+repaired graph doesn't lead to are kept in a list that every search compares one by one.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -29,9 +30,23 @@ class Graph:
     codes: np.ndarray  # uint64, n
     links: np.ndarray  # int32, n x width, -1 where empty
     beam: int = BUILD_BEAM
+    #: Nodes that walks don't reach.
+    rest: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    #: Part of the true hits of the sample queries that the beam found.
+    recall: float = 1.0
 
-    def neighbours(self) -> list[np.ndarray]:
-        return [row[row >= 0] for row in self.links]
+    def pack(self) -> bytes:
+        """Links as one byte string: each node's number of links, then all links."""
+        held = self.links >= 0
+        return held.sum(axis=1).astype("<u2").tobytes() + self.links[held].astype("<u4").tobytes()
+
+    @classmethod
+    def unpack(cls, codes: np.ndarray, packed: bytes, beam: int, rest: np.ndarray) -> Graph:
+        n = len(codes)
+        counts = np.frombuffer(packed, dtype="<u2", count=n).astype(np.int64)
+        links = np.full((n, max(1, int(counts.max(initial=0)))), -1, dtype=np.int32)
+        links[np.arange(links.shape[1])[None, :] < counts[:, None]] = np.frombuffer(packed, dtype="<u4", offset=2 * n)
+        return cls(codes, links, beam, rest)
 
 
 def _walk(codes: np.ndarray, links: np.ndarray, size: int, queries: np.ndarray, beam: int, radius: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -123,14 +138,17 @@ def build(codes: np.ndarray, radius: int, target_recall: float = 1.0, sample: in
         done = block[-1] + 1
     graph = Graph(codes, links)
     _repair(graph)
-    graph.beam = _tune(graph, radius, target_recall, sample)
+    graph.beam, graph.recall = _tune(graph, radius, target_recall, sample)
     return graph
 
 
-def _repair(graph: Graph) -> None:
-    """Codes that a search for themselves doesn't find get a link from the nearest code that it does find."""
+def _repair(graph: Graph, rounds: int = 8) -> None:
+    """Codes that a search for themselves doesn't find get a link from the nearest code that it does find.
+
+    Those still lost after the last round, which new links may have hidden, go to ``rest``.
+    """
     n = len(graph.codes)
-    for _ in range(8):
+    for turn in range(rounds + 1):
         lost: list[tuple[int, int]] = []
         for start in range(0, n, CHUNK):
             at = np.arange(start, min(n, start + CHUNK))
@@ -139,6 +157,9 @@ def _repair(graph: Graph) -> None:
             lost += [(int(m), int(best[m - start, 0] & 0xFFFFFFFF)) for m in missing]
         if not lost:
             return
+        if turn == rounds:
+            graph.rest = np.array(sorted(m for m, _ in lost), dtype=np.int64)
+            return
         extra: dict[int, list[int]] = {}
         for m, t in lost:
             extra.setdefault(t, []).append(m)
@@ -148,8 +169,8 @@ def _repair(graph: Graph) -> None:
         graph.links = np.concatenate([graph.links, more], axis=1)
 
 
-def _tune(graph: Graph, radius: int, target_recall: float, sample: int) -> int:
-    """The narrowest beam, doubled from twice the build's, that finds what an exhaustive search finds."""
+def _tune(graph: Graph, radius: int, target_recall: float, sample: int) -> tuple[int, float]:
+    """The narrowest beam, doubled from twice the build's, that finds what an exhaustive search finds, and the part it finds."""
     n = len(graph.codes)
     rng = np.random.default_rng(n)
     chosen = rng.choice(n, size=min(n, sample), replace=False)
@@ -158,16 +179,15 @@ def _tune(graph: Graph, radius: int, target_recall: float, sample: int) -> int:
         queries ^= np.where(rng.random(len(queries)) < 0.75, np.uint64(1) << rng.integers(0, 64, len(queries)).astype(np.uint64), np.uint64(0))
     truth = {(int(i), int(j)) for i, j in zip(*np.nonzero(distance(queries[:, None], graph.codes[None, :]) <= radius))}
     beam = 2 * BUILD_BEAM
-    while beam < n:
+    while True:
         got = {(int(i), int(j)) for i, j in zip(*search(graph, queries, radius, beam))}
-        if len(got) >= target_recall * len(truth):
-            break
+        if beam >= n or len(got) >= target_recall * len(truth):
+            return beam, len(got) / max(1, len(truth))
         beam *= 2
-    return beam
 
 
 def search(graph: Graph, queries: np.ndarray, radius: int, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) within ``radius``, found with the graph's beam or the given one."""
+    """Different pairs (query, node) within ``radius``, found with the graph's beam or the given one."""
     n = len(graph.codes)
     if not n or not len(queries):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -185,4 +205,11 @@ def search(graph: Graph, queries: np.ndarray, radius: int, beam: int | None = No
             hit_q, hit_n = hit_q[keep], hit_n[keep]
         out_q.append(at[hit_q])
         out_n.append(hit_n)
-    return np.concatenate(out_q), np.concatenate(out_n)
+    if not len(graph.rest):
+        return np.concatenate(out_q), np.concatenate(out_n)
+    for start in range(0, len(queries), chunk):
+        hit_q, hit_r = np.nonzero(distance(graph.codes[graph.rest][None, :], queries[start : start + chunk, None]) <= radius)
+        out_q.append(hit_q + start)
+        out_n.append(graph.rest[hit_r])
+    pairs = np.unique(np.stack([np.concatenate(out_q), np.concatenate(out_n)], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]

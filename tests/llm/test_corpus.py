@@ -189,16 +189,17 @@ def history(seed, n, batches=5):
     return media, meta
 
 
-@pytest.mark.parametrize("seed", [1])
-def test_history(spark, seed, monkeypatch):
-    media, meta = history(seed, 400)
-    frames = spark.createDataFrame(media, MEDIA), spark.createDataFrame(meta, META)
-    named = [dict(zip(("mediaId", "sha256", "batchNo"), m)) for m in media], [dict(zip(("mediaId", "raw", "extractedAt"), m)) for m in meta]
-    want = brute.p2(*named)
-    assert tuples(history_index.repeated_media(*frames)) == want
-    # One load a batch, small shards, and compaction.
-    monkeypatch.setattr(history_index, "plan_loads", lambda sizes: [[b] for b in sorted(sizes)])
-    assert tuples(history_index.repeated_media(*frames, capacity=64)) == want
+def named(media, meta):
+    return [dict(zip(("mediaId", "sha256", "batchNo"), m)) for m in media], [dict(zip(("mediaId", "raw", "extractedAt"), m)) for m in meta]
+
+
+@pytest.mark.parametrize(("capacity", "sent"), [(8192, 1 << 25), (16, 0)])
+def test_history(spark, capacity, sent, monkeypatch):
+    """One shard a segment sent to the queries, and many, placed by slices of the bits, joined with them; two compactions."""
+    media, meta = history(1, 300)
+    monkeypatch.setattr(history_index, "SENT_BYTES", sent)
+    got = history_index.repeated_media(spark.createDataFrame(media, MEDIA), spark.createDataFrame(meta, META), capacity=capacity, fan_in=2)
+    assert tuples(got) == brute.p2(*named(media, meta))
 
 
 def test_history_empty(spark):
@@ -207,11 +208,40 @@ def test_history_empty(spark):
     assert tuples(history_index.repeated_media(only, spark.createDataFrame([], META))) == set()
 
 
-def test_loads_at_most_double_the_history():
-    assert history_index.plan_loads({1: 40, 2: 5, 3: 30, 4: 10, 5: 100}) == [[1], [2, 3], [4], [5]]
-    loads = history_index.plan_loads(dict.fromkeys(range(1, 20), 10))
-    assert [b for load in loads for b in load] == list(range(1, 20)) and len(loads) <= 6
-    assert history_index.plan_loads({}) == []
+BATCH = "node string, sha string, code long"
+
+
+def test_another_session_continues_the_index(spark, tmp_path):
+    index = history_index.HistoryIndex(spark, str(tmp_path), fan_in=3)
+    for k in range(4):
+        rows = [(f"{k}|{i:03d}", None, i << 32 | i << 8 if i % 2 else 77 << 40 | i << 10 | i << 50) for i in range(40 * k, 40 * k + 60)]
+        index.add(k, spark.createDataFrame(rows, BATCH))
+    again = history_index.HistoryIndex(spark, str(tmp_path))
+    held = again.manifest()
+    assert held.batches == [0, 1, 2, 3] and [s.level for s in held.segments] == [1, 0]  # the first three were compacted
+    assert all(r["recall"] >= 0.9 and r["codes"] > 0 for r in again.recall().collect())
+    with pytest.raises(ValueError):
+        again.add(3, spark.createDataFrame([], BATCH))
+    again.add(4, spark.createDataFrame([("4|000", "s", 3 << 32 | 3 << 8 | 1), ("4|001", "s", None), ("4|002", None, None)], BATCH))
+    # 4|000 is within the radius of 0|001; 4|001 has its digest and, coming later, is new.
+    code = (3 << 32) + (3 << 8) + 1
+    assert {tuple(r)[1:] for r in again.matches().where("batch = 4").collect()} == {("s", code, "0|001", "near"), ("s", code, "4|001", "exact"), ("s", None, "4|001", "exact")}
+    stale = history_index.HistoryIndex(spark, str(tmp_path))
+    stale.manifest = lambda: held
+    with pytest.raises(FileExistsError):
+        stale.add(5, spark.createDataFrame([("5|000", "t", None)], BATCH))
+    assert history_index.HistoryIndex(spark, str(tmp_path)).manifest().batches == [0, 1, 2, 3, 4] and again.recall().count() >= 2
+
+
+def test_codes_that_walks_miss_are_compared_one_by_one():
+    codes = np.arange(40, dtype=np.uint64) << np.uint64(20)
+    graph = small_world.build(codes, 4)
+    graph.links[:] = -1
+    small_world._repair(graph, rounds=0)
+    assert len(graph.rest)
+    graph = small_world.Graph.unpack(graph.codes, graph.pack(), graph.beam, graph.rest)
+    q, n = small_world.search(graph, codes, 0)
+    assert q.tolist() == n.tolist() == list(range(40))
 
 
 def test_graph_recall():
