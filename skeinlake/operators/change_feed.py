@@ -223,7 +223,7 @@ class EntryTable:
                 delete(self.spark, f"{self.root}/removals/{name}")
 
 
-def replay(log: DataFrame, slices: int = 2, events_per_bucket: int = 100_000) -> DataFrame:
+def replay(log: DataFrame, slices: int = 2, events_per_bucket: int = 25_000) -> DataFrame:
     """The entries that result from a whole log: sourceEntryId and the entry's fields.
 
     The log is applied in ``slices`` of consecutive positions, each a commit on the table

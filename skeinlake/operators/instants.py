@@ -1,11 +1,16 @@
 """Timestamps in many notations, precisions and zones as one instant in epoch milliseconds.
 
 Every value is read under each notation it is valid in. Values with several readings are
-settled by expectation-maximisation over a mixture of notations per source: all values of a
-source contribute to its notation weights by the posterior of each of their readings, and the
+settled by expectation-maximisation over a mixture of notations per source: each value contributes
+the likelihood of each of its readings, their posteriors add up to the notations' weights, and the
 weights give the posteriors again until they settle. A reading is chosen where its posterior
 reaches ``confidence``; otherwise the value is marked ambiguous and gets no instant.
 
+A reading's likelihood is that of the notation for the text (1 where nothing is laid down,
+``DOMINATED`` where a rule prefers another reading), times ``LATE`` if the instant lies after the
+time by which the value is known to have existed. What a rule declares impossible competes as a
+reading of its own, ``nothing``.
+
 Fixed readings: a zone or offset in the text wins over the row's zone, which wins over UTC; a
 wall time that occurs twice is its first occurrence and one that never occurs is read with the
 offset before the jump; fractions are cut to the millisecond; bare numbers are seconds,
@@ -47,6 +52,8 @@ GRAMMAR: dict[str, tuple[str, str]] = {
 
 #: Units of bare numbers: how many make a second.
 UNITS = {"seconds": 1, "milliseconds": 1_000, "microseconds": 1_000_000}
+#: Likelihood of a reading that a rule sets aside, and of one that lies after the value was recorded.
+DOMINATED, LATE = 1e-12, 1e-3
 #: First second of 2000 and first second after 2035.
 WINDOW = (946_684_800, 2_082_758_400)
 
@@ -83,7 +90,11 @@ def _readings(rows: DataFrame, zones: list[str], month: str, day: str, suffix: s
 
 
 def readings(rows: DataFrame, value: str, zone: str) -> DataFrame:
-    """Adds ``readings``: array of (notation, ms), the instants that ``value`` may denote; empty if none."""
+    """Adds ``readings``: array of (notation, ms, prior), the instants that ``value`` may denote; empty if none.
+
+    Dotted dates may also have the month first, and numbers that count since 1970 may be calendar
+    digits, both dominated by the rules that set these readings aside.
+    """
     zones = zone_ids(rows.sparkSession)
     plain = F.trim(F.translate(F.col(value), SPACES + DASHES, " " * len(SPACES) + "-" * len(DASHES)))
     shape, found = F.lit(None).cast("string"), rows.withColumn("_v", plain)
@@ -117,40 +128,48 @@ def readings(rows: DataFrame, value: str, zone: str) -> DataFrame:
         .withColumn("_n", F.when(F.col("_v").rlike("^\\d{1,18}(\\.\\d+)?$"), F.split("_v", "\\.")))
     )
     found = _readings(found, zones, "_mo", "_d", "1")
-    found = _readings(found.withColumn("_swap", F.when(part(0) == "slashed", F.col("_mo"))), zones, "_d", "_swap", "2")
+    found = _readings(found.withColumn("_swap", F.when(part(0).isin("slashed", "dotted"), F.col("_mo"))), zones, "_d", "_swap", "2")
 
     number, cut = F.col("_n")[0].try_cast("bigint"), F.rpad(F.coalesce(F.try_element_at("_n", F.lit(2)), F.lit("")), 3, "0")
     counted = []
     for unit, per_second in UNITS.items():
         inside = (number >= WINDOW[0] * per_second) & (number < WINDOW[1] * per_second)
         ms = number * 1000 + F.substring(cut, 1, 3).cast("bigint") if per_second == 1 else F.floor(number / (per_second // 1000)).cast("bigint")
-        counted.append(F.struct(F.lit(unit).alias("notation"), F.when(inside, ms).alias("ms")))
-    first = F.when(part(0) == "slashed", F.lit("slashed_day_first")).otherwise(part(0))
+        counted.append(F.struct(F.lit(unit).alias("notation"), F.when(inside, ms).alias("ms"), F.lit(1.0).alias("prior")))
+    found = found.withColumn("_count", F.filter(F.array(*counted), lambda x: x["ms"].isNotNull()))
+    dotted, slashed = part(0) == "dotted", part(0) == "slashed"
+    first = F.when(dotted | slashed, F.concat(part(0), F.lit("_day_first"))).otherwise(part(0))
+    second = F.concat(part(0), F.lit("_month_first"))
+    set_aside = F.when(F.size("_count") > 0, F.lit(DOMINATED)).otherwise(1.0)
     written = [
-        F.struct(first.alias("notation"), F.col("ms1").alias("ms")),
-        F.struct(F.lit("slashed_month_first").alias("notation"), F.col("ms2").alias("ms")),
+        F.struct(first.alias("notation"), F.col("ms1").alias("ms"), set_aside.alias("prior")),
+        F.struct(second.alias("notation"), F.col("ms2").alias("ms"), F.when(dotted, F.lit(DOMINATED)).otherwise(1.0).alias("prior")),
     ]
-    found = found.withColumn("_count", F.filter(F.array(*counted), lambda x: x["ms"].isNotNull()))
     found = found.withColumn("_written", F.filter(F.array(*written), lambda x: x["ms"].isNotNull()))
-    chosen = F.when(F.col("_v").isNull(), F.array().cast("array<struct<notation:string,ms:bigint>>"))
-    chosen = chosen.when(F.size("_count") > 0, F.col("_count")).otherwise(F.col("_written"))
+    # Where only a dominated reading is valid, the rule says that the text denotes nothing.
+    nothing = F.array(F.struct(F.lit("nothing").alias("notation"), F.lit(None).cast("bigint").alias("ms"), F.lit(1.0).alias("prior")))
+    every = F.concat("_count", "_written")
+    every = F.when(F.exists(every, lambda x: x["prior"] < 1) & ~F.exists(every, lambda x: x["prior"] == 1), F.concat(every, nothing)).otherwise(every)
+    chosen = F.when(F.col("_v").isNull(), F.array().cast("array<struct<notation:string,ms:bigint,prior:double>>")).otherwise(every)
     return found.select(*rows.columns, chosen.alias("readings"))
 
 
-def fit_mixture(sets: list[list[str]], counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-9, prior: float = 0.5) -> list[np.ndarray]:
-    """Posterior of each notation of each set, by expectation-maximisation from equal weights.
+def fit_mixture(sets: list[list], counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-9, prior: float = 0.5) -> list[np.ndarray]:
+    """Posterior of each reading of each set, by expectation-maximisation from equal weights.
 
-    ``counts`` values have readings in the notations of the set; ``prior`` is added to each
-    notation's expected count.
+    ``counts`` values have the readings of the set, given as notation or (notation, likelihood);
+    ``prior`` is added to each notation's expected count.
     """
-    names = sorted({n for s in sets for n in s})
+    sets = [[r if isinstance(r, tuple) else (r, 1.0) for r in s] for s in sets]
+    names = sorted({n for s in sets for n, _ in s})
     at = {n: i for i, n in enumerate(names)}
-    member = np.zeros((len(sets), len(names)))
+    likely = np.zeros((len(sets), len(names)))
     for i, s in enumerate(sets):
-        member[i, [at[n] for n in s]] = 1
+        for n, p in s:
+            likely[i, at[n]] += p
     weights = np.full(len(names), 1 / max(1, len(names)))
     for _ in range(rounds):
-        share = member * weights
+        share = likely * weights
         share /= share.sum(axis=1, keepdims=True)
         now = counts @ share + prior
         now /= now.sum()
@@ -158,52 +177,64 @@ def fit_mixture(sets: list[list[str]], counts: np.ndarray, rounds: int = 200, to
         weights = now
         if done:
             break
-    share = member * weights
-    share /= share.sum(axis=1, keepdims=True)
-    return [share[i, [at[n] for n in s]] for i, s in enumerate(sets)]
+    out = []
+    for s in sets:
+        own = np.array([p * weights[at[n]] for n, p in s])
+        out.append(own / own.sum())
+    return out
 
 
 def _fit(group: pd.DataFrame) -> pd.DataFrame:
-    sets = [list(s) for s in group["notations"]]
+    sets = [[(r["notation"], float(r["p"])) for r in s] for s in group["likely"]]
     posterior = fit_mixture(sets, group["n"].to_numpy(dtype=float))
-    return pd.DataFrame({"source": group["source"], "notations": sets, "posterior": [p.tolist() for p in posterior]})
+    return pd.DataFrame({"source": group["source"], "likely": group["likely"], "posterior": [p.tolist() for p in posterior]})
+
+
+LIKELY = "array<struct<notation:string,p:double>>"
 
 
-def normalise(rows: DataFrame, value: str, zone: str, source: str, confidence: float = 0.9, fit_on: DataFrame | None = None) -> DataFrame:
+def normalise(rows: DataFrame, value: str, zone: str, source: str, confidence: float = 0.9, fit_on: DataFrame | None = None, not_after: str | None = None) -> DataFrame:
     """Adds instantMs, notation, posterior and status to each row.
 
     ``status`` is single (one reading), resolved (several, settled by the source's mixture),
-    ambiguous (several, none reaching ``confidence``; no instant) or none (no reading: null,
-    blank, placeholder, impossible date or time, unknown zone). Readings of the same instant count
-    together. Rows without source share one mixture. The mixtures are fitted on ``fit_on`` if given,
+    ambiguous (several, none reaching ``confidence``; no instant) or none (no reading, or none that
+    the rules allow: null, blank, placeholder, impossible date or time, unknown zone). Readings of
+    the same instant count together. ``not_after`` names a timestamp by which the value existed.
+    Rows without source share one mixture. The mixtures are fitted on ``fit_on`` if given,
     which must hold the values of ``rows`` under the same column names. Columns of the input named like the added ones are replaced.
     """
     work = Workspace(rows.sparkSession, "instants")
     added = ["instantMs", "notation", "posterior", "status"]
     named = [F.col(value).cast("string").alias("_value"), F.col(zone).cast("string").alias("_tz"), F.col(source).cast("string").alias("_source")]
+    named.append((F.lit(None).cast("bigint") if not_after is None else F.unix_millis(F.col(not_after).cast("timestamp"))).alias("_by"))
 
     def read_of(packed: DataFrame, name: str) -> DataFrame:
         read = readings(packed, "_value", "_tz")
-        return work.save(read.drop("_value", "_tz").withColumn("_set", F.transform("readings", lambda r: r["notation"])), name)
+        late = lambda r: F.when(r["ms"] > F.col("_by"), F.lit(LATE)).otherwise(1.0)
+        likely = F.transform("readings", lambda r: F.struct(r["notation"].alias("notation"), (r["prior"] * late(r)).alias("p")))
+        # One likelihood alone says the same as another, so that single readings make one set.
+        likely = F.when(F.size("readings") > 1, likely).otherwise(F.transform("readings", lambda r: F.struct(r["notation"].alias("notation"), F.lit(1.0).alias("p"))))
+        return work.save(read.withColumn("_set", likely).drop("_value", "_tz", "_by"), name)
 
     # The input travels as one struct, so that none of its names can clash with those used here.
     read = read_of(rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), *named), "read")
     fit = read if fit_on is None else read_of(fit_on.select(*named), "fit")
-    # One row per source and set of notations: what the mixtures are fitted on doesn't grow with repeated values.
-    sets = fit.where(F.size("_set") > 0).groupBy(F.coalesce("_source", F.lit("")).alias("source"), F.col("_set").alias("notations")).agg(F.count("*").alias("n"))
-    fitted = sets.groupBy("source").applyInPandas(_fit, "source string, notations array<string>, posterior array<double>")
+    # One row per source and set of readings: what the mixtures are fitted on doesn't grow with repeated values.
+    sets = fit.where(F.size("_set") > 0).groupBy(F.coalesce("_source", F.lit("")).alias("source"), F.col("_set").alias("likely")).agg(F.count("*").alias("n"))
+    fitted = sets.groupBy("source").applyInPandas(_fit, f"source string, likely {LIKELY}, posterior array<double>")
     joined = read.join(
-        fitted.withColumnsRenamed({"source": "_fit_source", "notations": "_fit_set", "posterior": "_posterior"}),
+        fitted.withColumnsRenamed({"source": "_fit_source", "likely": "_fit_set", "posterior": "_posterior"}),
         (F.coalesce("_source", F.lit("")) == F.col("_fit_source")) & (F.col("_set") == F.col("_fit_set")),
         "left",
     )
-    together = lambda r: F.aggregate(F.zip_with("readings", "_posterior", lambda x, p: F.when(x["ms"] == r["ms"], p).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
+    together = lambda r: F.aggregate(F.zip_with("readings", "_posterior", lambda x, p: F.when(x["ms"].eqNullSafe(r["ms"]), p).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
     ranked = F.transform("readings", lambda r, i: F.struct(together(r).alias("sum"), F.get("_posterior", i).alias("own"), (-i).alias("place")))
     joined = joined.withColumn("_top", F.when(F.col("_posterior").isNotNull(), F.array_max(ranked)))
     joined = joined.withColumn("_best", F.col("_top.sum")).withColumn("_at", 1 - F.col("_top.place"))
-    chosen = F.when(F.col("_best") >= confidence, F.try_element_at("readings", F.col("_at")))
-    status = F.when(F.size("_set") == 0, "none").when(F.size("_set") == 1, "single").when(F.col("_best") >= confidence, "resolved").otherwise("ambiguous")
-    shown = joined.withColumn("_chosen", chosen).withColumn("_status", status)
+    joined = joined.withColumn("_chosen", F.when(F.col("_best") >= confidence, F.try_element_at("readings", F.col("_at"))))
+    none = (F.size("_set") == 0) | (F.col("_chosen.notation") == "nothing")
+    status = F.when(none, "none").when(F.size("_set") == 1, "single").when(F.col("_best") >= confidence, "resolved").otherwise("ambiguous")
+    shown = joined.withColumn("_status", status)
     return shown.select(
         *[F.col(f"_row.`{c}`").alias(c) for c in rows.columns if c not in added],
         F.col("_chosen.ms").alias("instantMs"),

@@ -1,8 +1,7 @@
-"""Readings of the same instant, and mixtures fitted on more than the rows."""
+"""Readings of the same instant, and readings that rules set aside."""
 
 from test_instants import ms
 
-from skeinlake.llm import survivors
 from skeinlake.operators.instants import normalise
 
 
@@ -13,10 +12,18 @@ def test_readings_of_one_instant_count_together(spark):
     assert got["02/03/2020 10:00:00"]["status"] == "ambiguous" and got["02/03/2020 10:00:00"]["instantMs"] is None
 
 
-def test_survivors_use_mixtures_of_all_metadata(spark):
-    clear = [(f"o{i}", float(i), f"{m:02d}/{d:02d}/2020 10:00:00", None, "cam", 1, "{}") for i, (m, d) in enumerate([(1, 25), (3, 30), (5, 17), (7, 28), (9, 19)] * 4)]
-    metadata = spark.createDataFrame([*clear, ("a", 1.0, "02/03/2020 10:00:00", None, "cam", 1, "{}")], "mediaId string, extractedAt double, takenAt string, tzName string, cameraModel string, width int, raw string")
-    media = spark.createDataFrame([("a", 5)], "mediaId string, size bigint")
-    quarantine = spark.createDataFrame([("q", ["a"])], "quarantineId string, candidateMediaIds array<string>")
-    found = {r["fieldName"] for r in survivors.media_survivors(quarantine, media, metadata).collect()}
-    assert "takenAt" in found
+def test_rules_dominate_the_mixture(spark):
+    """Month first in a source's dotted dates, and digits that are also a count, are set aside whatever the mixture says."""
+    values = ["05.17.2021 10:00:00"] * 30 + ["03.04.2021 10:00:00", "2013021000194477"]
+    df = spark.createDataFrame([(i, v, None, "s") for i, v in enumerate(values)], "n int, v string, tz string, source string")
+    got = {r["v"]: (r["instantMs"], r["status"]) for r in normalise(df, "v", "tz", "source").collect()}
+    assert got["05.17.2021 10:00:00"] == (None, "none")
+    assert got["03.04.2021 10:00:00"] == (ms(2021, 4, 3, 10), "resolved")
+    assert got["2013021000194477"] == (2013021000194, "resolved")
+
+
+def test_times_after_the_recording_are_unlikely(spark):
+    df = spark.createDataFrame([("02/03/2020 10:00:00", None, "s", "2020-02-20 00:00:00")], "v string, tz string, source string, by string")
+    assert normalise(df, "v", "tz", "source").head()["status"] == "ambiguous"
+    got = normalise(df, "v", "tz", "source", not_after="by").head()
+    assert (got["instantMs"], got["status"]) == (ms(2020, 2, 3, 10), "resolved")
