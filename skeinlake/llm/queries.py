@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinlake.data_queries import INSTANT_SQL
+from skeinlake.functions.text import WHITE_SPACE
 from skeinlake.llm import groups, history_index, leaks, lookalikes, mixing, survivors
 from skeinlake.sources.tables import table
 
@@ -19,6 +21,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p4_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole bundles of each item's record under dependencies between them."""
+    return survivors.consistent_records(table(spark, folder, "quarantine_item"), table(spark, folder, "media_metadata"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.link_groups(table(spark, folder, "duplicate_link"), table(spark, folder, "media"))
 
@@ -43,6 +50,16 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[1]
 
 
+def p8_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each wanted source got its share of the tokens of all sources that have documents, to a hundredth of the total, within its repeats."""
+    shares = p8_shares(spark, folder)
+    reachable = shares.where("documents > 0").agg(F.sum("wanted_share").alias("reachable"))
+    rows = shares.crossJoin(F.broadcast(reachable))  # one row
+    due = F.when(F.col("documents") > 0, F.col("wanted_share") / F.col("reachable")).otherwise(0.0)
+    kept = (F.abs(F.col("actual_share") - due) <= 0.01) & (F.col("most_copies") <= F.col("max_repeats"))
+    return rows.select("source", F.round("wanted_share", 9).alias("wanted_share"), "max_repeats", "documents", kept.alias("balanced"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.lookalike_pairs(table(spark, folder, "documents"))
 
@@ -54,11 +71,13 @@ def p9_canonical(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
+    "p4_records": p4_records,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_removed": p7_removed,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_balance": p8_balance,
     "p9_found": p9_found,
     "p9_canonical": p9_canonical,
 }
@@ -68,8 +87,92 @@ _TRANSLATED = f"translate(text, '{''.join(_ORDER)}', '{''.join(lookalikes.ONE[c]
 _FORM = f"nfc_normalize({_TRANSLATED})"
 _GRAMS = "SELECT {key}, list_aggregate(w[i:i + 11], 'string_agg', ' ') AS g FROM (SELECT {key}, regexp_extract_all(lower({form}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL), unnest(range(1, len(w) - 10)) AS t(i)"
 
+_BLANK = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITE_SPACE) + ")"
+_TRIM = f"trim({{}}, {_BLANK})"
+_LISTED = f"""ids AS (SELECT DISTINCT quarantineId AS q, {_TRIM.format('x')} AS c FROM (SELECT quarantineId, unnest(candidateMediaIds) AS x FROM quarantine_item WHERE quarantineId IS NOT NULL)
+        WHERE {_TRIM.format('x')} <> '')"""
+_BAD = "CASE WHEN try_cast(c.raw AS JSON)->>'$.extractor' IN ('exiftool', 'ffprobe') THEN 0 ELSE 1 END"
+
+
+def _current(*fields: str) -> str:
+    """Current metadata; null fields of the latest row stay null."""
+    return "current AS (SELECT mediaId, r.* FROM (SELECT mediaId, arg_max(struct_pack(" + ", ".join(f"{f} := {f}" for f in ("extractedAt", *fields)) + "), extractedAt) AS r FROM media_metadata WHERE mediaId IS NOT NULL GROUP BY 1))"
+
+
+_WORD = "[\\p{L}\\p{N}][\\p{L}\\p{N}\\p{M}" + "".join(f"\\x{{{c:X}}}" for c in lookalikes.INVISIBLE) + "]*"
+_UNIT = f"(?s)[^\\p{{L}}\\p{{N}}]*{_WORD}"
+_UNIT_FORM = _FORM.replace("translate(text,", "translate(regexp_extract(u, '" + _WORD + "'),")
+
 #: The SQL leaves out letters whose mapped form has several characters, which the test tables don't hold.
 ORACLES = {
+    "p2_found": f"""
+        WITH RECURSIVE {_current("raw")},
+        f AS (SELECT mediaId, min(batchNo) AS b, arg_min(CASE WHEN regexp_full_match(lower({_TRIM.format("sha256")}), '[0-9a-f]{{64}}') THEN lower({_TRIM.format("sha256")}) END, batchNo) AS sha
+              FROM media WHERE mediaId IS NOT NULL AND batchNo IS NOT NULL GROUP BY 1),
+        h AS (SELECT mediaId, lower({_TRIM.format("try_cast(raw AS JSON)->>'$.perceptualHash'")}) AS h FROM current),
+        m AS (SELECT f.mediaId AS id, row_number() OVER (ORDER BY f.b, f.mediaId) AS i, sha, CASE WHEN regexp_full_match(h, '[0-9a-f]{{16}}') THEN CAST('0x' || h AS UBIGINT) END AS code
+              FROM f LEFT JOIN h USING (mediaId)),
+        pairs AS (SELECT a.i, b.i AS j, CASE WHEN coalesce(a.sha = b.sha, false) THEN 'exact' ELSE 'near' END AS kind
+                  FROM m a JOIN m b ON b.i < a.i AND (coalesce(a.sha = b.sha, false) OR coalesce(bit_count(xor(a.code, b.code)) <= 4, false))),
+        c AS (SELECT m.i, coalesce(list(j) FILTER (j IS NOT NULL), []) AS js FROM m LEFT JOIN pairs USING (i) GROUP BY 1),
+        pass(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+                          SELECT c.i, CASE WHEN list_has_any(kept, c.js) THEN kept ELSE list_append(kept, c.i) END FROM pass JOIN c ON c.i = pass.i + 1),
+        kept AS (SELECT unnest(kept) AS j FROM pass WHERE i = (SELECT max(i) FROM pass))
+        SELECT DISTINCT least(a.id, b.id) AS "mediaIdA", greatest(a.id, b.id) AS "mediaIdB", kind AS "matchKind" FROM pairs JOIN kept USING (j) JOIN m a ON a.i = pairs.i JOIN m b ON b.i = pairs.j
+    """,
+    "p4_found": f"""
+        WITH {INSTANT_SQL}, {_LISTED}, {_current("takenAt", "tzName", "cameraModel", "width", "raw")},
+        sizes AS (SELECT mediaId, max(size) AS size FROM media GROUP BY 1),
+        facts AS (SELECT q, ids.c, coalesce(s.size, 0) AS size, i.ms IS NOT NULL AS taken, coalesce({_TRIM.format("c.cameraModel")}, '') <> '' AS camera, coalesce(c.width, 0) > 0 AS wide,
+                         row_number() OVER (PARTITION BY q ORDER BY {_BAD}, c.extractedAt DESC NULLS LAST, ids.c) AS trust
+                  FROM ids JOIN sizes s ON s.mediaId = ids.c LEFT JOIN current c ON c.mediaId = ids.c
+                       LEFT JOIN instant i ON i.value = c.takenAt AND i.tz = coalesce(nullif(trim(c.tzName), ''), 'UTC')),
+        n AS (SELECT *, CAST(size > 0 AS INTEGER) + CAST(taken AS INTEGER) + CAST(camera AS INTEGER) + CAST(wide AS INTEGER) AS n FROM facts),
+        rows AS (
+            SELECT q, 'size' AS field, arg_min(c, struct_pack(a := -size, b := c)) FILTER (size > 0) AS c FROM n GROUP BY 1
+            UNION ALL SELECT q, 'takenAt', arg_min(c, trust) FILTER (taken) FROM n GROUP BY 1
+            UNION ALL SELECT q, 'cameraModel', arg_min(c, trust) FILTER (camera) FROM n GROUP BY 1
+            UNION ALL SELECT q, 'width', arg_min(c, trust) FILTER (wide) FROM n GROUP BY 1
+            UNION ALL SELECT q, 'record', arg_min(c, struct_pack(a := -n, b := trust)) FILTER (n > 0) FROM n GROUP BY 1)
+        SELECT q AS "quarantineId", field AS "fieldName", c AS "mediaId" FROM rows WHERE c IS NOT NULL
+    """,
+    "p4_records": f"""
+        WITH {_LISTED}, {_current("takenAt", "kind", "cameraModel", "mimeType", "width", "height", "raw")},
+        facts AS (SELECT q, ids.c, {_BAD} AS bad, -epoch_us(c.extractedAt) AS age, CAST(c.width AS BIGINT) * c.height AS area,
+                         nullif({_TRIM.format("c.takenAt")}, '') AS taken, nullif({_TRIM.format("c.cameraModel")}, '') AS camera, nullif({_TRIM.format("c.kind")}, '') AS kind,
+                         nullif({_TRIM.format("c.mimeType")}, '') AS mime, CASE WHEN c.width > 0 AND c.height > 0 THEN c.width || 'x' || c.height END AS picture
+                  FROM ids JOIN current c ON c.mediaId = ids.c),
+        o AS (SELECT q, 'camera' AS bundle, camera AS v, struct_pack(a := bad::BIGINT, b := age, c := c) AS k FROM facts UNION ALL SELECT q, 'kind', kind, struct_pack(a := bad::BIGINT, b := age, c := c) FROM facts
+              UNION ALL SELECT q, 'mimeType', mime, struct_pack(a := bad::BIGINT, b := age, c := c) FROM facts UNION ALL SELECT q, 'picture', picture, struct_pack(a := -area, b := age, c := c) FROM facts
+              UNION ALL SELECT q, 'time', CASE WHEN taken IS NOT NULL THEN '' END, struct_pack(a := bad::BIGINT, b := age, c := c) FROM facts),
+        r AS (SELECT q, bundle, v, k.c AS c, row_number() OVER (PARTITION BY q, bundle ORDER BY k) - 1 AS cost FROM (SELECT q, bundle, v, min(k) AS k FROM o WHERE v IS NOT NULL GROUP BY 1, 2, 3)),
+        p AS (SELECT DISTINCT q, 'camera' AS rule, camera AS a, picture AS b FROM facts WHERE camera IS NOT NULL AND picture IS NOT NULL
+              UNION SELECT DISTINCT q, 'kind', kind, mime FROM facts WHERE kind IS NOT NULL AND mime IS NOT NULL),
+        w AS (SELECT x.q, x.bundle AS one, x.c AS a, y.bundle AS other, y.c AS b, row_number() OVER (PARTITION BY x.q, x.bundle ORDER BY x.cost + y.cost, x.cost) AS n
+              FROM r x JOIN r y ON y.q = x.q AND y.bundle = CASE x.bundle WHEN 'camera' THEN 'picture' WHEN 'kind' THEN 'mimeType' END
+                   LEFT JOIN (SELECT q, rule, a, list(b) AS bs FROM p GROUP BY ALL) s ON s.q = x.q AND s.rule = x.bundle AND s.a = x.v
+              WHERE s.bs IS NULL OR list_contains(s.bs, y.v)),
+        rec AS (SELECT q, one AS bundle, a AS c FROM w WHERE n = 1 UNION ALL SELECT q, other, b FROM w WHERE n = 1)
+        SELECT q AS "quarantineId", bundle, c AS "mediaId" FROM rec
+        UNION ALL SELECT q, bundle, c FROM r WHERE cost = 0 AND NOT EXISTS (SELECT 1 FROM rec WHERE rec.q = r.q AND rec.bundle = r.bundle)
+    """,
+    "p7_removed": f"""
+        WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '{_UNIT}') AS us FROM documents),
+        i AS ({_GRAMS.format(key="item_id", form=_FORM, table="eval_item")}),
+        u AS (SELECT doc_id, n, us[n] AS u FROM d, unnest(range(1, len(us) + 1)) AS t(n)),
+        w AS (SELECT doc_id, list(lower({_UNIT_FORM}) ORDER BY n) AS w FROM u GROUP BY 1),
+        hit AS (SELECT DISTINCT doc_id, n FROM w, unnest(range(1, len(w) - 10)) AS t(n) WHERE list_aggregate(w[n:n + 11], 'string_agg', ' ') IN (SELECT g FROM i)),
+        gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(n, n + 12)) AS p FROM hit) GROUP BY 1)
+        SELECT doc_id, CASE WHEN ps IS NULL THEN text
+                            ELSE coalesce((SELECT string_agg(us[n], '' ORDER BY n) FROM unnest(range(1, len(us) + 1)) AS t(n) WHERE NOT list_contains(ps, n)), '') || substr(text, length(array_to_string(us, '')) + 1) END AS text,
+               CAST(coalesce(len(ps), 0) AS INTEGER) AS removed_words
+        FROM d LEFT JOIN gone USING (doc_id)
+    """,
+    "p8_balance": f"""
+        WITH t AS (SELECT lower({_TRIM.format("source")}) AS source, sum(weight) AS weight, min(max_repeats) AS max_repeats FROM mix_target WHERE weight > 0 AND max_repeats > 0 GROUP BY 1),
+        d AS (SELECT lower({_TRIM.format("source")}) AS source, count(*) AS documents FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1)
+        SELECT source, round(weight / (SELECT sum(weight) FROM t), 9) AS wanted_share, max_repeats, coalesce(documents, 0) AS documents, true AS balanced FROM t LEFT JOIN d USING (source)
+    """,
     "p6_found": """
         WITH RECURSIVE s(level, ord) AS (VALUES ('exact', 1), ('strong', 2), ('probable', 3)),
         l AS (SELECT DISTINCT lower(trim(level)) AS level, mediaId AS a, sourceEntryId AS b FROM duplicate_link WHERE mediaId IS NOT NULL AND sourceEntryId IS NOT NULL),
