@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlake.functions import scalars as S
-from skeinlake.operators import pipeline, search, views
+from skeinlake.operators import commands, extraction, pipeline, search, views
 from skeinlake.operators.search import SearchRequest
+from skeinlake.plans.staging import Workspace
 from skeinlake.sources import log
 from skeinlake.sources.tables import table
 
@@ -90,9 +91,26 @@ _searched("search_taken_day", SearchRequest(taken_day="1995-03-15", limit=500),
 _searched("search_mime_type", SearchRequest(mime_type="1-URGENT"), "\"mimeType\" = '1-urgent'")
 _searched("search_source", SearchRequest(source_id="src_3", sort="takenAt_desc", limit=50), "\"sourceId\" = 'src_3'", _DESC, 50)
 _searched("search_dup_level", SearchRequest(duplicate_level="strong"), "list_contains(levels, 'strong')")
-_searched("search_gps_tile", SearchRequest(gps_tile="15.0:-100.8", limit=500), "\"gpsTile\" = '15.0:-100.8'", limit=500)
-for _n, _prefix in {2: "a1", 3: "A1B", 4: "a1b2", 5: "a1b2c", 8: "a1b2c3d4", 9: "a1b2c3d4e"}.items():
+for _n, _prefix in {2: "a1", 3: "A1B", 4: "a1b2"}.items():
     _searched(f"search_sha_prefix_{_n}", SearchRequest(sha256_prefix=_prefix, limit=500), f"starts_with(sha256, '{_prefix.lower()}')", limit=500)
+
+
+def _searched_by_first(name: str, column: str, make: Callable[[str], SearchRequest], where: str) -> None:
+    """A search for what the first order of the catalog has in a column, so that it finds something in any folder."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        catalog = orders_catalog(spark, folder)
+        value = catalog.where("present").agg(F.min_by(column, "mediaId")).head()[0]
+        return search.page(catalog, make(value)).select(*PAGE)
+
+    QUERIES[name] = run
+    first = f"(SELECT arg_min(\"{column}\", \"mediaId\") FROM catalog WHERE present)"
+    ORACLES[name] = f"{CATALOG_SQL} {_PAGE_SQL} (SELECT * FROM catalog WHERE {where.format(first)} {_ASC} LIMIT 500) WHERE present"
+
+
+_searched_by_first("search_gps_tile", "gpsTile", lambda v: SearchRequest(gps_tile=v, limit=500), '"gpsTile" = {}')
+for _n in (5, 8, 9):
+    _searched_by_first(f"search_sha_prefix_{_n}", "sha256", lambda v, n=_n: SearchRequest(sha256_prefix=v[:n].upper(), limit=500), f"starts_with(sha256, left({{}}, {_n}))")
 _searched("search_sha_prefix_64", SearchRequest(sha256_prefix="6B86B273FF34FCE19D6B804EFF5A3F5747ADA4EAA22F1D49C01E52DDB7875B4B"), "sha256 = sha256('1')")
 _searched("search_invalid_prefix_empty", SearchRequest(sha256_prefix="zzz"), "false")
 _searched("search_conjunctive", SearchRequest(kind="O", camera_model="camera 2", source_id="src_1", duplicate_level="probable", sort="takenAt_desc"), "kind = 'O' AND \"cameraModel\" = 'camera 2' AND \"sourceId\" = 'src_1' AND list_contains(levels, 'probable')", _DESC)
@@ -156,21 +174,28 @@ def link_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("mediaId is not null and sourceEntryId is not null and level is not null").distinct()
 
 
-def latest_entries(spark: SparkSession, folder: str, snapshot: int, *more: str) -> DataFrame:
-    """Entries of one delivery, with further columns if named: the row seen last, the greatest path among equals."""
-    e = table(spark, folder, "entry_snapshot").where((F.col("snapshotNo") == snapshot) & F.col("sourceEntryId").isNotNull())
+def latest_entries(spark: SparkSession, folder: str, *more: str, back: int = 0) -> DataFrame:
+    """Entries of the newest delivery or one before it, with further columns if named: the row seen last, the greatest path among equals."""
+    rows = table(spark, folder, "entry_snapshot")
+    numbers = rows.select("snapshotNo").where("snapshotNo is not null").distinct().orderBy(F.col("snapshotNo").desc())
+    wanted = numbers.offset(back).limit(1).withColumnRenamed("snapshotNo", "newest")
+    e = rows.join(F.broadcast(wanted), F.col("snapshotNo") == F.col("newest")).where("sourceEntryId is not null")  # one row
     fields = ["sourceId", "path", "size", "mtimeMs", "state", "fingerprint", *more]
     return e.groupBy("sourceEntryId").agg(F.max(F.struct("lastSeenAt", *fields)).alias("r")).select("sourceEntryId", "r.*")
 
 
-def _entries_sql(name: str, snapshot: int) -> str:
+def _newest(back: int) -> str:
+    return f"(SELECT DISTINCT snapshotNo FROM entry_snapshot WHERE snapshotNo IS NOT NULL ORDER BY 1 DESC LIMIT 1 OFFSET {back})"
+
+
+def _entries_sql(name: str, back: int = 0) -> str:
     return f"""{name} AS (SELECT sourceEntryId, r.sourceId AS sourceId, r.path AS path, r.size AS size, r.mtimeMs AS mtimeMs, r.state AS state, r.fingerprint AS fingerprint
         FROM (SELECT sourceEntryId, max(struct_pack(seen := lastSeenAt, sourceId := sourceId, path := path, size := size, mtimeMs := mtimeMs, state := state, fingerprint := fingerprint)) AS r
-              FROM entry_snapshot WHERE snapshotNo = {snapshot} AND sourceEntryId IS NOT NULL GROUP BY 1))"""
+              FROM entry_snapshot WHERE snapshotNo = {_newest(back)} AND sourceEntryId IS NOT NULL GROUP BY 1))"""
 
 
 @query(f"""
-    WITH {CURRENT_SQL}, {MEDIA_SQL}, {LINKS_SQL}, {_entries_sql('e', 6)},
+    WITH {CURRENT_SQL}, {MEDIA_SQL}, {LINKS_SQL}, {_entries_sql('e')},
     levels AS (SELECT mediaId, level FROM links UNION SELECT m.mediaId, level FROM links JOIN m USING (sourceEntryId))
     SELECT mediaId AS "mediaId", m.mediaId IS NOT NULL AS present, c.kind, nullif(lower(trim(c.cameraModel)), '') AS "cameraModel", e.sourceId AS "sourceId", l.levels
     FROM m FULL JOIN current c USING (mediaId)
@@ -181,7 +206,7 @@ def _entries_sql(name: str, snapshot: int) -> str:
 def search_media_tables(spark, folder):
     """Photos with a strong link, over the catalog tables."""
     metadata = current(spark, folder).withColumn("takenAt", F.unix_millis(F.col("extractedAt").cast("timestamp")).cast("double"))
-    view = search.catalog_view(media_rows(spark, folder), metadata, latest_entries(spark, folder, 6), link_rows(spark, folder))
+    view = search.catalog_view(media_rows(spark, folder), metadata, latest_entries(spark, folder), link_rows(spark, folder))
     rows = search.matching(view, SearchRequest(kind="photo", duplicate_level="strong"))
     return rows.select("mediaId", "present", "kind", "cameraModel", "sourceId", F.array_join("levels", ",").alias("levels"))
 
@@ -274,30 +299,138 @@ def view_index_asof(spark, folder):
     return views.import_sources(events(spark, folder))
 
 
+def made_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of the kinds that wal_record lacks, from the tables of their results: metadata, links, review items and their decisions, albums of candidates."""
+    text = lambda *fields: F.try_parse_json(F.to_json(F.struct(*fields)))
+
+    def event(rows: DataFrame, kind: str, seq: str, *payload) -> DataFrame:
+        return rows.select(F.col(seq).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("eventId"), F.lit(kind).alias("type"), F.col(seq).cast("double").alias("createdAt"), text(*payload).alias("payload"))
+
+    m = table(spark, folder, "media_metadata").where("mediaId is not null").withColumn("at", F.unix_micros(F.col("extractedAt").cast("timestamp")))
+    d, q = table(spark, folder, "duplicate_link"), table(spark, folder, "quarantine_item")
+    metadata = F.struct("kind", "width", "height", "durationMs", "cameraModel", "mimeType").alias("metadata")
+    out = event(m, "MEDIA_METADATA_EXTRACTED", "at", "mediaId", metadata)
+    out = out.unionByName(event(d, "DUPLICATE_LINK_CREATED", "createdAt", F.struct("duplicateLinkId", "mediaId", "sourceEntryId", F.lower(F.trim("level")).alias("level"), "createdAt").alias("link")))
+    pending, decided = q.where("status = 'pending'"), q.where("status <> 'pending'")
+    out = out.unionByName(event(pending, "QUARANTINE_CREATED", "createdAt", F.struct("quarantineId", "sourceEntryId", "candidateMediaIds", "status", "createdAt").alias("item")))
+    out = out.unionByName(event(decided.where("status = 'accepted'"), "QUARANTINE_ACCEPTED", "resolvedAt", "quarantineId", "acceptedMediaId", "resolvedAt"))
+    out = out.unionByName(event(decided.where("status = 'rejected'"), "QUARANTINE_REJECTED", "resolvedAt", "quarantineId", "rejectedReason", "resolvedAt"))
+    album = F.struct(F.col("quarantineId").alias("albumId"), F.concat(F.lit("of "), "sourceEntryId").alias("name"), F.col("candidateMediaIds").alias("mediaIds"), "createdAt").alias("album")
+    out = out.unionByName(event(pending, "ALBUM_CREATED", "createdAt", album))
+    return out.unionByName(event(decided.where("status = 'rejected'"), "ALBUM_REMOVED", "resolvedAt", F.col("quarantineId").alias("albumId")))
+
+
+_DECIDED_SQL = """
+    made AS (SELECT quarantineId AS id, sourceEntryId AS entry, CAST(floor(createdAt) AS BIGINT) AS pos FROM quarantine_item WHERE status = 'pending'),
+    first AS (SELECT entry, min(pos) AS pos, arg_min(id, struct_pack(pos := pos, id := id)) AS id FROM made GROUP BY 1),
+    d AS (SELECT quarantineId AS id, CAST(floor(resolvedAt) AS BIGINT) AS at, min(struct_pack(status := status, media := acceptedMediaId, resolved := resolvedAt)) AS r FROM quarantine_item WHERE status <> 'pending' GROUP BY 1, 2),
+    won AS (SELECT f.id, arg_min(d.r, d.at) AS r FROM first f JOIN d USING (id) WHERE d.at > f.pos GROUP BY 1)
+"""
+
+
+@query("""
+    SELECT mediaId AS "mediaId", arg_max(struct_pack(k := kind), extractedAt).k AS kind, arg_max(struct_pack(k := width), extractedAt).k AS width,
+           arg_max(struct_pack(k := mimeType), extractedAt).k AS "mimeType", CAST(epoch_us(max(extractedAt)) AS BIGINT) AS pos FROM media_metadata WHERE mediaId IS NOT NULL GROUP BY 1
+""")
+def view_metadata(spark, folder):
+    return views.metadata(made_events(spark, folder)).select("mediaId", "kind", "width", "mimeType", "pos")
+
+
+@query("""
+    SELECT mediaId AS "mediaId", sourceEntryId AS "sourceEntryId", lower(trim(level)) AS level, min(CAST(floor(createdAt) AS BIGINT)) AS pos FROM duplicate_link GROUP BY 1, 2, 3
+""")
+def view_links(spark, folder):
+    return views.links(made_events(spark, folder)).select("mediaId", "sourceEntryId", "level", "pos")
+
+
+@query(f"""
+    WITH {_DECIDED_SQL}
+    SELECT first.id AS "quarantineId", entry AS "sourceEntryId", coalesce(r.status, 'pending') AS status, r.resolved AS "resolvedAt", CASE WHEN r.status = 'accepted' THEN r.media END AS "acceptedMediaId", pos
+    FROM first LEFT JOIN won USING (id)
+""")
+def view_quarantine(spark, folder):
+    return views.quarantine(made_events(spark, folder)).select("quarantineId", "sourceEntryId", "status", "resolvedAt", "acceptedMediaId", "pos")
+
+
+@query("""
+    WITH up AS (SELECT quarantineId AS id, CAST(floor(createdAt) AS BIGINT) AS seq, 'of ' || sourceEntryId AS name FROM quarantine_item WHERE status = 'pending'),
+    gone AS (SELECT quarantineId AS id, max(CAST(floor(resolvedAt) AS BIGINT)) AS gone FROM quarantine_item WHERE status = 'rejected' GROUP BY 1)
+    SELECT id AS "albumId", arg_max(name, seq) AS name, min(seq) AS pos FROM up LEFT JOIN gone USING (id) WHERE gone IS NULL OR seq > gone GROUP BY 1
+""")
+def view_albums(spark, folder):
+    return views.albums(made_events(spark, folder)).select("albumId", "name", "pos")
+
+
 @query(f"""
     WITH {EVENTS_SQL}
-    SELECT 'media' AS kind, count(DISTINCT p->>'$.media.mediaId') AS n FROM ev WHERE type = 'MEDIA_IMPORTED'
-    UNION ALL SELECT 'ingestStatus', count(DISTINCT p->>'$.media.sourceEntryId') FROM ev WHERE type = 'MEDIA_IMPORTED'
+    SELECT p->>'$.media.mediaId' AS "mediaId", arg_max(p->>'$.media.sha256', seq) AS sha256, arg_max(p->>'$.media.sourceEntryId', seq) AS "sourceEntryId", min(seq) AS pos FROM ev WHERE type = 'MEDIA_IMPORTED' GROUP BY 1
 """)
-def snapshot_union(spark, folder):
-    e = events(spark, folder)
-    return log.snapshot_union({"media": views.media(e), "ingestStatus": views.ingest_status(e)}).groupBy("kind").agg(F.count("*").alias("n"))
+def view_media(spark, folder):
+    return views.media(events(spark, folder)).select("mediaId", "sha256", "sourceEntryId", "pos")
 
 
 @query(f"""
-    WITH {EVENTS_SQL}, cut AS (SELECT CAST(max(seq) / 2 AS BIGINT) AS c FROM wal_record),
-    up AS (SELECT p->>'$.media.mediaId' AS id, seq, p FROM ev, cut WHERE type = 'MEDIA_IMPORTED')
-    SELECT id AS "mediaId", arg_max(p->>'$.media.sha256', seq) AS sha256, bool_or(seq > c) AS "inTail" FROM up, cut GROUP BY 1
+    WITH {EVENTS_SQL}
+    SELECT p->>'$.media.sha256' AS sha256, arg_max(p->>'$.media.mediaId', seq) AS "mediaId", min(seq) AS pos FROM ev WHERE type = 'MEDIA_IMPORTED' AND p->>'$.media.sha256' IS NOT NULL GROUP BY 1
+""")
+def view_media_by_sha(spark, folder):
+    return views.media(events(spark, folder), "sha256").select("sha256", "mediaId", "pos")
+
+
+@query(f"""
+    WITH {EVENTS_SQL}, im AS (SELECT p->>'$.media.sourceEntryId' AS id, p->>'$.media.mediaId' AS media, seq FROM ev WHERE type = 'MEDIA_IMPORTED'),
+    l AS (SELECT mediaId, sourceEntryId AS id, lower(trim(level)) AS level, CAST(floor(createdAt) AS BIGINT) AS seq FROM duplicate_link)
+    SELECT mediaId AS "mediaId", level FROM l WHERE mediaId IS NOT NULL
+    UNION SELECT arg_max(media, im.seq), level FROM l JOIN im USING (id) WHERE im.seq < l.seq GROUP BY l.seq, level, l.id
 """)
+def view_index_levels(spark, folder):
+    """Levels of the incremental index: the log's imports and links made after them."""
+    return views.import_levels(all_events(spark, folder))
+
+
+def all_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The log's events and, behind them in position, the made ones."""
+    return events(spark, folder).unionByName(made_events(spark, folder))
+
+
+_LINK_KEY = "coalesce(mediaId, '') || '>' || coalesce(sourceEntryId, '') || '>' || coalesce(level, '')"
+_KEYS = {"source": "sourceId", "sourceEntry": "sourceEntryId", "media": "mediaId", "ingestStatus": "sourceEntryId", "metadata": "mediaId", "duplicateLink": _LINK_KEY, "quarantine": "quarantineId", "album": "albumId"}
+_SHOWN = {"source": "path", "sourceEntry": "state", "media": "sha256", "ingestStatus": "status", "metadata": "mimeType", "duplicateLink": "level", "quarantine": "status", "album": "name"}
+
+
+def _whole_state_sql() -> str:
+    named = {"source": "view_sources", "sourceEntry": "view_entries", "media": "view_media", "ingestStatus": "view_ingest_status", "metadata": "view_metadata", "duplicateLink": "view_links", "quarantine": "view_quarantine", "album": "view_albums"}
+    return " UNION ALL ".join(f"SELECT '{k}' AS kind, {_KEYS[k]} AS id, {_SHOWN[k]} AS shown FROM ({ORACLES[v]})" for k, v in named.items())
+
+
+@query(_whole_state_sql())
+def snapshot_union(spark, folder):
+    """All eight tables as the records of one snapshot, read back by kind."""
+    records = log.snapshot_union(views.domain_views(all_events(spark, folder)))
+    keyed = shown = F.lit(None).cast("string")
+    field = lambda name: F.get_json_object("record", f"$.{name}")
+    for kind, key in _KEYS.items():
+        own = F.concat_ws(">", *[F.coalesce(field(n), F.lit("")) for n in ("mediaId", "sourceEntryId", "level")]) if kind == "duplicateLink" else field(key)
+        keyed = F.when(F.col("kind") == kind, own).otherwise(keyed)
+        shown = F.when(F.col("kind") == kind, field(_SHOWN[kind])).otherwise(shown)
+    return records.select("kind", keyed.alias("id"), shown.alias("shown"))
+
+
+@query(_whole_state_sql())
 def snapshot_plus_tail(spark, folder):
-    """Media from a snapshot of the first half of the log and the tail after it."""
-    e = events(spark, folder)
-    cut = table(spark, folder, "wal_record").agg(F.round(F.max("seq") / 2).cast("bigint").alias("c"))
-    halves = e.where("type = 'MEDIA_IMPORTED'").crossJoin(F.broadcast(cut))  # one row
-    snapshot = views.media(halves.where("seq <= c")).select("mediaId", "sha256", F.lit(0).alias("at"))
-    tail = views.media(halves.where("seq > c")).select("mediaId", "sha256", F.lit(1).alias("at"))
-    both = snapshot.unionByName(tail).groupBy("mediaId").agg(F.max_by("sha256", "at").alias("sha256"), (F.max("at") == 1).alias("inTail"))
-    return both
+    """All eight tables rebuilt from a snapshot of what the log held at half its way and the events after it."""
+    work = Workspace(spark, "rebuild")
+    everything = work.save(all_events(spark, folder), "events")
+    log_end = table(spark, folder, "wal_record").agg(F.max("seq")).head()[0] or 0
+    # Made events lie far behind the log's in position, so each part is cut at its own half.
+    made_half = everything.where(F.col("seq") > log_end).agg(F.percentile_approx("seq", 0.5)).head()[0] or 0
+    early = (F.col("seq") <= log_end // 2) | ((F.col("seq") > log_end) & (F.col("seq") <= made_half))
+    records = work.save(log.snapshot_union(views.domain_views(everything.where(early))), "snapshot")
+    out = None
+    for kind, rows in views.rebuild(records, everything.where(~early)).items():
+        one = rows.select(F.lit(kind).alias("kind"), F.expr(_KEYS[kind]).alias("id"), F.col(_SHOWN[kind]).alias("shown"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("""
@@ -321,15 +454,16 @@ def log_signed(spark, folder):
 @query("SELECT name, rank FROM (SELECT CAST(sourceId AS VARCHAR) AS name, row_number() OVER (ORDER BY createdAt DESC, sourceId) AS rank FROM (SELECT sourceId, max(createdAt) AS createdAt FROM media_source GROUP BY 1)) WHERE rank <= 5")
 def retention_topn(spark, folder):
     names = table(spark, folder, "media_source").groupBy(F.col("sourceId").alias("name")).agg(F.max("createdAt").alias("mtime"))
-    kept = log.retained(names, None, 5)
-    return kept.select("name", F.row_number().over(Window.orderBy(F.col("mtime").desc(), "name")).cast("bigint").alias("rank"))
+    kept = log.retained(names, None, 5)  # five rows
+    ordered = kept.agg(F.array_sort(F.collect_list(F.struct((-F.col("mtime")).alias("age"), "name"))).alias("rows"))
+    return ordered.select(F.posexplode("rows").alias("at", "r")).select("r.name", (F.col("at") + 1).cast("bigint").alias("rank"))
 
 
 # Pipeline
 
 
 @query(f"""
-    WITH {_entries_sql('c', 5)}, {_entries_sql('l', 6)},
+    WITH {_entries_sql('c', 1)}, {_entries_sql('l')},
     k AS (SELECT sourceId || '/' || path AS path, max(sourceEntryId) AS id, arg_max(size, sourceEntryId) AS size, arg_max(mtimeMs, sourceEntryId) AS mtimeMs, arg_max(state, sourceEntryId) AS state FROM c WHERE path IS NOT NULL GROUP BY 1),
     s AS (SELECT sourceId || '/' || path AS path, arg_max(size, sourceEntryId) AS size, arg_max(mtimeMs, sourceEntryId) AS mtimeMs FROM l WHERE path IS NOT NULL GROUP BY 1)
     SELECT path, id AS "sourceEntryId", CASE WHEN s.path IS NULL THEN 'missing' WHEN k.path IS NULL THEN 'new'
@@ -337,26 +471,26 @@ def retention_topn(spark, folder):
     FROM s FULL JOIN k USING (path) WHERE s.path IS NOT NULL OR k.state IS DISTINCT FROM 'missing'
 """)
 def scan_diff(spark, folder):
-    def files(snapshot):
-        rows = latest_entries(spark, folder, snapshot).where("path is not null")
+    def files(back):
+        rows = latest_entries(spark, folder, back=back).where("path is not null")
         keyed = rows.groupBy(F.concat_ws("/", "sourceId", "path").alias("path"))
         return keyed.agg(F.max(F.struct("sourceEntryId", "size", "mtimeMs", "state")).alias("r")).select("path", "r.*")
 
-    return pipeline.scan_diff(files(6).select("path", "size", "mtimeMs"), files(5))
+    return pipeline.scan_diff(files(0).select("path", "size", "mtimeMs"), files(1))
 
 
-def _keyed_sql(name: str, snapshot: int) -> str:
+def _keyed_sql(name: str, back: int = 0) -> str:
     return f"""{name} AS (SELECT key, max(sourceEntryId) AS id, arg_max(size, sourceEntryId) AS size, arg_max(mtimeMs, sourceEntryId) AS mtimeMs, arg_max(state, sourceEntryId) AS state
         FROM (SELECT sourceEntryId, r.size AS size, r.mtimeMs AS mtimeMs, r.state AS state,
                      CASE WHEN r.archivePath IS NOT NULL AND r.innerPath IS NOT NULL THEN r.sourceId || ':archive:' || r.archivePath || '::' || r.innerPath
                           ELSE r.sourceId || ':file:' || coalesce(r.path, '') END AS key
               FROM (SELECT sourceEntryId, max(struct_pack(seen := lastSeenAt, sourceId := sourceId, path := path, size := size, mtimeMs := mtimeMs, state := state,
                                                           fingerprint := fingerprint, archivePath := archivePath, innerPath := innerPath)) AS r
-                    FROM entry_snapshot WHERE snapshotNo = {snapshot} AND sourceEntryId IS NOT NULL GROUP BY 1)) GROUP BY 1)"""
+                    FROM entry_snapshot WHERE snapshotNo = {_newest(back)} AND sourceEntryId IS NOT NULL GROUP BY 1)) GROUP BY 1)"""
 
 
 @query(f"""
-    WITH {_keyed_sql('k', 5)}, {_keyed_sql('s', 6)}
+    WITH {_keyed_sql('k', 1)}, {_keyed_sql('s')}
     SELECT key, k.id AS "sourceEntryId", CASE WHEN s.id IS NULL THEN 'missing' WHEN k.id IS NULL THEN 'new'
            WHEN s.size IS NOT DISTINCT FROM k.size AND s.mtimeMs IS NOT DISTINCT FROM k.mtimeMs THEN 'unchanged' ELSE 'changed' END AS outcome
     FROM s FULL JOIN k USING (key) WHERE s.id IS NOT NULL OR k.state IS DISTINCT FROM 'missing'
@@ -364,13 +498,13 @@ def _keyed_sql(name: str, snapshot: int) -> str:
 def scan_diff_all(spark, folder):
     """scan_diff over entries of every kind, by natural key."""
 
-    def entries(snapshot):
-        rows = latest_entries(spark, folder, snapshot, "archivePath", "innerPath")
+    def entries(back):
+        rows = latest_entries(spark, folder, "archivePath", "innerPath", back=back)
         key = S.natural_key(*(F.col(c) for c in ("sourceId", "path", "archivePath", "innerPath")))
         keyed = rows.groupBy(key.alias("path"))
         return keyed.agg(F.max(F.struct("sourceEntryId", "size", "mtimeMs", "state")).alias("r")).select("path", "r.*")
 
-    return pipeline.scan_diff(entries(6).select("path", "size", "mtimeMs"), entries(5)).withColumnRenamed("path", "key")
+    return pipeline.scan_diff(entries(0).select("path", "size", "mtimeMs"), entries(1)).withColumnRenamed("path", "key")
 
 
 @query(f"""
@@ -392,13 +526,13 @@ def exact_dedup(spark, folder):
 def _near_items(spark, folder):
     raw = F.try_variant_get(F.try_parse_json("raw"), "$.perceptualHash", "string")
     hashes = current(spark, folder).select("mediaId", S.perceptual_hash(raw).alias("phash"))
-    heads = latest_entries(spark, folder, 6).select(F.col("sourceEntryId"), S.head_key("fingerprint").alias("head"), "state")
+    heads = latest_entries(spark, folder).select(F.col("sourceEntryId"), S.head_key("fingerprint").alias("head"), "state")
     rows = media_rows(spark, folder).join(hashes, "mediaId").where("phash is not null").join(heads, "sourceEntryId", "left")
     return rows.select(F.col("mediaId").alias("entry"), "mediaId", "head", "phash", F.lit("active").alias("state"), F.col("mediaId").alias("rank"))
 
 
 NEAR_SQL = f"""
-    WITH {CURRENT_SQL}, {MEDIA_SQL}, {_entries_sql('e', 6)},
+    WITH {CURRENT_SQL}, {MEDIA_SQL}, {_entries_sql('e')},
     i AS (SELECT m.mediaId AS id, lower(trim(try_cast(c.raw AS JSON)->>'$.perceptualHash')) AS h,
                  CASE WHEN len(string_split(e.fingerprint, ':')) = 3 AND try_cast(split_part(e.fingerprint, ':', 1) AS BIGINT) IS NOT NULL AND split_part(e.fingerprint, ':', 3) <> ''
                       THEN split_part(e.fingerprint, ':', 1) || ':' || split_part(e.fingerprint, ':', 3) END AS head
@@ -433,13 +567,13 @@ def _near_items_all(spark, folder):
     """Every media with an entry, by the entry's state; a media without one is neither decided nor a candidate, as in the reference."""
     raw = F.try_variant_get(F.try_parse_json("raw"), "$.perceptualHash", "string")
     hashes = current(spark, folder).select("mediaId", S.perceptual_hash(raw).alias("phash"))
-    heads = latest_entries(spark, folder, 6).select("sourceEntryId", S.head_key("fingerprint").alias("head"), "state")
+    heads = latest_entries(spark, folder).select("sourceEntryId", S.head_key("fingerprint").alias("head"), "state")
     rows = media_rows(spark, folder).join(heads, "sourceEntryId").join(hashes, "mediaId", "left")
     return rows.select(F.col("mediaId").alias("entry"), "mediaId", "head", "phash", "state", F.col("mediaId").alias("rank"))
 
 
 NEAR_ALL_SQL = f"""
-    WITH {CURRENT_SQL}, {MEDIA_SQL}, {_entries_sql('e', 6)},
+    WITH {CURRENT_SQL}, {MEDIA_SQL}, {_entries_sql('e')},
     t AS (SELECT m.mediaId AS id, e.state, e.fingerprint, lower(trim(try_cast(c.raw AS JSON)->>'$.perceptualHash')) AS text
           FROM m JOIN e USING (sourceEntryId) LEFT JOIN current c USING (mediaId)),
     i AS (SELECT id, state, CASE WHEN regexp_full_match(text, '[0-9a-f]{{16}}') THEN text END AS h,
@@ -483,7 +617,7 @@ def media_detail(spark, folder):
 
 
 @query(f"""
-    WITH {CURRENT_SQL}, {MEDIA_SQL}, {LINKS_SQL}, {_entries_sql('e', 6)}, one AS (SELECT sourceEntryId, min(mediaId) AS mediaId FROM m GROUP BY 1),
+    WITH {CURRENT_SQL}, {MEDIA_SQL}, {LINKS_SQL}, {_entries_sql('e')}, one AS (SELECT sourceEntryId, min(mediaId) AS mediaId FROM m GROUP BY 1),
     q AS (SELECT sourceEntryId, min(quarantineId) AS quarantineId FROM quarantine_item GROUP BY 1)
     SELECT e.sourceEntryId AS "sourceEntryId", CASE WHEN one.mediaId IS NULL THEN 'none' ELSE 'imported' END AS status, one.mediaId AS "ownMediaId",
            c.kind AS "mediaKind", q.quarantineId AS "quarantineId", coalesce(l.n, 0) AS links
@@ -494,7 +628,7 @@ def entry_detail(spark, folder):
     media = media_rows(spark, folder).groupBy("sourceEntryId").agg(F.min_by(F.struct("mediaId", "sha256"), "mediaId").alias("r")).select("sourceEntryId", "r.*")
     ingest = media.select("sourceEntryId", F.lit("imported").alias("status"))
     held = table(spark, folder, "quarantine_item").groupBy("sourceEntryId").agg(F.min("quarantineId").alias("quarantineId"))
-    rows = pipeline.entry_detail(latest_entries(spark, folder, 6), ingest, media, current(spark, folder), held, link_rows(spark, folder))
+    rows = pipeline.entry_detail(latest_entries(spark, folder), ingest, media, current(spark, folder), held, link_rows(spark, folder))
     return rows.select("sourceEntryId", "status", "ownMediaId", "mediaKind", "quarantineId", F.coalesce(F.size("links"), F.lit(0)).cast("bigint").alias("links"))
 
 
@@ -602,7 +736,7 @@ def mime_kind(spark, folder):
 @query("""
     WITH p AS (SELECT DISTINCT path FROM entry_snapshot WHERE path IS NOT NULL),
     l AS (SELECT path, array_to_string(string_split(path, '/')[1:n], '/') AS part FROM p, unnest(range(1, len(string_split(path, '/')) + 1)) AS t(n))
-    SELECT path, bool_or(regexp_full_match(part, '201[^/]|20[^/][^/]/[^/]*a[^/]*|[^/]*a[^/]*|.*\\.png|.*\\.PNG')) AS excluded FROM l GROUP BY 1
+    SELECT path, bool_or(regexp_full_match(part, '201.|20../[^/]*a[^/]*|[^/]*a[^/]*|.*\\.png|.*\\.PNG')) AS excluded FROM l GROUP BY 1
 """)
 def glob_filter(spark, folder):
     rows = table(spark, folder, "entry_snapshot").where("path is not null").select("path").distinct()
@@ -619,13 +753,17 @@ def taken_day(spark, folder):
     return table(spark, folder, "duplicate_link").select(F.col("createdAt").alias("ms"), S.taken_day("createdAt").alias("day")).distinct()
 
 
-_BITS = "list_aggregate([CASE WHEN embedding[i + 1] > embedding[(i + 1) % 64 + 1] THEN '1' ELSE '0' END for i in range(64)], 'string_agg', '')"
+_PIXEL = "CAST(round(embedding[({i}) % 64 + 1] * 1000) AS INTEGER)"
+_BITS = "list_aggregate([CASE WHEN " + _PIXEL.format(i="i // 8 * 9 + i % 8") + " > " + _PIXEL.format(i="i // 8 * 9 + i % 8 + 1") + " THEN 1 ELSE 0 END for i in range(64)], 'string_agg', '')"
 
 
 @query(f"SELECT vec_id, {_BITS} AS bits FROM embeddings")
 def sign_bits(spark, folder):
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.get("embedding", i) > F.get("embedding", (i + 1) % 64), "1").otherwise("0"))
-    return table(spark, folder, "embeddings").select("vec_id", F.array_join(bits, "").alias("bits"))
+    """Difference hashes of embeddings as grey values of 9 x 8 pixels, the first ones again at the end; shown as bits."""
+    value = lambda i: F.round(F.get("embedding", (i % 64).cast("int")) * 1000).cast("int")
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(71)), value)
+    code = S.code_of_hex(S.dhash64(pixels))
+    return table(spark, folder, "embeddings").select("vec_id", F.lpad(F.bin(code), 64, "0").alias("bits"))
 
 
 @query("SELECT quarantineId AS id, (SELECT string_agg(x, ',' ORDER BY spot) FROM (SELECT x, min(i) AS spot FROM (SELECT trim(candidateMediaIds[i], ' \t') AS x, i FROM unnest(range(1, len(candidateMediaIds) + 1)) AS t(i)) WHERE x <> '' GROUP BY x)) AS ids FROM quarantine_item WHERE candidateMediaIds IS NOT NULL")
@@ -664,3 +802,204 @@ def bench_sha(spark, folder):
 @query("SELECT DISTINCT level, CASE WHEN lower(trim(level)) IN ('exact', 'strong', 'probable') THEN lower(trim(level)) END AS known FROM duplicate_link")
 def level_normalized(spark, folder):
     return table(spark, folder, "duplicate_link").select("level", S.duplicate_level("level").alias("known")).distinct()
+
+
+# Extraction, digests and reports
+
+
+@query(f"""
+    WITH {CURRENT_SQL},
+    m AS (SELECT mediaId, kind, width, height, durationMs, cameraModel, epoch_ms(date_trunc('second', extractedAt)) AS taken, (mediaId LIKE '%0' OR mediaId LIKE '%1' OR kind NOT IN ('photo', 'video')) AS failed FROM current)
+    SELECT mediaId AS "mediaId", kind, CASE WHEN failed OR kind = 'video' AND mediaId LIKE '%2' THEN 1000.0 ELSE CAST(taken AS DOUBLE) END AS "takenAt", CASE WHEN NOT failed THEN width END AS width, CASE WHEN NOT failed THEN height END AS height,
+           CASE WHEN NOT failed AND kind = 'video' THEN durationMs END AS "durationMs", CASE WHEN NOT failed AND kind = 'photo' THEN nullif(trim(cameraModel), '') END AS "cameraModel",
+           CASE kind WHEN 'photo' THEN CASE WHEN failed THEN 'image/jpeg' ELSE 'image/x-own' END WHEN 'video' THEN CASE WHEN failed THEN 'video/quicktime' ELSE 'video/mp4' END END AS "mimeType",
+           CASE WHEN failed THEN NULL WHEN kind = 'photo' THEN 'exiftool' ELSE 'ffprobe' END AS extractor, CASE kind WHEN 'photo' THEN '.jpg' WHEN 'video' THEN '.mov' ELSE '.txt' END AS ext
+    FROM m
+""")
+def metadata_extracted(spark, folder):
+    """Metadata from what tools print, made from the table's fields; a fifth of the outputs is missing or cut off."""
+    m = current(spark, folder)
+    t = F.col("extractedAt").cast("timestamp")
+    photo = F.to_json(F.array(F.struct(F.col("width").alias("ImageWidth"), F.col("height").cast("string").alias("ImageHeight"), F.col("cameraModel").alias("Model"), F.date_format(t, "yyyy:MM:dd HH:mm:ss").alias("DateTimeOriginal"), F.lit("image/x-own").alias("MIMEType"), F.array(F.lit(1)).alias("Dropped"))))
+    made = F.when(~F.col("mediaId").endswith("2"), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    streams = F.array(F.struct(F.lit("audio").alias("codec_type"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height")), F.struct(F.lit("video").alias("codec_type"), F.col("width"), F.col("height")))
+    seconds = F.format_string("%.3f", F.col("durationMs") / F.lit(1000.0))
+    form = F.struct(F.when(F.col("durationMs").isNotNull(), seconds).alias("duration"), F.lit("mov,mp4,m4a").alias("format_name"), F.struct(made.alias("creation_time")).alias("tags"))
+    whole = F.when(F.col("kind") == "photo", photo).otherwise(F.to_json(F.struct(streams.alias("streams"), form.alias("format"))))
+    output = F.when(F.col("mediaId").endswith("0"), None).when(F.col("mediaId").endswith("1"), "{cut").otherwise(whole)
+    path = F.concat("mediaId", F.when(F.col("kind") == "photo", ".JPG").when(F.col("kind") == "video", ".mov").otherwise(".txt"))
+    files = m.select("mediaId", path.alias("path"), F.lit(1000.0).alias("mtimeMs"), output.alias("toolOutput"), F.lit(None).cast("array<int>").alias("pixels"))
+    found = extraction.extract(files)
+    raw = lambda name: F.get_json_object("metadata.raw", f"$.{name}").alias(name)
+    return found.select("mediaId", *[F.col(f"metadata.{f}").alias(f) for f in extraction.FIELDS], raw("extractor"), raw("ext"))
+
+
+@query("SELECT s_suppkey, sha256(repeat(s_name, 5000)) AS sha256, sha256(left(repeat(s_name, 5000), 65536)) AS head FROM supplier")
+def file_digests(spark, folder):
+    content = F.encode(F.repeat("s_name", F.lit(5000)), "UTF-8")
+    return table(spark, folder, "supplier").select("s_suppkey", S.file_sha256(content).alias("sha256"), S.head_sha256(content).alias("head"))
+
+
+@query("""
+    SELECT event_id, 'case ' || event_type AS name, user_id AS "resultSize", round(value, 2) AS "minMs", round(value + 2, 2) AS "maxMs" FROM events WHERE value >= 0 AND event_type <> 'click'
+""")
+def bench_lines(spark, folder):
+    """Lines of the benchmark's report read back; other lines give nothing."""
+    e = table(spark, folder, "events").where("value is not null")
+    v = lambda add: F.format_string("%.2f", F.round(F.col("value") + add, 2))
+    line = F.format_string("case %s | result=%d | min=%sms | p50=%sms | p95=%sms | avg=%sms | max=%sms", "event_type", "user_id", v(0), v(0), v(1), v(1), v(2))
+    read = e.select("event_id", S.bench_line(F.when(F.col("event_type") == "click", F.lit("# a heading")).otherwise(line)).alias("r"))
+    return read.where("r is not null").select("event_id", "r.name", "r.resultSize", "r.minMs", "r.maxMs")
+
+
+@query("SELECT DISTINCT status, CASE status WHEN 'accepted' THEN 'gray' ELSE 'gray' END AS colour FROM quarantine_item UNION SELECT * FROM (VALUES ('completed', 'green'), ('failed', 'red'), ('running', 'yellow'))")
+def job_colours(spark, folder):
+    known = table(spark, folder, "quarantine_item").select("status").unionByName(spark.createDataFrame([("completed",), ("failed",), ("running",)], "status string"))
+    return known.distinct().select("status", S.job_colour(F.col("status")).alias("colour"))
+
+
+# Events of jobs and commands
+
+
+@query(f"""
+    WITH {_keyed_sql('k', 1)}, {_keyed_sql('s')},
+    b AS (SELECT coalesce(s.key, k.key) AS key, s.id IS NOT NULL AS listed, k.id AS entry, s.size, s.mtimeMs, k.state, coalesce(s.size = k.size AND s.mtimeMs = k.mtimeMs, false) AS same FROM s FULL JOIN k USING (key))
+    SELECT key AS path, CASE WHEN listed THEN 'SOURCE_ENTRY_UPSERTED' ELSE 'SOURCE_ENTRY_MARKED_MISSING' END AS type, entry AS "knownEntry", CASE WHEN listed THEN 'active' ELSE 'missing' END AS state,
+           CASE WHEN listed THEN CASE WHEN same THEN 'old' ELSE CAST(size AS VARCHAR) || ':' || CAST(CAST(floor(mtimeMs) AS BIGINT) AS VARCHAR) || ':h' END END AS fingerprint, listed AND NOT same AS ingest
+    FROM b WHERE listed OR state IS DISTINCT FROM 'missing'
+""")
+def scan_emitted(spark, folder):
+    """Events of a scan that lists the newest delivery against the one before."""
+
+    def entries(back):
+        rows = latest_entries(spark, folder, "archivePath", "innerPath", back=back)
+        key = S.natural_key(*(F.col(c) for c in ("sourceId", "path", "archivePath", "innerPath")))
+        keyed = rows.groupBy(key.alias("path"))
+        return keyed.agg(F.max(F.struct("sourceEntryId", "size", "mtimeMs", "state")).alias("r")).select("path", "r.*")
+
+    listed = entries(0).select("path", "size", "mtimeMs", F.lit("h").alias("head"))
+    made = commands.scan_events(listed, entries(1).withColumn("fingerprint", F.lit("old")), "s", 5.0)
+    known = F.when(F.col("sourceEntryId") != S.minted("se", F.lit("s"), F.col("path")), F.col("sourceEntryId"))
+    return made.select("path", "type", known.alias("knownEntry"), "state", "fingerprint", "ingest")
+
+
+_INGEST_SQL = """
+    v AS (SELECT mediaId, min(batchNo) AS b, max(lower(trim(sha256))) AS sha FROM media WHERE regexp_full_match(lower(trim(sha256)), '[0-9a-f]{64}') GROUP BY 1),
+    known AS (SELECT sha, min(mediaId) AS old FROM v WHERE b = 1 GROUP BY 1),
+    inc AS (SELECT mediaId AS entry, sha FROM v WHERE b > 1 AND mediaId NOT LIKE '%7'),
+    f AS (SELECT sha, min(entry) AS first FROM inc GROUP BY 1),
+    d AS (SELECT entry, sha, old IS NULL AND entry = first AS imported, coalesce(old, first) AS original, old IS NOT NULL AS was FROM inc JOIN f USING (sha) LEFT JOIN known USING (sha))
+"""
+
+
+@query(f"""
+    WITH {_INGEST_SQL}
+    SELECT entry AS "sourceEntryId", 'MEDIA_SHA256_COMPUTED' AS type, NULL AS level, NULL AS reason, NULL AS "known" FROM d
+    UNION ALL SELECT entry, 'MEDIA_IMPORTED', NULL, NULL, NULL FROM d WHERE imported
+    UNION ALL SELECT entry, 'MEDIA_SKIPPED_DUPLICATE_EXACT', NULL, NULL, CASE WHEN was THEN original END FROM d WHERE NOT imported
+    UNION ALL SELECT entry, 'DUPLICATE_LINK_CREATED', 'exact', 'sha256', CASE WHEN was THEN original END FROM d WHERE NOT imported
+""")
+def ingest_emitted(spark, folder):
+    """Events of ingesting later batches against the first; a tenth was ingested before."""
+    m = table(spark, folder, "media").select("mediaId", "batchNo", S.sha256_hex("sha256").alias("sha256")).where("sha256 is not null")
+    m = m.groupBy("mediaId").agg(F.min("batchNo").alias("b"), F.max("sha256").alias("sha256"))
+    status = F.when(F.col("mediaId").endswith("7"), "imported").otherwise("none")
+    incoming = m.where("b > 1").select(F.col("mediaId").alias("entry"), "sha256", F.lit(1).cast("bigint").alias("size"), status.alias("status"), F.col("mediaId").alias("rank"))
+    first = m.where("b = 1").select("sha256", "mediaId")
+    made = commands.ingest_events(incoming, first)
+    known = made.join(first.select(F.col("mediaId").alias("known")).distinct(), F.col("mediaId") == F.col("known"), "left")
+    return known.select("sourceEntryId", "type", "level", "reason", "known")
+
+
+_NEAR_STATE_SQL = """
+    st AS (SELECT i.*, EXISTS (SELECT 1 FROM held WHERE held.mediaId = i.id) AS quarantined, EXISTS (SELECT 1 FROM strong WHERE strong.mediaId = i.id) AS linked FROM i),
+    stop AS (SELECT DISTINCT a.id FROM st a JOIN st b ON a.id <> b.id AND b.quarantined AND b.state = 'active' AND (a.head = b.head OR left(a.h, 4) = left(b.h, 4))),
+    open AS (SELECT id, linked FROM st WHERE NOT quarantined AND id NOT IN (SELECT id FROM stop)),
+    o AS (SELECT q.id, min(d) AS least, arg_min(candidate, struct_pack(d := d, way := way, c := candidate)) FILTER (d <= 4) AS best, string_agg(candidate, ',' ORDER BY way, candidate) AS others FROM q GROUP BY 1)
+"""
+
+
+@query(NEAR_ALL_SQL.rstrip() + """,
+    m2 AS (SELECT DISTINCT mediaId, sourceEntryId FROM media),
+    held AS (SELECT m2.mediaId FROM m2 JOIN quarantine_item qi USING (sourceEntryId)),
+    strong AS (SELECT m2.mediaId FROM m2 JOIN (SELECT DISTINCT sourceEntryId FROM duplicate_link WHERE lower(trim(level)) = 'strong' AND mediaId IS NOT NULL) l USING (sourceEntryId)),""" + _NEAR_STATE_SQL + """
+    SELECT o.id AS "sourceEntryId", CASE WHEN best IS NOT NULL THEN 'DUPLICATE_LINK_CREATED' ELSE 'QUARANTINE_CREATED' END AS type, best AS "mediaId", CASE WHEN best IS NOT NULL THEN 'perceptual-hamming<=4:' || CAST(least AS VARCHAR) END AS reason,
+           CASE WHEN best IS NULL THEN o.id || ',' || others END AS candidates
+    FROM o JOIN open USING (id) WHERE best IS NULL OR NOT linked
+""")
+def near_dup_emitted(spark, folder):
+    """Links and review items of near-duplicate jobs, decided on the review items and strong links that the tables hold."""
+    m = media_rows(spark, folder).select("mediaId", "sourceEntryId")
+    held = m.join(table(spark, folder, "quarantine_item").select("sourceEntryId"), "sourceEntryId", "left_semi").select(F.col("mediaId").alias("entry"), F.lit(True).alias("quarantined")).distinct()
+    strong = m.join(link_rows(spark, folder).where("level = 'strong'"), "sourceEntryId", "left_semi").select(F.col("mediaId").alias("entry"), F.lit(True).alias("linked")).distinct()
+    items = _near_items_all(spark, folder).join(held, "entry", "left").join(strong, "entry", "left").fillna(False, ["quarantined", "linked"]).withColumn("imported", F.lit(True))
+    made = commands.near_events(items)
+    return made.select("sourceEntryId", "type", "mediaId", "reason", F.array_join("candidateMediaIds", ",").alias("candidates"))
+
+
+@query("""
+    WITH p AS (SELECT quarantineId, any_value(candidateMediaIds) AS ids, any_value(sourceEntryId) AS entry FROM (SELECT DISTINCT quarantineId, candidateMediaIds, sourceEntryId FROM quarantine_item WHERE status = 'pending') GROUP BY 1 HAVING count(*) = 1),
+    c AS (SELECT quarantineId, status, coalesce(acceptedMediaId, '') AS media, rejectedReason AS reason, resolvedAt AS t FROM quarantine_item WHERE status <> 'pending'),
+    f AS (SELECT quarantineId, min(struct_pack(t := t, action := CASE status WHEN 'accepted' THEN 'accept' ELSE 'reject' END, media := media, reason := reason)) AS r FROM c GROUP BY 1),
+    j AS (SELECT f.quarantineId, p.entry, r, CASE WHEN p.quarantineId IS NULL THEN 'not_found' WHEN r.action = 'accept' AND NOT coalesce(list_contains(p.ids, r.media), false) THEN 'not_a_candidate' END AS error FROM f LEFT JOIN p USING (quarantineId))
+    SELECT quarantineId AS "quarantineId", entry AS "sourceEntryId", CASE WHEN error IS NULL THEN CASE r.action WHEN 'accept' THEN 'QUARANTINE_ACCEPTED' ELSE 'QUARANTINE_REJECTED' END END AS type, CASE WHEN error IS NULL AND r.action = 'accept' THEN r.media END AS "mediaId",
+           NULL AS level, CASE WHEN error IS NULL AND r.action = 'reject' THEN r.reason END AS reason, error FROM j
+    UNION ALL SELECT quarantineId, entry, 'DUPLICATE_LINK_CREATED', r.media, 'probable', 'quarantine-accepted', NULL FROM j WHERE error IS NULL AND r.action = 'accept'
+""")
+def review_emitted(spark, folder):
+    """Events of the decisions in quarantine_item on its pending items."""
+    q = table(spark, folder, "quarantine_item")
+    action = F.when(F.col("status") == "accepted", "accept").otherwise("reject")
+    decisions = q.where("status <> 'pending'").select("quarantineId", action.alias("action"), F.coalesce("acceptedMediaId", F.lit("")).alias("mediaId"), F.col("rejectedReason").alias("reason"), F.col("resolvedAt").alias("at"))
+    items = q.where("status = 'pending'").select("quarantineId", "candidateMediaIds", "sourceEntryId").distinct()
+    single = items.groupBy("quarantineId").agg(F.first("candidateMediaIds").alias("candidateMediaIds"), F.first("sourceEntryId").alias("sourceEntryId"), F.count("*").alias("n")).where("n = 1")
+    made = commands.review_events(single.withColumn("status", F.lit("pending")), decisions)
+    return made.select("quarantineId", "sourceEntryId", "type", "mediaId", "level", "reason", "error")
+
+
+@query("""
+    WITH a AS (SELECT quarantineId AS id, any_value(candidateMediaIds) AS ids FROM (SELECT DISTINCT quarantineId, candidateMediaIds FROM quarantine_item) GROUP BY 1 HAVING count(*) = 1),
+    x AS (SELECT id, trim(m, ' ' || chr(9)) AS m FROM (SELECT id, unnest(ids) AS m FROM a)),
+    known AS (SELECT DISTINCT mediaId FROM media WHERE mediaId IS NOT NULL),
+    n AS (SELECT id, count(DISTINCT m) FILTER (m <> '') AS members, count(*) FILTER (m <> '' AND m NOT IN (SELECT mediaId FROM known)) AS gaps FROM x GROUP BY 1),
+    c AS (SELECT id, coalesce(members, 0) AS members, coalesce(gaps, 0) AS gaps, CASE WHEN id LIKE '%0' THEN 'delete' WHEN id LIKE '%1' OR id LIKE '%2' THEN 'patch' ELSE 'create' END AS command, id LIKE '%2' AS blank, id LIKE '%3' AS nameless FROM a LEFT JOIN n USING (id))
+    SELECT id, CASE WHEN command = 'delete' THEN 'ALBUM_REMOVED' WHEN command = 'patch' AND NOT blank THEN 'ALBUM_UPDATED' WHEN command = 'create' AND NOT nameless AND gaps = 0 THEN 'ALBUM_CREATED' END AS type,
+           CASE WHEN command = 'patch' AND blank THEN 'album_patch_empty' WHEN command = 'create' AND nameless THEN 'album_name_required' WHEN command = 'create' AND gaps > 0 THEN 'album_media_not_found' END AS error,
+           CASE WHEN command = 'patch' AND NOT blank THEN 1 WHEN command = 'create' AND NOT nameless AND gaps = 0 THEN members END AS members
+    FROM c
+""")
+def album_commands(spark, folder):
+    """Albums of candidate lists created, renamed and removed, by the last digit of the list's id."""
+    q = table(spark, folder, "quarantine_item").select("quarantineId", "candidateMediaIds").distinct()
+    one = q.groupBy("quarantineId").agg(F.first("candidateMediaIds").alias("ids"), F.count("*").alias("n")).where("n = 1")
+    id_ = F.col("quarantineId")
+    command = F.when(id_.endswith("0"), "delete").when(id_.endswith("1") | id_.endswith("2"), "patch").otherwise("create")
+    name = F.when(id_.endswith("1"), F.lit(" renamed ")).when(id_.endswith("2"), None).when(id_.endswith("3"), F.lit("  ")).otherwise(F.lit("new"))
+    asked = one.select(command.alias("command"), F.when(command != "create", id_).alias("albumId"), name.alias("name"), F.when(command == "create", F.coalesce("ids", F.array().cast("array<string>"))).alias("mediaIds"), id_.alias("at"))
+    albums = one.select(id_.alias("albumId"), F.lit("old").alias("name"), F.array(F.lit("kept")).alias("mediaIds"), F.lit("then").alias("createdAt"))
+    media = media_rows(spark, folder).unionByName(spark.createDataFrame([("kept", None, None, None)], "mediaId string, sha256 string, size bigint, sourceEntryId string"))
+    made = commands.album_events(asked, albums, media)
+    back = asked.where("command = 'create'").select(S.minted("alb", F.col("at")).alias("albumId"), F.col("at").alias("made"))
+    rows = made.join(back, "albumId", "left")
+    return rows.select(F.coalesce("made", "albumId").alias("id"), "type", "error", F.size("mediaIds").cast("bigint").alias("members"))
+
+
+@query("""
+    WITH s AS (SELECT sourceId AS id, min(struct_pack(p := path, r := recursive, a := includeArchives)) AS r FROM media_source GROUP BY 1),
+    c AS (SELECT id, r.p AS path, r.r AS recursive, r.a AS archives, CASE WHEN id LIKE '%0' THEN 'delete' WHEN id LIKE '%1' OR id LIKE '%2' OR id LIKE '%3' THEN 'patch' ELSE 'create' END AS command FROM s)
+    SELECT id, CASE command WHEN 'delete' THEN 'SOURCE_REMOVED' WHEN 'patch' THEN CASE WHEN id NOT LIKE '%3' THEN 'SOURCE_UPDATED' END ELSE 'SOURCE_CREATED' END AS type,
+           CASE command WHEN 'patch' THEN CASE WHEN id NOT LIKE '%3' THEN recursive END WHEN 'create' THEN true END AS recursive, CASE WHEN command = 'patch' AND id LIKE '%3' THEN 'source_not_found' END AS error FROM c
+""")
+def source_commands(spark, folder):
+    """Sources created with defaults, patched and removed, by the last digit of their id; a patch of an unknown one is refused."""
+    rows = table(spark, folder, "media_source").groupBy("sourceId").agg(F.min(F.struct("path", "recursive", "includeArchives")).alias("r")).select("sourceId", "r.*")
+    sources = rows.withColumn("excludeGlobs", F.array().cast("array<string>")).withColumn("createdAt", F.col("sourceId"))
+    id_ = F.col("sourceId")
+    command = F.when(id_.endswith("0"), "delete").when(id_.rlike("[123]$"), "patch").otherwise("create")
+    target = F.when(id_.endswith("3"), F.concat(id_, F.lit("-unknown"))).when(command != "create", id_)
+    null = F.lit(None).cast("boolean")
+    asked = rows.select(command.alias("command"), target.alias("sourceId"), F.when(command == "create", F.col("path")).alias("path"), null.alias("recursive"), null.alias("includeArchives"), F.lit(None).cast("array<string>").alias("excludeGlobs"), id_.alias("at"))
+    made = commands.source_events(asked, sources)
+    back = asked.where("command = 'create'").select(S.minted("src", F.col("at")).alias("sourceId"), F.col("at").alias("made"))
+    shown = made.join(back, "sourceId", "left")
+    return shown.select(F.coalesce("made", F.regexp_replace("sourceId", "-unknown$", "")).alias("id"), "type", "recursive", "error")

@@ -26,6 +26,7 @@ SERVED_MIME = {
     ".bmp": "image/bmp", ".svg": "image/svg+xml", ".avif": "image/avif", ".heic": "image/heic", ".heif": "image/heif",
     ".mp4": "video/mp4", ".mov": "video/quicktime", ".m4v": "video/x-m4v", ".webm": "video/webm",
 }
+#: Duplicate levels, and keys of coordinates in the order they are tried.
 LEVELS = ("exact", "strong", "probable")
 GPS_KEYS = {"lat": ("gpsLatitude", "GPSLatitude", "latitude", "lat"), "lon": ("gpsLongitude", "GPSLongitude", "longitude", "lon")}
 
@@ -55,6 +56,11 @@ def code_of_hex(text: Column | str) -> Column:
     return F.conv(perceptual_hash(text), 16, -10).cast("bigint")
 
 
+def hamming_codes(a: Column, b: Column) -> Column:
+    """Differing bits of two codes."""
+    return F.bit_count(a.bitwiseXOR(b))
+
+
 def hamming(a: Column | str, b: Column | str) -> Column:
     """Differing bits of two perceptual hashes; null unless both are valid."""
     return F.bit_count(code_of_hex(a).bitwiseXOR(code_of_hex(b)))
@@ -155,7 +161,7 @@ def container_mime(format_names: Column | str) -> Column:
 
 def exif_ms(text: Column | str) -> Column:
     """Epoch milliseconds of a camera's yyyy:MM:dd HH:mm:ss or an ISO time; without zone in the session's."""
-    iso = F.regexp_replace(strip(text), "^(\\d{4}):(\\d{2}):(\\d{2})", "$1-$2-$3")
+    iso = F.regexp_replace(strip(text), "^(\\d{4}):(\\d{2}):(\\d{2}) ", "$1-$2-$3T")
     return F.unix_millis(F.try_to_timestamp(iso))
 
 
@@ -169,6 +175,36 @@ def content_path(sha: Column | str) -> Column:
     return F.concat_ws("/", F.lit("media"), F.lit("sha256"), F.substring(sha, 1, 2), F.substring(sha, 3, 2), sha if isinstance(sha, Column) else F.col(sha))
 
 
+def file_sha256(content: Column | str) -> Column:
+    """Digest of a file's bytes."""
+    return F.sha2(content, 256)
+
+
+#: Bytes at the start of a file that its fingerprint covers.
+HEAD_BYTES = 65_536
+
+
+def head_sha256(content: Column | str) -> Column:
+    """Digest of a file's first 64 KiB."""
+    return F.sha2(F.substring(content, 1, HEAD_BYTES), 256)
+
+
+def minted(prefix: str, *parts: Column) -> Column:
+    """An id prefix_uuid that depends on the parts only; null if one is null."""
+    digest = F.md5(F.concat_ws("\u001f", F.lit(prefix), *parts))
+    pieces = [F.substring(digest, start, size) for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    there = F.lit(True)
+    for p in parts:
+        there &= p.isNotNull()
+    return F.when(there, F.concat(F.lit(f"{prefix}_"), F.concat_ws("-", *pieces)))
+
+
+def threshold(value: object, fallback: int) -> int:
+    """A whole number of at least 0 from a finite one; else ``fallback``."""
+    number = isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value)
+    return max(0, math.floor(value)) if number else fallback
+
+
 def derived_path(media_id: Column, kind: Column) -> Column:
     return F.concat_ws("/", F.lit("derived"), F.substring(media_id, 1, 2), media_id, F.concat(kind, F.lit(".jpg")))
 
@@ -217,7 +253,7 @@ def dhash64(pixels: Column) -> Column:
 
 
 def glob_regex(glob: str) -> str:
-    """Anchored pattern of a glob: ** any text, * any within a path part, ? one character of a path part."""
+    """Anchored pattern of a glob: ** any text, * any within a path part, ? one character of any kind but a line end."""
     out, i = [], 0
     while i < len(glob):
         if glob.startswith("**", i):
@@ -226,7 +262,7 @@ def glob_regex(glob: str) -> str:
         elif glob[i] == "*":
             out.append("[^/]*")
         elif glob[i] == "?":
-            out.append("[^/]")
+            out.append(".")
         else:
             out.append(glob[i] if glob[i].isalnum() or glob[i] in "_/-" else "\\" + glob[i])
         i += 1
@@ -241,3 +277,19 @@ def excluded(path: Column | str, globs: list[str]) -> Column:
     parts = F.split(path, "/")
     levels = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     return F.exists(levels, lambda p: p.rlike(pattern))
+
+
+#: Fixed value: a line of the search benchmark's report.
+BENCH_LINE = "^(.+?) \\| result=(\\d+) \\| min=(\\d+(?:\\.\\d+)?)ms \\| p50=(\\d+(?:\\.\\d+)?)ms \\| p95=(\\d+(?:\\.\\d+)?)ms \\| avg=(\\d+(?:\\.\\d+)?)ms \\| max=(\\d+(?:\\.\\d+)?)ms$"
+
+
+def bench_line(line: Column | str) -> Column:
+    """name, resultSize, minMs, p50Ms, p95Ms, avgMs, maxMs of a line of the benchmark's report; null for other lines."""
+    text = strip(line)
+    numbers = [F.regexp_extract(text, BENCH_LINE, i + 3).try_cast("double").alias(n) for i, n in enumerate(("minMs", "p50Ms", "p95Ms", "avgMs", "maxMs"))]
+    return F.when(text.rlike(BENCH_LINE), F.struct(strip(F.regexp_extract(text, BENCH_LINE, 1)).alias("name"), F.regexp_extract(text, BENCH_LINE, 2).try_cast("bigint").alias("resultSize"), *numbers))
+
+
+def job_colour(status: Column) -> Column:
+    """The colour a job's status is shown in."""
+    return F.when(status == "completed", "green").when(status == "failed", "red").when(status == "running", "yellow").otherwise("gray")

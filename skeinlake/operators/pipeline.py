@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlake.functions import scalars as S
+from skeinlake.plans.running import running
 
 
 def scan_diff(listing: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -44,16 +45,31 @@ def near_pairs(items: DataFrame, most: int) -> DataFrame:
     count unmeasured (distance null). Only active candidates count. Pairs are the operator's
     result for a blocked bucket; what a bucket must compare is limited by the distance filter.
     """
-    left = items.select("entry", "mediaId", "head", "phash")
-    right = items.where("state = 'active'").select(F.col("entry").alias("candidateEntry"), F.col("mediaId").alias("candidate"), F.col("head").alias("chead"), F.col("phash").alias("cphash"), "rank")
-    bits = S.hamming("phash", "cphash")
-    ok = (F.col("entry") != F.col("candidateEntry")) & (F.col("phash").isNull() | (bits <= most))
+    rows = items.select("*", S.code_of_hex("phash").alias("code"), F.substring("phash", 1, 4).alias("block"))
+    left = rows.select("entry", "mediaId", "head", "code", "block")
+    right = rows.where("state = 'active'").select(
+        F.col("entry").alias("candidateEntry"), F.col("mediaId").alias("candidate"), F.col("head").alias("chead"), F.col("code").alias("ccode"), F.col("block").alias("cblock"), "rank"
+    )
+    bits = S.hamming_codes(F.col("code"), F.col("ccode"))
+    ok = (F.col("entry") != F.col("candidateEntry")) & (F.col("code").isNull() | (bits <= most))
     by_head = left.join(right, (F.col("head") == F.col("chead")) & ok).withColumn("way", F.lit(0))
-    by_hash = left.join(right, (F.substring("phash", 1, 4) == F.substring("cphash", 1, 4)) & ok).withColumn("way", F.lit(1))
+    by_hash = left.join(right, (F.col("block") == F.col("cblock")) & ok).withColumn("way", F.lit(1))
     both = by_head.unionByName(by_hash).withColumn("distance", bits)
     return both.groupBy("entry", "mediaId", "candidate", "candidateEntry").agg(F.first("distance").alias("distance"), F.min(F.struct("way", "rank")).alias("rank"))
 
 
+def blocked_entries(items: DataFrame) -> DataFrame:
+    """entry of items of which another active item with the same head key or hash block is in review (``quarantined``)."""
+    rows = items.select("entry", "head", F.substring("phash", 1, 4).alias("block"))
+    held = items.where("state = 'active' and quarantined").select(F.col("entry").alias("other"), F.col("head").alias("ohead"), F.substring("phash", 1, 4).alias("oblock"))
+    # Two different ones are enough to tell for any entry, itself one of them or not.
+    least = lambda key: held.where(f"{key} is not null").groupBy(key).agg(F.min("other").alias("least"), F.max("other").alias("most"))
+    other = (F.col("least") != F.col("entry")) | (F.col("most") != F.col("entry"))
+    by_head = rows.join(least("ohead"), (F.col("head") == F.col("ohead")) & other, "left_semi")
+    by_hash = rows.join(least("oblock"), (F.col("block") == F.col("oblock")) & other, "left_semi")
+    return by_head.select("entry").unionByName(by_hash.select("entry")).distinct()
+
+
 def classify_near(items: DataFrame, strong: int = 4, probable: int = 10) -> DataFrame:
     """entry, outcome (strong or quarantine), mediaId, distance, candidateMediaIds for each entry with candidates.
 
@@ -152,11 +168,23 @@ def metrics(counts: dict[str, tuple[DataFrame, Column | None]]) -> DataFrame:
 
 
 def latency_stats(samples: DataFrame, group: str, value: str) -> DataFrame:
-    """min, p50, p95, max, avg by group; a percentile is the sorted value at floor(n * rank), the last at most."""
-    w = Window.partitionBy(group).orderBy(value)
-    ranked = samples.where(F.col(value).isNotNull()).select(group, F.col(value).alias("v"), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy(group)).alias("n"))
-    at = lambda rank: F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * rank), F.col("n") - 1), F.col("v")))
-    return ranked.groupBy(group).agg(F.min("v").alias("min_v"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("v").alias("max_v"), F.avg("v").alias("avg_v"))
+    """min, p50, p95, max, avg by group; a percentile is the sorted value at floor(n * rank), the last at most.
+
+    Equal values are counted first, and places are running totals over ranges, so that no task
+    needs a whole group.
+    """
+    rows = samples.where(F.col(value).isNotNull()).select(F.col(group).alias("grp"), F.col(value).alias("v"))
+    counts = rows.groupBy("grp", "v").agg(F.count("*").alias("c"))
+    placed = running(counts, "grp", ["v"], "c", "sum", "upto")
+    totals = counts.groupBy("grp").agg(F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("s")).withColumnRenamed("grp", "g")
+    ranked = placed.join(totals, F.col("grp").eqNullSafe(F.col("g")))
+
+    def at(rank: float) -> Column:
+        place = F.least(F.floor(F.col("n") * rank), F.col("n") - 1)
+        return F.max(F.when((place < F.col("upto")) & (place >= F.col("upto") - F.col("c")), F.col("v")))
+
+    out = ranked.groupBy("grp").agg(F.min("v").alias("min_v"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("v").alias("max_v"), (F.first("s") / F.first("n")).alias("avg_v"))
+    return out.withColumnRenamed("grp", group)
 
 
 def budget_violations(stats: DataFrame, group: str, p95: float, avg: float) -> DataFrame:
@@ -185,6 +213,9 @@ def next_step(attempts: Column, most: Column, has_handler: Column) -> Column:
 
 
 def running_at_once(trace: DataFrame) -> DataFrame:
-    """kind, most: the greatest number of jobs of a kind that ran at the same time in a trace (kind, at, change of +1 or -1)."""
-    w = Window.partitionBy("kind").orderBy("at", "change").rowsBetween(Window.unboundedPreceding, 0)
-    return trace.select("kind", F.sum("change").over(w).alias("now")).groupBy("kind").agg(F.max("now").alias("most"))
+    """kind, most: the greatest number of jobs of a kind that ran at the same time in a trace (kind, at, change of +1 or -1).
+
+    Ends count before starts of the same moment.
+    """
+    steps = trace.groupBy("kind", "at", "change").agg(F.sum("change").alias("step"))
+    return running(steps, "kind", ["at", "change"], "step", "sum", "now").groupBy("kind").agg(F.max("now").alias("most"))

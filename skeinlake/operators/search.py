@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from skeinlake.functions import scalars as S
 
+#: Kinds of media, and sort orders.
+KINDS = ("photo", "video", "unknown")
 SORTS = ("mediaId_asc", "takenAt_desc")
 MAX_LIMIT, DEFAULT_LIMIT = 500, 100
 
@@ -42,23 +44,34 @@ class SearchRequest:
         return min(_whole(self.limit) or DEFAULT_LIMIT, MAX_LIMIT), _whole(self.offset) or 0
 
     def errors(self) -> list[str]:
-        """What the query endpoint rejects; the search itself is more lenient."""
-        found = []
-        if not self.has_filters():
-            found.append("search_filter_required")
-        if self.duplicate_level and self.duplicate_level not in S.LEVELS:
-            found.append("duplicate_level_invalid")
-        if self.taken_day and not re.fullmatch(r"\d{4}-\d{2}-\d{2}", self.taken_day.strip()):
-            found.append("taken_day_invalid")
-        if self.gps_tile is not None and not self.gps_tile.strip():
-            found.append("gps_tile_invalid")
-        if self.sha256_prefix and not re.fullmatch(r"[0-9a-fA-F]{2,64}", self.sha256_prefix.strip()):
-            found.append("sha256_prefix_invalid")
-        if self.sort not in SORTS:
-            found.append("sort_invalid")
-        if self.cursor and self.offset is not None:
-            found.append("cursor_with_offset")
-        return found
+        """The codes with which the query endpoint rejects a request, in its order; the endpoint names the first.
+
+        The search itself is more lenient.
+        """
+        blank = lambda text: text is not None and not text.strip()
+        checks = [
+            ("invalid_sort", self.sort not in SORTS),
+            ("invalid_kind_filter", self.kind is not None and self.kind not in KINDS),
+            ("invalid_mime_type_filter", blank(self.mime_type)),
+            ("invalid_source_id_filter", blank(self.source_id)),
+            ("invalid_duplicate_level_filter", self.duplicate_level is not None and self.duplicate_level not in S.LEVELS),
+            ("invalid_camera_model_filter", blank(self.camera_model)),
+            ("invalid_taken_day_filter", self.taken_day is not None and not re.fullmatch(r"\d{4}-\d{2}-\d{2}", self.taken_day.strip())),
+            ("invalid_gps_tile_filter", blank(self.gps_tile)),
+            ("invalid_sha256_prefix_filter", self.sha256_prefix is not None and not re.fullmatch(r"[0-9a-fA-F]{2,64}", self.sha256_prefix.strip())),
+            ("search_filter_required", not self.has_filters()),
+            ("invalid_cursor", blank(self.cursor)),
+            ("invalid_pagination_params", bool(self.cursor and self.cursor.strip()) and self.offset is not None),
+        ]
+        return [code for code, fails in checks if fails]
+
+    def filters(self) -> dict[str, str | None]:
+        """The filters as the response repeats them."""
+        trimmed = lambda text: (text or "").strip() or None
+        return {
+            "kind": self.kind, "mimeType": self.mime_type, "sourceId": self.source_id, "duplicateLevel": self.duplicate_level, "cameraModel": trimmed(self.camera_model),
+            "takenDay": trimmed(self.taken_day), "gpsTile": trimmed(self.gps_tile), "sha256Prefix": (trimmed(self.sha256_prefix) or "").lower() or None,
+        }
 
 
 def _whole(value: int | str | None) -> int | None:
@@ -141,14 +154,19 @@ def after(matched: DataFrame, view: DataFrame, cursor: str, sort: str) -> DataFr
     return matched.where(F.col("takenAt").isNull() & (F.col("mediaId") > cursor))
 
 
-def page(view: DataFrame, request: SearchRequest) -> DataFrame:
-    """Rows of the requested page that have a media row."""
+def page_rows(view: DataFrame, request: SearchRequest) -> DataFrame:
+    """Rows of the requested page, also of ids that have no media row (``present`` false)."""
     limit, offset = request.page()
     rows = matching(view, request)
     if request.cursor:
         rows, offset = after(rows, view, request.cursor, request.sort), 0
     ordered = rows.orderBy(*order(request.sort))
-    return (ordered.offset(offset) if offset else ordered).limit(limit).where("present")
+    return (ordered.offset(offset) if offset else ordered).limit(limit)
+
+
+def page(view: DataFrame, request: SearchRequest) -> DataFrame:
+    """Rows of the requested page that have a media row."""
+    return page_rows(view, request).where("present")
 
 
 def total(view: DataFrame, request: SearchRequest) -> DataFrame:
@@ -157,11 +175,21 @@ def total(view: DataFrame, request: SearchRequest) -> DataFrame:
 
 
 def next_cursor(ids: list[str], request: SearchRequest) -> str | None:
-    """The cursor of the page after ``ids`` (all of the page): its last id if it is full, none in offset mode."""
+    """The cursor of the page after ``ids`` (all of the page, media row or not): its last id if it is full, none in offset mode."""
     limit, _ = request.page()
     return ids[-1] if request.offset is None and len(ids) == limit and ids else None
 
 
+def respond(view: DataFrame, request: SearchRequest) -> dict:
+    """The endpoint's response to a request that has no errors: at most a page of rows is collected."""
+    limit, offset = request.page()
+    rows = page_rows(view, request).collect()
+    return {
+        "media": [r for r in rows if r["present"]], "total": total(view, request).head()["total"], "limit": limit, "offset": offset, "sort": request.sort,
+        "cursor": request.cursor, "nextCursor": next_cursor([r["mediaId"] for r in rows], request), "filters": request.filters(),
+    }
+
+
 def page_stats(totals: DataFrame) -> DataFrame:
     """Adds pageCount, pageNumber, hasPrev, hasNext to columns total, limit, offset; limits below 1 count as 1, negatives as 0."""
     limit = F.greatest(F.coalesce(F.col("limit"), F.lit(1)), F.lit(1)).cast("bigint")

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinlake.plans.running import running
+
 SOURCE = "sourceId string, path string, recursive boolean, includeArchives boolean, excludeGlobs array<string>, createdAt double"
 ENTRY = "sourceEntryId string, sourceId string, kind string, path string, archivePath string, innerPath string, size bigint, mtimeMs double, fingerprint string, lastSeenAt double, state string"
 MEDIA = "mediaId string, sha256 string, size bigint, sourceEntryId string"
@@ -67,6 +69,11 @@ def _removals(events: DataFrame) -> DataFrame:
     return _of(events, "SOURCE_REMOVED").select(_text("sourceId").alias("source"), F.col("seq").alias("r"))
 
 
+def _removal_lists(removals: DataFrame) -> DataFrame:
+    """source, rs: the positions at which a source was removed, one row a source, so that a join makes no row more."""
+    return removals.where("source is not null").groupBy("source").agg(F.collect_set("r").alias("rs"))
+
+
 def entries(events: DataFrame) -> DataFrame:
     """Entries: the last upsert, gone if its source was removed after it, with a later missing mark laid over it.
 
@@ -78,7 +85,8 @@ def entries(events: DataFrame) -> DataFrame:
     alive = last.join(last_removal, "source", "left").where("r is null or r < u").drop("r")
     # pos: the first upsert that no removal of the source held at that time follows.
     versions = up.select("key", "seq", "source", F.lead("seq").over(Window.partitionBy("key").orderBy("seq")).alias("until"))
-    ends = versions.join(removals, "source").where("r > seq and (until is null or r < until)").groupBy("key").agg(F.max("r").alias("ended"))
+    between = F.filter("rs", lambda r: (r > F.col("seq")) & (F.col("until").isNull() | (r < F.col("until"))))
+    ends = versions.join(_removal_lists(removals), "source").groupBy("key").agg(F.max(F.array_max(between)).alias("ended"))
     since = up.join(ends, "key", "left").where("ended is null or seq > ended").groupBy("key").agg(F.min("seq").alias("pos"))
     marks = _of(events, "SOURCE_ENTRY_MARKED_MISSING").select(_text("sourceEntryId").alias("key"), F.struct("seq", F.try_variant_get("payload", "$.lastSeenAt", "double").alias("seen")).alias("m"))
     mark = marks.groupBy("key").agg(F.max("m").alias("m"))
@@ -140,7 +148,8 @@ def quarantine(events: DataFrame) -> DataFrame:
         F.col("seq").alias("at"), "type", "createdAt", _text("quarantineId").alias("id"), _text("acceptedMediaId").alias("accepted"), _text("rejectedReason").alias("reason"),
         F.try_variant_get("payload", "$.resolvedAt", "double").alias("when_"),
     )
-    after = decisions.join(first.select("id", "pos"), "id").where("at > pos")
+    open_ = first.where("coalesce(row.status, 'pending') = 'pending'").select("id", "pos")
+    after = decisions.join(open_, "id").where("at > pos")
     decided = after.groupBy("id").agg(F.min_by(F.struct("type", "createdAt", "accepted", "reason", "when_"), "at").alias("d"))
     rows = first.join(decided, "id", "left")
     yes = F.col("d.type") == "QUARANTINE_ACCEPTED"
@@ -148,9 +157,9 @@ def quarantine(events: DataFrame) -> DataFrame:
         "row.quarantineId", "row.sourceEntryId", "row.candidateMediaIds",
         F.when(F.col("d").isNull(), F.coalesce("row.status", F.lit("pending"))).when(yes, "accepted").otherwise("rejected").alias("status"),
         "row.createdAt",
-        F.coalesce("d.when_", "d.createdAt").alias("resolvedAt"),
-        F.when(yes, F.col("d.accepted")).alias("acceptedMediaId"),
-        F.when(~yes, F.col("d.reason")).alias("rejectedReason"),
+        F.when(F.col("d").isNull(), F.col("row.resolvedAt")).otherwise(F.coalesce("d.when_", "d.createdAt")).alias("resolvedAt"),
+        F.when(F.col("d").isNull(), F.col("row.acceptedMediaId")).when(yes, F.col("d.accepted")).alias("acceptedMediaId"),
+        F.when(F.col("d").isNull(), F.col("row.rejectedReason")).when(~yes, F.col("d.reason")).alias("rejectedReason"),
         "pos",
     )
 
@@ -195,26 +204,30 @@ def orphan_job_events(events: DataFrame) -> DataFrame:
 
 
 def reset_running(jobs_: DataFrame) -> DataFrame:
-    """Jobs with running ones queued again, as after a restart."""
+    """Jobs with running ones queued again, as after a restart; count them with ``jobs_.where("status = 'running'")``."""
     return jobs_.withColumn("status", F.when(F.col("status") == "running", "queued").otherwise(F.col("status")))
 
 
 def import_sources(events: DataFrame) -> DataFrame:
     """mediaId, sourceId as of the last import whose entry was there at that moment (the incremental index)."""
-    up, removals = _upserts(events), _removals(events)
-    imports = _imports(events).select(F.col("seq").alias("at"), "row.mediaId", F.col("row.sourceEntryId").alias("key"))
-    held = imports.join(up.select("key", "seq", "source"), "key").where("seq < at").groupBy("mediaId", "key", "at").agg(F.max("seq").alias("seq"), F.max_by("source", "seq").alias("source"))
-    gone = held.join(removals, "source").where("r > seq and r < at").select("mediaId", "at").distinct()
-    present = held.join(gone, ["mediaId", "at"], "left_anti")
-    return present.groupBy("mediaId").agg(F.max_by("source", "at").alias("sourceId"))
+    removals = _removals(events)
+    null = F.lit(None).cast("string")
+    up = _upserts(events).select("key", "seq", null.alias("mediaId"), F.struct("seq", "source").alias("held"))
+    imports = _imports(events).select(F.col("row.sourceEntryId").alias("key"), "seq", F.col("row.mediaId").alias("mediaId"))
+    rows = up.unionByName(imports.where("key is not null and mediaId is not null"), allowMissingColumns=True)
+    asof = running(rows, "key", ["seq"], "held", "max", "last").where("mediaId is not null and last is not null")
+    gone = F.exists("rs", lambda r: (r > F.col("last.seq")) & (r < F.col("seq")))
+    present = asof.join(_removal_lists(removals), F.col("last.source") == F.col("source"), "left").where(~F.coalesce(gone, F.lit(False)))
+    return present.groupBy("mediaId").agg(F.max_by("last.source", "seq").alias("sourceId"))
 
 
 def import_levels(events: DataFrame) -> DataFrame:
     """mediaId, level of the incremental index: linked media, and those imported from linked entries by then."""
     made = _of(events, "DUPLICATE_LINK_CREATED").select("seq", _text("link.mediaId").alias("mediaId"), _text("link.sourceEntryId").alias("key"), _text("link.level").alias("level"))
-    imports = _imports(events).select(F.col("seq").alias("at"), F.col("row.mediaId").alias("own"), F.col("row.sourceEntryId").alias("key"))
-    through = made.join(imports, "key").where("at < seq").groupBy("seq", "level").agg(F.max_by("own", "at").alias("mediaId"))
-    return made.select("mediaId", "level").unionByName(through.select("mediaId", "level")).where("mediaId is not null").distinct()
+    imports = _imports(events).select(F.col("row.sourceEntryId").alias("key"), "seq", F.struct("seq", F.col("row.mediaId").alias("own")).alias("held"))
+    rows = imports.unionByName(made.select("key", "seq", "level"), allowMissingColumns=True).where("key is not null")
+    through = running(rows, "key", ["seq"], "held", "max", "last").where("held is null").select(F.col("last.own").alias("mediaId"), "level")
+    return made.select("mediaId", "level").unionByName(through).where("mediaId is not null").distinct()
 
 
 def domain_views(events: DataFrame) -> dict[str, DataFrame]:
@@ -223,3 +236,38 @@ def domain_views(events: DataFrame) -> dict[str, DataFrame]:
         "source": sources(events), "sourceEntry": entries(events), "media": media(events), "ingestStatus": ingest_status(events),
         "metadata": metadata(events), "duplicateLink": links(events), "quarantine": quarantine(events), "album": albums(events),
     }
+
+
+#: What a row of a snapshot says again as an event: its type and the payload's field; None where the row is the payload.
+_SAID_AGAIN = {
+    "album": ("ALBUM_CREATED", "album"), "source": ("SOURCE_CREATED", "source"), "sourceEntry": ("SOURCE_ENTRY_UPSERTED", "entry"),
+    "duplicateLink": ("DUPLICATE_LINK_CREATED", "link"), "media": ("MEDIA_IMPORTED", "media"), "quarantine": ("QUARANTINE_CREATED", "item"),
+    "metadata": ("MEDIA_METADATA_EXTRACTED", "metadata"), "ingestStatus": ("MEDIA_IMPORTED", "media"),
+}
+
+
+def said_again(records: DataFrame, kind: str) -> DataFrame:
+    """Events that a snapshot's records (kind, record) of one kind stand for, at the positions they had."""
+    type_, field_ = _SAID_AGAIN[kind]
+    own = records.where(F.col("kind") == kind)
+    whole = F.concat(F.lit(f'{{"{field_}":'), F.col("record"), F.lit("}"))
+    if kind == "metadata":
+        media_id = F.expr("substr(to_json(named_struct('mediaId', get_json_object(record, '$.mediaId'))), 2)")
+        whole = F.concat(F.lit('{"metadata":'), F.col("record"), F.lit(","), media_id)
+    named = F.lit(type_)
+    if kind == "ingestStatus":
+        skipped = F.get_json_object("record", "$.status") == "duplicate"
+        named = F.when(skipped, "MEDIA_SKIPPED_DUPLICATE_EXACT").otherwise(named)
+        whole = F.when(skipped, F.col("record")).otherwise(whole)
+    pos = F.coalesce(F.get_json_object("record", "$.pos").try_cast("bigint"), F.lit(0)).alias("seq")
+    return own.select(pos, F.lit(None).cast("string").alias("eventId"), named.alias("type"), F.lit(None).cast("double").alias("createdAt"), F.try_parse_json(whole).alias("payload"))
+
+
+def rebuild(records: DataFrame, tail: DataFrame) -> dict[str, DataFrame]:
+    """The eight current tables from a snapshot's records (kind, record) and the events after it.
+
+    Each table is the fold of what its records say again and the tail, so that positions,
+    later changes and removals come out as from the whole log. Statuses that were never set are no rows.
+    """
+    fold = {"source": sources, "sourceEntry": entries, "media": media, "ingestStatus": ingest_status, "metadata": metadata, "duplicateLink": links, "quarantine": quarantine, "album": albums}
+    return {kind: view(said_again(records, kind).unionByName(tail.select("seq", "eventId", "type", "createdAt", "payload"))) for kind, view in fold.items()}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from skeinlake.functions import scalars as S
 from skeinlake.operators import pipeline, search, views
 from skeinlake.operators.search import SearchRequest
+from skeinlake.plans.staging import Workspace
 
 
 def _listed(rows: DataFrame) -> DataFrame:
@@ -29,7 +30,10 @@ class Catalog:
 
     @classmethod
     def of_log(cls, log: DataFrame) -> Catalog:
-        events = views.typed(log)
+        work = Workspace(log.sparkSession, "catalog")
+        typed = views.typed(log)
+        typed.write.partitionBy("type").parquet(work.path("events"))  # parsed once; each view reads its types
+        events = work.load("events", typed.schema)
         return cls(views.domain_views(events), views.jobs(events))
 
     def register(self, spark: SparkSession, prefix: str = "") -> None:
@@ -78,11 +82,24 @@ class Catalog:
         return search.catalog_view(t["media"], t["metadata"].withColumn("raw", F.to_json("raw")), t["sourceEntry"], t["duplicateLink"])
 
     def search(self, view: DataFrame, request: SearchRequest) -> DataFrame:
-        """A page; raises ValueError with the endpoint's error codes for requests it rejects."""
+        """A page; raises ValueError with the endpoint's error code for requests it rejects."""
         if errors := request.errors():
-            raise ValueError(", ".join(errors))
+            raise ValueError(errors[0])
         return search.page(view, request)
 
+    def search_response(self, view: DataFrame, request: SearchRequest) -> dict:
+        """media, total, limit, offset, sort, cursor, nextCursor and filters, as the endpoint answers."""
+        if errors := request.errors():
+            raise ValueError(errors[0])
+        return search.respond(view, request)
+
+    def one(self, table: str, **key: str) -> DataFrame:
+        """Rows of a table by key: media by sha256 or sourceEntryId, an album, a review item, a link's existence and so on."""
+        rows = self.jobs if table == "job" else self.tables[table]
+        for name, value in key.items():
+            rows = rows.where(F.col(name) == value)
+        return rows
+
     def duplicate_links(self, level: str | None = None, media_id: str | None = None, entry_id: str | None = None) -> DataFrame:
         rows = self.tables["duplicateLink"]
         if level in S.LEVELS:

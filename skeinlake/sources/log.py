@@ -13,7 +13,7 @@ import json
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,14 +135,13 @@ def sign(record: dict, secret: bytes) -> str:
 def checks(log: DataFrame, secret: bytes | None = None) -> DataFrame:
     """seq, version_ok, seq_ok, prev_ok, hash_ok of each record against the one before it in seq order.
 
-    Positions are compared inside ranges of seq that are sorted in parallel; only each range's last
-    record is looked up for the next. ``hash_ok`` is null without a secret, as the chain is then
-    checked without recomputing hashes.
+    Each record is joined with what stands at its seq and at the one before. Where several records
+    have one seq, which ``seq_ok`` denies them, the next is compared with the least of their hashes.
+    ``hash_ok`` is null without a secret, as the chain is then checked without recomputing hashes.
     """
-    before = log.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("before")).dropDuplicates(["seq"])
-    rows = log.join(before.withColumn("has", F.lit(True)), "seq", "left")
-    copies = log.groupBy("seq").agg(F.count("*").alias("copies"))
-    rows = rows.join(copies, "seq", "left")
+    at = log.groupBy("seq").agg(F.count("*").alias("copies"), F.min("hash").alias("hash"))
+    rows = log.join(at.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("before"), F.lit(True).alias("has")), "seq", "left")
+    rows = rows.join(at.select("seq", "copies"), "seq", "left")
     hash_ok = F.lit(None).cast("boolean") if secret is None else F.coalesce(hmac_sha256(_unsigned("line"), secret) == F.col("hash"), F.lit(False))
     return rows.select(
         "seq",
@@ -174,9 +173,10 @@ def append(spark: SparkSession, folder: str, events: list[dict], secret: bytes,
     (a longer record has a segment to itself).
     """
     names = [n for n in list_names(spark, folder) if len(n) == 12 and n.endswith(".jsonl") and n[:6].isdigit()]
-    last = last_record(read_log(spark, folder)).head()
-    seq, before = last["seq"] or 0, last["hash"]
     number = int(names[-1][:6]) if names else 0
+    # Closed segments are in order, so the last one holds the last record.
+    last = last_record(_shaped(spark.read.text(f"{folder}/{names[-1]}"))).head() if names else None
+    seq, before = (last["seq"] or 0, last["hash"]) if last else (0, None)
     lines: list[str] = []
     size = 0
 
@@ -236,8 +236,8 @@ def read_snapshot(spark: SparkSession, folder: str, kind: str, schema: str) -> D
 
 def retained(snapshots: DataFrame, keep: str | None, most: int) -> DataFrame:
     """Snapshots (name, mtime) to keep: the newest ``most`` (none if 0 or less) and the one the pointer names."""
-    ranked = snapshots.withColumn("rank", F.row_number().over(Window.orderBy(F.col("mtime").desc(), F.col("name"))))
-    return ranked.where((F.col("rank") <= most) | (F.col("name") == F.lit(keep))).drop("rank")
+    newest = snapshots.orderBy(F.col("mtime").desc(), F.col("name")).limit(max(0, most))
+    return newest.unionByName(snapshots.where(F.col("name") == F.lit(keep))).distinct()
 
 
 def prune_snapshots(spark: SparkSession, folder: str, most: int) -> list[str]:
@@ -263,3 +263,29 @@ def listing(spark: SparkSession, root: str, recursive: bool, globs: list[str]) -
     if not recursive:
         rows = rows.where(~F.col("path").contains("/"))
     return rows.where(~excluded("path", globs))
+
+
+def digests(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """path, sha256, head: digests of the whole content and of the first 64 KiB of the files under a folder."""
+    from skeinlake.functions.scalars import file_sha256, head_sha256
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths or root)
+    return files.select(F.regexp_replace("path", "^[a-z]+:/*", "/").alias("path"), file_sha256("content").alias("sha256"), head_sha256("content").alias("head"))
+
+
+def rebuild_state(spark: SparkSession, log_folder: str, snapshots_folder: str | None, secret: bytes | None) -> dict[str, DataFrame]:
+    """The eight current tables from the newest snapshot, if there is one, and the log's records after it.
+
+    With a secret the whole log is verified, also what the snapshot covers.
+    """
+    from skeinlake.operators import views
+
+    log = read_log(spark, log_folder)
+    if secret is not None:
+        log = verify(log, secret)
+    pointer = snapshot_pointer(spark, snapshots_folder) if snapshots_folder else None
+    events = views.typed(log)
+    if pointer is None:
+        return views.domain_views(events)
+    records = spark.read.schema("record string, kind string").parquet(f"{snapshots_folder}/{pointer['snapshotFile']}")
+    return views.rebuild(records, events.where(F.col("seq") > pointer["walSeq"]))

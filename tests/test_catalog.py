@@ -1,9 +1,12 @@
 """Search, scalars, views and pipeline on small fixtures."""
 
+import json
+import random
+
 from pyspark.sql import functions as F
 
 from skeinlake.functions import scalars as S
-from skeinlake.operators import pipeline, search, views
+from skeinlake.operators import commands, extraction, pipeline, search, views
 from skeinlake.operators.search import SearchRequest
 
 
@@ -151,3 +154,97 @@ def test_scan_and_ingest(spark):
     incoming = spark.createDataFrame([("e1", "x", 1), ("e2", "x", 2), ("e3", "y", 3), ("e4", None, 4)], "entry string, sha256 string, rank int")
     got = {r["entry"]: (r["imported"], r["original"]) for r in pipeline.exact_dedup(incoming, spark.createDataFrame([("y", "M")], "sha256 string, mediaId string")).collect()}
     assert got == {"e1": (True, None), "e2": (False, "e1"), "e3": (False, "M")}
+
+
+def test_scan_keeps_fingerprints_and_marks_missing(spark):
+    listing = spark.createDataFrame([("a", 1, 1.5, "h1"), ("b", 2, 2.0, "h2"), ("n", 3, 3.9, "h3")], "path string, size bigint, mtimeMs double, head string")
+    known = spark.createDataFrame(
+        [("a", "ea", 1, 1.5, "old", "missing"), ("b", "eb", 2, 9.0, "old", "active"), ("g", "eg", 1, 1.0, "old", "active"), ("h", "eh", 1, 1.0, "old", "missing")],
+        "path string, sourceEntryId string, size bigint, mtimeMs double, fingerprint string, state string",
+    )
+    got = {r["path"]: (r["type"][13:], r["fingerprint"], r["ingest"], r["state"]) for r in commands.scan_events(listing, known, "s", 7.0).collect()}
+    assert got == {"a": ("UPSERTED", "old", False, "active"), "b": ("UPSERTED", "2:2:h2", True, "active"), "n": ("UPSERTED", "3:3:h3", True, "active"), "g": ("MARKED_MISSING", None, False, "missing")}
+    first = commands.scan_events(listing, known, "s", 7.0).where("path = 'n'").head()["sourceEntryId"]
+    assert first == commands.scan_events(listing, known, "s", 8.0).where("path = 'n'").head()["sourceEntryId"] and first.startswith("se_")
+
+
+def test_near_events_respect_the_state(spark):
+    columns = NEAR + ", imported boolean, quarantined boolean, linked boolean"
+    a, b = ("ea", "A", "1:a", "abcdef0000000000", "active", 1), ("eb", "B", "1:b", "abcdef0000000001", "active", 2)
+
+    def events(flags_a, flags_b):
+        rows = spark.createDataFrame([a + flags_a, b + flags_b], columns)
+        return {r["sourceEntryId"]: (r["type"], r["mediaId"], r["reason"]) for r in commands.near_events(rows).collect()}
+
+    plain, link = (True, False, False), ("DUPLICATE_LINK_CREATED", "A", "perceptual-hamming<=4:1")
+    assert events(plain, plain)["eb"] == link
+    assert events((True, True, False), plain) == {}  # one is in review: neither is decided
+    assert set(events(plain, (True, False, True))) == {"ea"}  # the other has its strong link
+    assert events((False, False, False), plain) == {}
+
+
+def test_search_response_and_codes(spark):
+    view = spark.createDataFrame([(f"m{i}", float(i), i != 2) for i in range(5)], "mediaId string, takenAt double, present boolean").withColumn("kind", F.lit("photo")).cache()
+    got = search.respond(view, SearchRequest(kind="photo", limit=3))
+    assert [r["mediaId"] for r in got["media"]] == ["m0", "m1"] and got["total"] == 5 and got["nextCursor"] == "m2"  # a full page, one id of which has no row
+    rest = search.respond(view, SearchRequest(kind="photo", limit=3, cursor=got["nextCursor"]))
+    assert [r["mediaId"] for r in rest["media"]] == ["m3", "m4"] and rest["nextCursor"] is None and rest["filters"]["kind"] == "photo"
+    assert search.respond(view, SearchRequest(kind="photo", limit=3, offset=0))["nextCursor"] is None
+    codes = {
+        "invalid_sort": dict(sort="x"), "invalid_kind_filter": dict(kind="audio"), "invalid_mime_type_filter": dict(mime_type=" "), "invalid_source_id_filter": dict(source_id=""),
+        "invalid_duplicate_level_filter": dict(duplicate_level="near"), "invalid_camera_model_filter": dict(camera_model=" "), "invalid_taken_day_filter": dict(taken_day="2024-1-1"),
+        "invalid_gps_tile_filter": dict(gps_tile=""), "invalid_sha256_prefix_filter": dict(sha256_prefix="a"), "search_filter_required": {}, "invalid_cursor": dict(kind="photo", cursor=" "),
+        "invalid_pagination_params": dict(kind="photo", cursor="a", offset=0),
+    }
+    for code, request in codes.items():
+        assert SearchRequest(**request).errors()[0] == code
+    assert SearchRequest(kind="photo", sha256_prefix=" AB ").filters()["sha256Prefix"] == "ab" and not SearchRequest(kind="video").errors()
+
+
+def test_extraction(spark):
+    photo = '[{"ImageWidth":"640","ImageHeight":480,"Model":" X ","DateTimeOriginal":null,"CreateDate":"2024:01:02 03:04:05","Tags":{"a":1}}]'
+    video = '{"streams":[{"codec_type":"audio"},{"codec_type":"video","width":10,"height":20,"codec_name":"h264"}],"format":{"duration":"1.2345","format_name":"matroska,webm","tags":{"creation_time":"2024-01-02T03:04:05Z"}}}'
+    rows = [("a.JPG", 9.0, photo, [1] * 72), ("b.mkv", 9.0, video, None), ("c.jpg", 9.0, "{cut", None), ("d.mov", 9.0, None, [9 - i % 9 for i in range(72)]), ("e.txt", 9.0, photo, [1] * 72), ("f.png", None, "[]", None), (None, 1.0, None, None)]
+    got = {r["path"]: r["metadata"] for r in extraction.extract(spark.createDataFrame(rows, "path string, mtimeMs double, toolOutput string, pixels array<int>")).collect()}
+    taken = 1704164645000.0
+    assert tuple(got["a.JPG"])[:7] == ("photo", taken, 640, 480, None, "X", "image/jpeg")
+    raw = json.loads(got["a.JPG"]["raw"])
+    assert raw == {"extractor": "exiftool", "imageWidth": "640", "imageHeight": 480, "model": " X ", "dateTimeOriginal": None, "createDate": "2024:01:02 03:04:05", "ext": ".jpg", "perceptualHash": "0" * 16}
+    assert tuple(got["b.mkv"])[:7] == ("video", taken, 10, 20, 1235, None, "video/webm") and json.loads(got["b.mkv"]["raw"])["codecName"] == "h264"
+    assert tuple(got["c.jpg"])[:7] == ("photo", 9.0, None, None, None, None, "image/jpeg") and json.loads(got["c.jpg"]["raw"]) == {"ext": ".jpg"}
+    assert json.loads(got["d.mov"]["raw"]) == {"ext": ".mov", "perceptualHash": "f" * 16}
+    assert tuple(got["e.txt"])[:7] == ("unknown", 9.0, None, None, None, None, None) and json.loads(got["e.txt"]["raw"]) == {"ext": ".txt"}
+    assert json.loads(got["f.png"]["raw"])["extractor"] == "exiftool" and got["f.png"]["takenAt"] is None
+
+
+def test_small_scalars(spark):
+    row = one(spark, S.valid_day(F.lit(" 2024-13-99 ")), S.valid_day(F.lit("2024-1-1")), S.derived_path(F.lit("med_1"), F.lit("thumb")), S.exif_ms(F.lit("2024:01:02 03:04:05")), S.exif_ms(F.lit("none")), S.job_colour(F.lit("running")), S.bench_line(F.lit("no line")))
+    assert list(row) == ["2024-13-99", None, "derived/me/med_1/thumb.jpg", 1704164645000, None, "yellow", None]
+    assert [S.threshold(x, 4) for x in (3.9, -1, None, float("nan"), "7", 0)] == [3, 0, 4, 4, 4, 0]
+    clamp = spark.createDataFrame([(10, 4, 20), (10, 4, 3), (0, 4, 8), (8, 4, 8)], "total bigint, l bigint, o bigint").select(search.last_page_offset(F.col("total"), F.col("l"), F.col("o")))
+    assert [r[0] for r in clamp.collect()] == [8, 3, 0, 4]
+    steps = spark.createDataFrame([(3, 3, True), (1, 3, True), (1, 3, False)], "a int, m int, h boolean").select(pipeline.next_step(F.col("a"), F.col("m"), F.col("h")))
+    assert [r[0] for r in steps.collect()] == ["failed", "retry", "failed"]
+    media = spark.createDataFrame([("A", "ea"), ("B", "eb")], "mediaId string, sourceEntryId string")
+    served = pipeline.served_types(media, spark.createDataFrame([("A", "x/y")], "mediaId string, mimeType string"), spark.createDataFrame([("ea", "a.jpg"), ("eb", "b.svg")], "sourceEntryId string, path string"))
+    assert {tuple(r) for r in served.collect()} == {("A", "x/y"), ("B", "image/svg+xml")}
+    globs = spark.createDataFrame([("a/b",), ("axb",)], "p string").select(S.excluded("p", ["a?b"]))
+    assert [r[0] for r in globs.collect()] == [True, True]
+
+
+def test_running_totals_over_ranges(spark):
+    r = random.Random(3)
+    trace = [("hot" if i % 3 else f"k{i % 7}", i, r.choice([1, -1])) for i in range(400)]
+    want, now = {}, {}
+    for kind, _, change in trace:
+        now[kind] = now.get(kind, 0) + change
+        want[kind] = max(want.get(kind, -999), now[kind])
+    got = pipeline.running_at_once(spark.createDataFrame(trace, "kind string, at bigint, change int").repartition(6))
+    assert {tuple(x) for x in got.collect()} == set(want.items())
+    samples = [("g", float(r.randrange(50))) for _ in range(500)] + [("one", 5.0), (None, 1.0), ("none", None)]
+    stats = {x["grp"]: tuple(x)[1:] for x in pipeline.latency_stats(spark.createDataFrame(samples, "grp string, v double"), "grp", "v").collect()}
+    ordered = sorted(v for g, v in samples if g == "g")
+    assert stats["g"][:4] == (ordered[0], ordered[250], ordered[475], ordered[-1]) and abs(stats["g"][4] - sum(ordered) / 500) < 1e-9
+    assert stats["one"] == (5.0,) * 5 and set(stats) == {"g", "one", None}
+    reset = views.reset_running(spark.createDataFrame([("running",), ("failed",)], "status string"))
+    assert [x[0] for x in reset.collect()] == ["queued", "failed"]
