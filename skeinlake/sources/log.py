@@ -152,10 +152,15 @@ def checks(log: DataFrame, secret: bytes | None = None) -> DataFrame:
     )
 
 
+def failures(log: DataFrame, secret: bytes | None = None) -> DataFrame:
+    """seq and reason of the records that fail: schema_version, seq, prev_hash or hash."""
+    reason = F.when(~F.col("version_ok"), "schema_version").when(~F.coalesce("seq_ok", F.lit(False)), "seq").when(~F.col("prev_ok"), "prev_hash").when(~F.col("hash_ok"), "hash")
+    return checks(log, secret).select("seq", reason.alias("reason")).where("reason is not null")
+
+
 def first_failure(log: DataFrame, secret: bytes | None = None) -> DataFrame:
-    """seq and reason of the first record that fails: schema_version, seq, prev_hash or hash; empty if none does."""
-    rows = checks(log, secret).withColumn("reason", F.when(~F.col("version_ok"), "schema_version").when(~F.coalesce("seq_ok", F.lit(False)), "seq").when(~F.col("prev_ok"), "prev_hash").when(~F.col("hash_ok"), "hash"))
-    return rows.where("reason is not null").orderBy(F.col("seq").asc_nulls_last()).limit(1).select("seq", "reason")
+    """seq and reason of the first record that fails; empty if none does."""
+    return failures(log, secret).orderBy(F.col("seq").asc_nulls_last()).limit(1)
 
 
 def verify(log: DataFrame, secret: bytes) -> DataFrame:
