@@ -4,7 +4,8 @@ In every round each component selects its smallest outgoing edge and hooks onto
 the other end. Edges are ordered by (smaller label, greater label), so the selected edges form
 trees apart from pairs that selected the same edge, of which the smaller becomes the root. Trees
 collapse by pointer doubling, edges are relabelled and deduplicated, and rounds end when none is
-left. At least half of the components that have edges vanish in each round.
+left. At least half of the components that have edges vanish in each round, and a round touches
+only those.
 
 Labels are 64-bit hashes of the members; they are checked to be free of collisions before use.
 Every intermediate result is a table in the shared folder.
@@ -20,25 +21,29 @@ from skeinlake.plans.staging import Workspace
 
 
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
-    """node, root for the nodes of ``edges`` (columns u, v of bigint); self-loops may occur."""
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    labels = work.save(nodes.select("node", F.col("node").alias("root")), "labels0")
+    """node, root for the nodes of ``edges`` (columns u, v of bigint) that are linked with another; self-loops may occur.
+
+    Each round handles only what still has edges. Where its components go is stored once, and the
+    rounds' maps, each at most half of the one before, are put together at the end.
+    """
     current = work.save(_ordered(edges), "edges0")
-    turn = 0
+    maps: list[DataFrame] = []
     while not current.isEmpty():
+        turn = len(maps)
         parents = _collapse(_hook(current), work, turn)
-        labels = work.save(
-            labels.join(parents.withColumnRenamed("c", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root")),
-            f"labels{turn + 1}",
-        )
         ends = current.join(parents.select(F.col("c").alias("u"), F.col("p").alias("pu")), "u").join(
             parents.select(F.col("c").alias("v"), F.col("p").alias("pv")), "v"
         )
         current = work.save(_ordered(ends.select(F.col("pu").alias("u"), F.col("pv").alias("v"))), f"edges{turn + 1}")
-        for old in (f"labels{turn}", f"edges{turn}"):
-            work.drop(old)
-        turn += 1
-    return labels
+        work.drop(f"edges{turn}")
+        maps.append(parents)
+    if not maps:
+        return edges.sparkSession.createDataFrame([], "node bigint, root bigint")
+    whole = maps[-1]
+    for parents in reversed(maps[:-1]):
+        later = whole.select(F.col("c").alias("p"), F.col("p").alias("root"))
+        whole = parents.join(later, "p", "left").select("c", F.coalesce("root", "p").alias("p"))
+    return whole.select(F.col("c").alias("node"), F.col("p").alias("root"))
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -62,17 +67,23 @@ def _hook(edges: DataFrame) -> DataFrame:
 
 
 def _collapse(parents: DataFrame, work: Workspace, turn: int) -> DataFrame:
-    """Parents after pointer doubling: every component points at the root of its tree."""
-    step = 0
-    now = work.save(parents, f"parents{turn}_{step}")
+    """Parents after pointer doubling: every component points at the root of its tree.
+
+    Components that reached their root stay where they were stored; only the others go on.
+    """
+    step = work.save(parents.withColumn("moved", F.lit(True)), f"parents{turn}_0")
+    settled: DataFrame | None = None
+    count = 0
     while True:
-        up = now.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        after = work.save(now.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), f"parents{turn}_{step + 1}")
-        work.drop(f"parents{turn}_{step}")
-        step += 1
-        now = after.drop("moved")
-        if after.where("moved").isEmpty():
-            return now
+        live = step.where("moved").select("c", "p")
+        every = live if settled is None else live.unionByName(settled)
+        up = every.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+        count += 1
+        step = work.save(live.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), f"parents{turn}_{count}")
+        done = step.where("not moved").select("c", "p")
+        settled = done if settled is None else settled.unionByName(done)
+        if step.where("moved").isEmpty():
+            return settled
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -93,7 +104,8 @@ def groups(pairs: DataFrame) -> DataFrame:
         seed += 1
     edges = named.select(F.xxhash64(F.lit(seed), "scope", "a").alias("u"), F.xxhash64(F.lit(seed), "scope", "b").alias("v"))
     found = components(edges, work)
-    labelled = work.save(hashed.join(found, "node").select("scope", "memberId", "root"), "labelled")
+    labelled = hashed.join(found, "node", "left").select("scope", "memberId", F.coalesce("root", "node").alias("root"))
+    labelled = work.save(labelled, "labelled")
     least = labelled.groupBy("root").agg(F.min("memberId").alias("groupId"))
     return labelled.join(least, "root").select("scope", "memberId", "groupId")
 
