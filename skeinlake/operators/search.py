@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlake.functions import scalars as S
+from skeinlake.plans.staging import Workspace
 
 #: Kinds of media, and sort orders.
 KINDS = ("photo", "video", "unknown")
@@ -105,6 +106,17 @@ def catalog_view(media: DataFrame, metadata: DataFrame, entries: DataFrame, link
     return view.withColumn("present", F.coalesce("present", F.lit(False)))
 
 
+#: Rows of a search view per file and task.
+ROWS_PER_PART = 1_000_000
+
+
+def stored(view: DataFrame, work: Workspace, name: str = "view") -> DataFrame:
+    """The view written in ranges of mediaId of about ``ROWS_PER_PART`` rows, so that a page reads few, sorted files."""
+    parts = max(1, -(-view.count() // ROWS_PER_PART))
+    ranges = view.coalesce(1) if parts == 1 else view.repartitionByRange(parts, "mediaId")
+    return work.save(ranges.sortWithinPartitions("mediaId"), name)
+
+
 def predicate(request: SearchRequest) -> Column:
     """All filters of a request; blank filters are ignored, malformed days and prefixes match nothing."""
     test = F.lit(True)
