@@ -4,7 +4,8 @@
 non-breaking spaces to a space, Cyrillic and Greek letters to the Latin letters they look like,
 invisible characters to nothing. The mapped values are grouped under the accent- and
 case-sensitive Unicode collation, under which a letter with a combining mark equals the composed
-letter; the smallest id of each class is its canonical member and is joined back.
+letter; the smallest id of each class is its canonical member and is joined back. Grouping and
+joining go by hashes of texts and forms; the texts themselves are compared only inside classes.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ LATIN_LOOKALIKES = {
     # Cyrillic small letters
     "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p",
     "с": "c", "у": "y", "х": "x", "һ": "h", "ӏ": "l", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "ү": "y", "ѵ": "v",
     # Greek capitals
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K",
     "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "Ϲ": "C", "Ϳ": "J",
     # Greek small letters
-    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
+    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "α": "a", "ι": "i", "ρ": "p",
 }
 
 #: Full-width signs outside the block that mirrors ASCII.
@@ -83,34 +85,60 @@ def unified_character(c: str) -> str:
     return c.translate(_PYTHON)
 
 
+def _composable() -> str:
+    """A pattern that finds whatever composing letters could change: marks, parts of Hangul syllables and characters with another standard form."""
+    single, ranges = [c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFC", chr(c)) != chr(c)], []
+    for c in single:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[\\p{M}\u1161-\u1175\u11a8-\u11c2" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "\\x{2f800}-\\x{2fa1d}\\x{1d15e}-\\x{1d1c0}\\x{11000}-\\x{11fff}]"
+
+
 @F.pandas_udf(T.StringType())
 def _composed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t))
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
 def _texts(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
 
 
-def _spellings(documents: DataFrame, key: str, text: str, work: Workspace) -> DataFrame:
-    """text, variant, canonical of the texts whose class has several spellings.
+def _keys(documents: DataFrame, key: str, text: str, work: Workspace) -> DataFrame:
+    """id, own, looks of each row: a 128-bit key of its text and a hash of its composed form.
+
+    Texts are read once here and, for the few classes with several spellings, once again; what
+    is shuffled are keys. Only forms that composing can change are sent to Python.
+    """
+    own = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("own"), F.col("text")).alias("b"))
+    formed = _texts(documents, key, text).select("id", own.alias("own"), unify(F.col("text")).alias("form"))
+    changes = F.col("form").rlike(_composable())
+    split = formed.select("id", "own", F.when(changes, F.col("form")).alias("form"), F.when(~changes, F.xxhash64("form")).alias("plain"))
+    looks = F.coalesce("plain", F.xxhash64(_composed("form")))
+    return work.save(split.select("id", "own", looks.alias("looks")), "keys")
+
+
+def _spellings(documents: DataFrame, key: str, text: str, keys: DataFrame, work: Workspace) -> DataFrame:
+    """own, variant, canonical of the texts whose class has several spellings.
 
-    ``variant`` is the smallest id that has the text, ``canonical`` the smallest of the class. Each
-    different text is mapped once. The collation also equates a few characters that are drawn
-    differently, such as digits of other scripts; comparing the composed forms inside a class
-    parts them.
+    ``variant`` is the smallest id that has the text, ``canonical`` the smallest of the class.
+    Forms with the same hash are candidates; these are grouped under the collation. The collation
+    also equates a few characters that are drawn differently, such as digits of other scripts;
+    comparing the composed forms inside a class parts them.
     """
-    variants = _texts(documents, key, text).groupBy("text").agg(F.min("id").alias("variant"))
-    variants = work.save(variants.withColumn("form", unify(F.col("text"))), "variants")
-    collated = variants.withColumn("looks", F.collate("form", "UNICODE"))
-    classes = collated.groupBy("looks").agg(F.min("variant").alias("class"), F.count("*").alias("spellings"))
-    classes = work.save(classes.where("spellings > 1").select(F.collate("looks", "UTF8_BINARY").alias("looks"), "class"), "classes")
-    inside = collated.join(classes.withColumn("looks", F.collate("looks", "UNICODE")), "looks").select("text", "variant", "form", "class")
-    inside = work.save(inside, "inside")
-    inside = inside.withColumn("composed", _composed("form"))
+    variants = work.save(keys.groupBy("looks", "own").agg(F.min("id").alias("variant")), "variants")
+    several = variants.groupBy("looks").count().where("count > 1").select("looks")
+    candidates = work.save(variants.join(several, "looks").select("own", "variant"), "candidates")
+    # The text of one row of each spelling; an id with several texts has them all.
+    texts = _texts(documents, key, text).join(candidates.select(F.col("variant").alias("id")).distinct(), "id", "left_semi")
+    whole = texts.select(F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("own"), F.col("text")).alias("b")).alias("own"), unify(F.col("text")).alias("form")).distinct()
+    inside = work.save(candidates.join(whole, "own"), "inside").withColumn("looks", F.collate("form", "UNICODE"))
+    classes = inside.groupBy("looks").agg(F.min("variant").alias("class"))
+    inside = inside.join(classes, "looks").select("own", "variant", "class", _composed("form").alias("composed"))
     parts = inside.groupBy("class", "composed").agg(F.min("variant").alias("canonical"), F.count("*").alias("spellings"))
     split = inside.join(parts.where("spellings > 1"), ["class", "composed"])
-    return work.save(split.select("text", "variant", "canonical"), "spellings")
+    return work.save(split.select("own", "variant", "canonical"), "spellings")
 
 
 def canonical_members(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,10 +147,12 @@ def canonical_members(documents: DataFrame, key: str = "doc_id", text: str = "te
     Rows without id or text are left out; empty texts look the same; rows with one id count for
     each of their texts.
     """
-    spellings = _spellings(documents, key, text, Workspace(documents.sparkSession, "lookalikes"))
-    rows = _texts(documents, key, text).distinct()
-    own = rows.groupBy("text").agg(F.min("id").alias("first"))
-    same = rows.join(own, "text").join(spellings.select("text", "canonical"), "text", "left")
+    work = Workspace(documents.sparkSession, "lookalikes")
+    keys = _keys(documents, key, text, work)
+    spellings = _spellings(documents, key, text, keys, work)
+    rows = keys.select("id", "own").distinct()
+    first = rows.groupBy("own").agg(F.min("id").alias("first"))
+    same = rows.join(first, "own").join(spellings.select("own", "canonical"), "own", "left")
     return same.select(F.col("id").alias(key), F.coalesce("canonical", "first").alias("canonical_id"))
 
 
@@ -131,8 +161,9 @@ def lookalike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     Rows with one spelling are never paired with each other; rows without id or text are left out.
     """
-    spellings = _spellings(documents, key, text, Workspace(documents.sparkSession, "lookalikes"))
-    held = _texts(documents, key, text).join(spellings, "text").select("id", "variant", "canonical").distinct()
+    work = Workspace(documents.sparkSession, "lookalikes")
+    keys = _keys(documents, key, text, work)
+    held = keys.select("id", "own").join(_spellings(documents, key, text, keys, work), "own").select("id", "variant", "canonical").distinct()
     left = held.select("canonical", F.col("id").alias("x"), F.col("variant").alias("xv"))
     right = held.select("canonical", F.col("id").alias("y"), F.col("variant").alias("yv"))
     pairs = left.join(right, "canonical").where((F.col("xv") < F.col("yv")) & (F.col("x") != F.col("y")))
