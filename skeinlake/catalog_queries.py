@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skeinlake.functions import scalars as S
 from skeinlake.operators import commands, extraction, pipeline, search, views
 from skeinlake.operators.search import SearchRequest
+from skeinlake.plans.api import Catalog
 from skeinlake.plans.staging import Workspace
 from skeinlake.sources import log
 from skeinlake.sources.tables import table
@@ -1003,3 +1004,93 @@ def source_commands(spark, folder):
     back = asked.where("command = 'create'").select(S.minted("src", F.col("at")).alias("sourceId"), F.col("at").alias("made"))
     shown = made.join(back, "sourceId", "left")
     return shown.select(F.coalesce("made", F.regexp_replace("sourceId", "-unknown$", "")).alias("id"), "type", "recursive", "error")
+
+
+# Signatures, filters
+
+
+_KEY = b"test-secret".ljust(64, b"\0")
+_PADS = ["".join(f"\\x{b ^ pad:02x}" for b in _KEY) for pad in (0x36, 0x5C)]
+
+
+@query(f"""
+    WITH m AS (SELECT DISTINCT seq, '{{"event":{{"eventId":"' || event.eventId || '","type":"' || event.type || '"}},"seq":' || CAST(seq AS VARCHAR) || '}}' AS t FROM wal_record)
+    SELECT seq, sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(t)))) AS mac FROM m
+""")
+def log_macs(spark, folder):
+    """HMACs of records of position, id and type, put into canonical form from another order of keys and with their hash."""
+    rows = table(spark, folder, "wal_record").select("seq", "event.eventId", "event.type").distinct()
+    line = F.to_json(F.struct(F.col("seq"), F.struct("type", "eventId").alias("event"), F.lit("left out").alias("hash")))
+    return rows.select("seq", log.hmac_sha256(log._unsigned(line), b"test-secret").alias("mac"))
+
+
+def _filters_sql() -> str:
+    e, q, j, s, li = (f"({ORACLES[n]})" for n in ("view_entries", "view_quarantine", "view_jobs", "view_sources", "view_links"))
+    return f"""
+        SELECT 'entries by source' AS filter, "sourceEntryId" AS id FROM {e} WHERE "sourceId" = (SELECT min("sourceId") FROM {e})
+        UNION ALL SELECT 'pending', "quarantineId" FROM {q} WHERE status = 'pending'
+        UNION ALL SELECT 'runnable', "jobId" FROM {j} WHERE status IN ('queued', 'running')
+        UNION ALL SELECT 'allowed', "sourceId" FROM {s} WHERE path = (SELECT min(path) FROM {s}) OR starts_with(path, (SELECT min(path) FROM {s}) || '/')
+        UNION ALL SELECT 'strong links', "mediaId" || '>' || "sourceEntryId" FROM {li} WHERE level = 'strong' AND "mediaId" IS NOT NULL AND "sourceEntryId" IS NOT NULL
+        UNION ALL SELECT 'links of one media', coalesce("sourceEntryId", '') || '>' || coalesce(level, '') FROM {li} WHERE "mediaId" = (SELECT min("mediaId") FROM {li})
+        UNION ALL SELECT 'not active', "jobId" FROM {j} j WHERE NOT EXISTS (SELECT 1 FROM {j} a WHERE a.kind = j.kind AND a.status IN ('queued', 'running'))
+    """
+
+
+@query(_filters_sql())
+def catalog_filters(spark, folder):
+    """The catalog's filters by source, status, root, level, media and active job, over the views of all events."""
+    work = Workspace(spark, "filters")
+    everything = work.save(all_events(spark, folder), "events")
+    c = Catalog(views.domain_views(everything), views.jobs(everything))
+    source = c.tables["sourceEntry"].agg(F.min("sourceId")).head()[0]
+    root = c.tables["source"].agg(F.min("path")).head()[0]
+    media = c.tables["duplicateLink"].agg(F.min("mediaId")).head()[0]
+    pair = F.concat_ws(">", F.coalesce("sourceEntryId", F.lit("")), F.coalesce("level", F.lit("")))
+    strong = c.duplicate_links("strong").where("mediaId is not null and sourceEntryId is not null")
+    requests = c.jobs.select("jobId", "kind", F.lit(None).cast("string").alias("payload"))
+    rows = {
+        "entries by source": c.entries(source).select(F.col("sourceEntryId").alias("id")), "pending": c.quarantine("pending").select(F.col("quarantineId").alias("id")),
+        "runnable": c.runnable_jobs().select(F.col("jobId").alias("id")), "allowed": c.sources([root] if root else []).select(F.col("sourceId").alias("id")),
+        "strong links": strong.select(F.concat_ws(">", "mediaId", "sourceEntryId").alias("id")), "links of one media": c.duplicate_links(media_id=media).select(pair.alias("id")),
+        "not active": pipeline.without_active(requests, c.jobs.withColumn("payload", F.lit(None).cast("string"))).select(F.col("jobId").alias("id")),
+    }
+    out = None
+    for name, found in rows.items():
+        one = found.select(F.lit(name).alias("filter"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_HEAD_SQL = "CASE WHEN len(string_split(fp, ':')) = 3 AND try_cast(split_part(fp, ':', 1) AS BIGINT) IS NOT NULL AND split_part(fp, ':', 3) <> '' THEN split_part(fp, ':', 1) || ':' || split_part(fp, ':', 3) END"
+
+
+@query(f"""
+    WITH {_entries_sql('e')}, k AS (SELECT sourceEntryId AS id, sourceId || ':file:' || coalesce(path, '') AS key, {_HEAD_SQL.replace('fp', 'fingerprint')} AS head FROM e WHERE path IS NOT NULL)
+    SELECT 'key' AS filter, id FROM k WHERE key = (SELECT min(key) FROM k) UNION ALL SELECT 'head', id FROM k WHERE head = (SELECT min(head) FROM k)
+    UNION ALL SELECT 'hash prefix', mediaId FROM (SELECT mediaId, lower(trim(try_cast(raw AS JSON)->>'$.perceptualHash')) AS h FROM (SELECT mediaId, arg_max(raw, extractedAt) AS raw FROM media_metadata GROUP BY 1))
+              WHERE regexp_full_match(h, '[0-9a-f]{{16}}') AND left(h, 4) = (SELECT left(min(h), 4) FROM (SELECT lower(trim(try_cast(raw AS JSON)->>'$.perceptualHash')) AS h FROM (SELECT arg_max(struct_pack(raw := raw), extractedAt).raw AS raw FROM media_metadata GROUP BY mediaId)) WHERE regexp_full_match(h, '[0-9a-f]{{16}}'))
+""")
+def catalog_lookups(spark, folder):
+    """Entries by natural key and by head, media by hash prefix, for the least of each."""
+    entries = latest_entries(spark, folder, "archivePath", "innerPath").where("path is not null")
+    meta = current(spark, folder).select("mediaId", F.try_parse_json("raw").alias("raw"))
+    c = Catalog({"sourceEntry": entries, "metadata": meta})
+    key = entries.agg(F.min(S.natural_key(*(F.col(x) for x in ("sourceId", "path", "archivePath", "innerPath"))))).head()[0]
+    head = entries.agg(F.min(S.head_key("fingerprint"))).head()[0]
+    phash = meta.agg(F.min(S.perceptual_hash(F.try_variant_get("raw", "$.perceptualHash", "string")))).head()[0]
+    found = c.entry_by_key(key).select(F.lit("key").alias("filter"), F.col("sourceEntryId").alias("id"))
+    found = found.unionByName(c.entries_by_head(head).select(F.lit("head").alias("filter"), F.col("sourceEntryId").alias("id")))
+    return found.unionByName(c.media_by_hash_prefix(phash).select(F.lit("hash prefix").alias("filter"), F.col("mediaId").alias("id")))
+
+
+@query("SELECT key, CASE WHEN raw = 'whole' THEN printf('%.1f', floor(lat * 10) / 10) || ':' || printf('%.1f', floor(lon * 10) / 10) WHEN raw = 'own' THEN 'tile ' || CAST(key AS VARCHAR) END AS tile, CASE WHEN raw <> 'cut' THEN '{\"a\":' || CAST(key AS VARCHAR) || ',\"b\":[1,\"x\"]}' END AS canonical FROM (SELECT c_custkey AS key, c_acctbal / 100 AS lat, c_acctbal / 77 AS lon, CASE c_custkey % 3 WHEN 0 THEN 'whole' WHEN 1 THEN 'own' ELSE 'cut' END AS raw FROM customer)")
+def raw_tiles(spark, folder):
+    """Tiles from raw metadata by coordinates, as numbers and texts, or by a tile of its own, and canonical JSON; a third is cut off."""
+    rows = table(spark, folder, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_acctbal") / 100).alias("lat"), (F.col("c_acctbal") / 77).alias("lon"))
+    kind = F.col("key") % 3
+    whole = F.to_json(F.struct(F.col("lat").alias("GPSLatitude"), F.col("lon").cast("string").alias("lon")))
+    own = F.to_json(F.struct(F.lit(1).alias("lat"), F.lit(1).alias("lon"), F.concat(F.lit(" Tile "), F.col("key").cast("string")).alias("gpsTile")))
+    text = F.when(kind == 0, whole).when(kind == 1, own).otherwise("{cut")
+    mixed = F.when(kind < 2, F.concat(F.lit('{ "b" : [1, "x"], "a":'), F.col("key").cast("string"), F.lit(".0}"))).otherwise("{cut")
+    return rows.select("key", S.gps_tile_of_raw(F.try_parse_json(text)).alias("tile"), S.canonical_json(mixed).alias("canonical"))

@@ -36,5 +36,9 @@ def test_endpoints(spark):
     assert [r["mediaId"] for r in c.search(view, SearchRequest(duplicate_level="probable", taken_day="1970-01-01", source_id="s")).collect()] == ["A"]
     with pytest.raises(ValueError, match="search_filter_required"):
         c.search(view, SearchRequest())
+    answer = c.search_response(view, SearchRequest(duplicate_level="probable"))
+    assert [r["mediaId"] for r in answer["media"]] == ["A"] and answer["total"] == 1 and answer["nextCursor"] is None
+    assert c.one("media", sha256="ab" * 32).count() == 1 and c.one("album", albumId="t").count() == 1 and c.one("job", jobId="j").count() == 1
+    assert c.one("duplicateLink", mediaId="A", sourceEntryId="eb", level="exact").count() == 0
     c.register(spark)
     assert spark.sql("select count(*) from media").head()[0] == 1
