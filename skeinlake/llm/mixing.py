@@ -24,20 +24,28 @@ from pyspark.sql import functions as F
 from skeinlake.functions.text import strip
 from skeinlake.plans.staging import Workspace
 
-#: Where the vocabulary files lie on every executor, and the one that is counted with.
+#: Where the vocabulary files lie on the driver, the one that is counted with, and the most bytes that are sent to the executors.
 TOKENIZER_FOLDER, TOKENIZER = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
+MOST_VOCABULARY = 64 << 20
 #: Fixed value: the pre-tokenisation pattern that the vocabulary was made with.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def token_counts(documents: DataFrame, key: str, text: str, source: str, folder: str = TOKENIZER_FOLDER, name: str = TOKENIZER) -> DataFrame:
-    """id, source (trimmed, lower case), tokens of each row with id, text and source."""
+    """id, source (trimmed, lower case), tokens of each row with id, text and source.
+
+    The driver reads the vocabulary, of at most ``MOST_VOCABULARY`` bytes, and sends it to the executors.
+    """
+    with open(f"{folder}/{name}", "rb") as file:
+        vocabulary = file.read(MOST_VOCABULARY + 1)
+    if len(vocabulary) > MOST_VOCABULARY:
+        raise ValueError(f"{name} is larger than a vocabulary may be")
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(f"{folder}/{name}", "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "source": batch["source"], "tokens": [len(encoding.encode_ordinary(t)) for t in batch["text"]]})
