@@ -1094,3 +1094,90 @@ def raw_tiles(spark, folder):
     text = F.when(kind == 0, whole).when(kind == 1, own).otherwise("{cut")
     mixed = F.when(kind < 2, F.concat(F.lit('{ "b" : [1, "x"], "a":'), F.col("key").cast("string"), F.lit(".0}"))).otherwise("{cut")
     return rows.select("key", S.gps_tile_of_raw(F.try_parse_json(text)).alias("tile"), S.canonical_json(mixed).alias("canonical"))
+
+
+# Log and snapshot round trips, jobs and pages
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) AS seq, 'nation ' || n_name AS \"eventId\", true AS version_ok, true AS seq_ok, true AS prev_ok, true AS hash_ok FROM nation")
+def log_round_trip(spark, folder):
+    """The nations appended to a log in segments of a few records, read back and checked with their hashes."""
+    work = Workspace(spark, "log")
+    rows = table(spark, folder, "nation").orderBy("n_nationkey").collect()  # a list of the world's nations
+    made = [{"eventId": f"nation {r['n_name']}", "type": "NATION_SEEN", "createdAt": 1.5, "payload": {"key": r["n_nationkey"], "region": r["n_regionkey"]}} for r in rows]
+    log.append(spark, work.path("wal"), made[:10], b"test-secret", 10.0, max_bytes=600)
+    log.append(spark, work.path("wal"), made[10:], b"test-secret", 11.0, max_bytes=600)
+    held = log.verify(log.read_log(spark, work.path("wal")), b"test-secret")
+    return held.select("seq", "event.eventId").join(log.checks(held, b"test-secret"), "seq")
+
+
+@query(ORACLES["view_entries"])
+def snapshot_round_trip(spark, folder):
+    """Entries written in a snapshot beside an older one, found by the pointer and read back; older ones are pruned."""
+    root = Workspace(spark, "snapshots").path("all")
+    tables = views.domain_views(events(spark, folder))
+    log.write_snapshot(spark, root, {"source": tables["source"]}, 1, 1000, "a")
+    log.write_snapshot(spark, root, {"source": tables["source"], "sourceEntry": tables["sourceEntry"]}, 2, 2000, "b")
+    log.prune_snapshots(spark, root, 1)
+    return log.read_snapshot(spark, root, "sourceEntry", "sourceEntryId string, sourceId string, path string, state string, pos bigint")
+
+
+@query(f"""
+    WITH {EVENTS_SQL}, j AS (SELECT p->>'$.jobId' AS id, seq, type, made, p FROM ev WHERE type LIKE 'JOB_%'),
+    r AS (SELECT id, arg_min(made, seq) FILTER (type = 'JOB_ENQUEUED') AS created, arg_max(made, seq) FILTER (type <> 'JOB_ENQUEUED') AS later,
+                 arg_max(struct_pack(e := CASE WHEN type <> 'JOB_STARTED' THEN p->>'$.error' END), seq) FILTER (type IN ('JOB_STARTED', 'JOB_FAILED', 'JOB_RETRY_SCHEDULED')) AS err, bool_or(type = 'JOB_ENQUEUED') AS known FROM j GROUP BY 1)
+    SELECT id AS "jobId", created AS "createdAt", coalesce(later, created) AS "updatedAt", err.e AS "lastError" FROM r WHERE known
+""")
+def view_jobs_times(spark, folder):
+    return views.jobs(events(spark, folder)).select("jobId", "createdAt", "updatedAt", "lastError")
+
+
+@query(f"SELECT CASE status WHEN 'running' THEN 'queued' ELSE status END AS status, count(*) AS n, count(*) FILTER (status = 'running') AS resumed FROM ({ORACLES['view_jobs']}) GROUP BY 1")
+def jobs_resumed(spark, folder):
+    """Jobs by status after a restart queues running ones again, and how many those are."""
+    jobs = views.jobs(events(spark, folder))
+    reset = views.reset_running(jobs.withColumn("was", F.col("status")))
+    return reset.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("was") == "running").alias("resumed"))
+
+
+@query("""
+    WITH s AS (SELECT event_type AS kind, epoch_us(ts) AS t, CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END AS change FROM events),
+    g AS (SELECT kind, t, change, sum(change) AS step FROM s GROUP BY 1, 2, 3),
+    w AS (SELECT kind, sum(step) OVER (PARTITION BY kind ORDER BY t, change ROWS UNBOUNDED PRECEDING) AS now FROM g)
+    SELECT kind, CAST(max(now) AS BIGINT) AS most FROM w GROUP BY 1
+""")
+def jobs_at_once(spark, folder):
+    """The most that ran at once by kind, in a trace of starts and ends."""
+    e = table(spark, folder, "events")
+    trace = e.select(F.col("event_type").alias("kind"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1).alias("change"))
+    return pipeline.running_at_once(trace)
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN t > 0 THEN CASE WHEN o >= t THEN (t - 1) // l * l ELSE o END ELSE 0 END AS "start"
+    FROM (SELECT o_orderkey, o_custkey % 50 AS t, 1 + o_orderkey % 9 AS l, o_orderkey % 60 AS o FROM orders)
+""")
+def page_clamp(spark, folder):
+    rows = table(spark, folder, "orders").selectExpr("o_orderkey", "o_custkey % 50 as t", "1 + o_orderkey % 9 as l", "o_orderkey % 60 as o")
+    return rows.select("o_orderkey", search.last_page_offset(F.col("t"), F.col("l"), F.col("o")).alias("start"))
+
+
+@query(f"""
+    WITH {CURRENT_SQL}, {MEDIA_SQL}, {_entries_sql('e')}, x AS (SELECT m.mediaId, c.mimeType AS own, e.path FROM m LEFT JOIN current c USING (mediaId) LEFT JOIN e USING (sourceEntryId))
+    SELECT mediaId AS "mediaId", coalesce(own, {_case(S.SERVED_MIME, _EXT)}, 'application/octet-stream') AS "mimeType" FROM x
+""")
+def served_types(spark, folder):
+    return pipeline.served_types(media_rows(spark, folder), current(spark, folder), latest_entries(spark, folder))
+
+
+@query("""
+    SELECT DISTINCT mediaId AS "mediaId", takenAt AS "takenAt", 'derived/' || left(mediaId, 2) || '/' || mediaId || '/' || kind || '.jpg' AS path,
+           CASE WHEN regexp_full_match(trim(left(takenAt, 10)), '\\d{4}-\\d{2}-\\d{2}') THEN trim(left(takenAt, 10)) END AS day,
+           CASE WHEN regexp_full_match(takenAt, '\\d{4}:\\d{2}:\\d{2} \\d{2}:\\d{2}:\\d{2}') THEN epoch_ms(try_strptime(takenAt, '%Y:%m:%d %H:%M:%S')) END AS ms
+    FROM media_metadata WHERE mediaId IS NOT NULL
+""")
+def media_scalars(spark, folder):
+    """Paths of derived files, days by form and camera times of all metadata rows."""
+    m = table(spark, folder, "media_metadata").where("mediaId is not null").select("mediaId", "takenAt", "kind").distinct()
+    camera = F.col("takenAt").rlike("^\\d{4}:\\d{2}:\\d{2} \\d{2}:\\d{2}:\\d{2}\\z")
+    return m.select("mediaId", "takenAt", S.derived_path(F.col("mediaId"), F.col("kind")).alias("path"), S.valid_day(F.substring("takenAt", 1, 10)).alias("day"), F.when(camera, S.exif_ms("takenAt")).alias("ms")).distinct()
