@@ -69,7 +69,12 @@ def unify(text: Column) -> Column:
     mapped = F.translate(text, "".join(order), "".join(ONE[c] for c in order))
     rare = F.create_map(*[F.lit(x) for kv in SEVERAL.items() for x in kv])
     spelled = F.array_join(F.transform(F.split(mapped, ""), lambda c: F.coalesce(F.try_element_at(rare, c), c)), "")
-    return F.when(text.rlike(_MAY_SPELL), spelled).otherwise(mapped)
+    return F.when(_ascii(text), text).when(text.rlike(_MAY_SPELL), spelled).otherwise(mapped)
+
+
+def _ascii(text: Column) -> Column:
+    """Whether a text has one byte a character; such texts are their own form."""
+    return F.octet_length(text) == F.char_length(text)
 
 
 _PYTHON = {ord(k): v for k, v in (ONE | SEVERAL).items()}
@@ -113,7 +118,7 @@ def _keys(documents: DataFrame, key: str, text: str, work: Workspace) -> DataFra
     """
     own = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("own"), F.col("text")).alias("b"))
     formed = _texts(documents, key, text).select("id", own.alias("own"), unify(F.col("text")).alias("form"))
-    changes = F.col("form").rlike(_composable())
+    changes = ~_ascii(F.col("form")) & F.col("form").rlike(_composable())
     split = formed.select("id", "own", F.when(changes, F.col("form")).alias("form"), F.when(~changes, F.xxhash64("form")).alias("plain"))
     looks = F.coalesce("plain", F.xxhash64(_composed("form")))
     return work.save(split.select("id", "own", looks.alias("looks")), "keys")
