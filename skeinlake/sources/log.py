@@ -258,7 +258,10 @@ def prune_snapshots(spark: SparkSession, folder: str, most: int) -> list[str]:
 
 
 def listing(spark: SparkSession, root: str, recursive: bool, globs: list[str]) -> DataFrame:
-    """path (relative), size, mtimeMs of the regular files under a folder; contents aren't read."""
+    """path (relative), size, mtimeMs of the regular files under a folder; contents aren't read.
+
+    Empty files are missing, as Spark's file source leaves them out.
+    """
     from skeinlake.functions.scalars import excluded
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")

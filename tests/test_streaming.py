@@ -93,3 +93,20 @@ def test_digests_of_files(spark, tmp_path):
     (tmp_path / "f" / "x.bin").write_bytes(content)
     got = log.digests(spark, str(tmp_path / "f")).head()
     assert (got["sha256"], got["head"]) == (hashlib.sha256(content).hexdigest(), hashlib.sha256(content[:65536]).hexdigest())
+
+
+def test_contents_are_stored_once(spark, tmp_path):
+    import hashlib
+
+    from skeinlake.sources.vault import store
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    contents = {"a.bin": b"one", "deep/b.bin": b"two" * 1000, "deep/same.bin": b"one", "third": b"3"}
+    for name, content in contents.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    vault = tmp_path / "vault"
+    rows = store(spark, str(tmp_path / "in"), str(vault)).collect()
+    assert {r["path"].rpartition("/in/")[2]: r["sha256"] for r in rows} == {n: hashlib.sha256(c).hexdigest() for n, c in contents.items()}
+    held = {p for p in vault.rglob("*") if p.is_file()}
+    assert len(held) == 3 and all(hashlib.sha256(p.read_bytes()).hexdigest() == p.name and p.parent.name == p.name[2:4] for p in held)
+    assert not any(r["stored"] for r in store(spark, str(tmp_path / "in"), str(vault)).collect())
