@@ -261,6 +261,8 @@ class HistoryIndex:
     def recall(self) -> DataFrame:
         """segment, family, part, codes, beam, recall of each shard, as measured against exhaustive search when it was built."""
         held = [s for s in self.manifest().segments if s.parts]
+        if not held:
+            return self.spark.createDataFrame([], "segment int, family int, part int, codes bigint, beam int, recall double")
         return self._shards(held).select(*KEY, (F.length("codes") / 8).cast("bigint").alias("codes"), "beam", "recall")
 
     def matches(self) -> DataFrame:
