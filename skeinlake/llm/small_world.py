@@ -108,7 +108,7 @@ def _link(links: np.ndarray, counts: np.ndarray, codes: np.ndarray, source: np.n
                 links[t, LINKS + worst] = s
 
 
-def build(codes: np.ndarray, radius: int, target_recall: float = 1.0, sample: int = 512) -> Graph:
+def build(codes: np.ndarray, radius: int, target_recall: float = 1.0, sample: int = 1024) -> Graph:
     """A graph of distinct codes; its beam is tuned on queries made from ``sample`` of them."""
     codes = np.asarray(codes, dtype=np.uint64)
     n = len(codes)
@@ -170,7 +170,7 @@ def _repair(graph: Graph, rounds: int = 8) -> None:
 
 
 def _tune(graph: Graph, radius: int, target_recall: float, sample: int) -> tuple[int, float]:
-    """The narrowest beam, doubled from twice the build's, that finds what an exhaustive search finds, and the part it finds."""
+    """Half as wide again as the narrowest beam that finds what an exhaustive search finds, and the part that one found."""
     n = len(graph.codes)
     rng = np.random.default_rng(n)
     chosen = rng.choice(n, size=min(n, sample), replace=False)
@@ -178,12 +178,12 @@ def _tune(graph: Graph, radius: int, target_recall: float, sample: int) -> tuple
     for i in range(radius):
         queries ^= np.where(rng.random(len(queries)) < 0.75, np.uint64(1) << rng.integers(0, 64, len(queries)).astype(np.uint64), np.uint64(0))
     truth = {(int(i), int(j)) for i, j in zip(*np.nonzero(distance(queries[:, None], graph.codes[None, :]) <= radius))}
-    beam = 2 * BUILD_BEAM
+    beam = BUILD_BEAM // 2
     while True:
         got = {(int(i), int(j)) for i, j in zip(*search(graph, queries, radius, beam))}
         if beam >= n or len(got) >= target_recall * len(truth):
-            return beam, len(got) / max(1, len(truth))
-        beam *= 2
+            return beam * 3 // 2, len(got) / max(1, len(truth))
+        beam = beam * 3 // 2
 
 
 def search(graph: Graph, queries: np.ndarray, radius: int, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
