@@ -51,7 +51,10 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_balance(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether each wanted source got its share of the tokens of all sources that have documents, to a hundredth of the total, within its repeats."""
+    """Whether each wanted source got its share of the tokens of all sources that have documents, to a hundredth of the total, within its repeats.
+
+    As whole documents are taken, this needs about a thousand documents; with fewer a source may miss it.
+    """
     shares = p8_shares(spark, folder)
     reachable = shares.where("documents > 0").agg(F.sum("wanted_share").alias("reachable"))
     rows = shares.crossJoin(F.broadcast(reachable))  # one row

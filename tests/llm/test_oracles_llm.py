@@ -8,5 +8,7 @@ from skeinlake.llm import queries
 
 @pytest.mark.parametrize("name", sorted(set(queries.ORACLES) - {"p2_found"}))
 def test_query_equals_sql(spark, name):
-    rows, extra, missing = harness.compare(spark, harness.FOLDER, queries.QUERIES[name], queries.ORACLES[name])
+    # With a hundred documents, whole documents can't meet shares to a hundredth.
+    folder = "/root/testdata/sf0.01" if name == "p8_balance" else harness.FOLDER
+    rows, extra, missing = harness.compare(spark, folder, queries.QUERIES[name], queries.ORACLES[name])
     assert rows and not extra and not missing
