@@ -1,20 +1,17 @@
 """Checking each new batch for duplicates against everything accepted before.
 
 The accepted media are kept in segments, one for each batch: a table of digests in hash buckets
-and shards of a navigable small-world graph over the perceptual codes. A new batch is joined with
-the digest buckets it touches and searched in the graph shards, with the beam that each shard tuned
-against exhaustive search; what comes back is reranked by the exact distance. What the history
-doesn't match gets a graph of its own, in which rounds settle what the batch repeats of itself.
-This graph, with the codes that were accepted marked, becomes the batch's segment; once ``fan_in``
-segments of one level exist, they are compacted into one of the next level, so that the number of
-segments grows with the logarithm of the number of batches.
-
-A segment of more than ``capacity`` codes has several shards. Up to ``radius + 1`` of them, a
-search visits all. Beyond, codes are placed once for each of ``radius + 1`` slices of their bits,
-in the shard that the slice's value hashes to: two codes within the radius are equal in one slice
-at least, so a search visits ``radius + 1`` shards however many there are and misses nothing.
-Shards that a frequent slice value overfills are split, and many queries of one shard are searched
-in blocks.
+and shards of the perceptual codes. A new batch is joined with the digest buckets it touches and
+searched in the shards by exact distance. What the history doesn't match gets shards of its own,
+in which rounds settle what the batch repeats of itself. What is accepted becomes the batch's
+segment; once ``fan_in`` segments of one level exist, they are compacted into one of the next
+level, so that the number of segments grows with the logarithm of the number of batches.
+
+Codes are placed once for each of ``radius + 1`` slices of their bits, in the shard of about
+``capacity`` codes that the slice's value hashes to: two codes within the radius are equal in one
+slice at least, so a search visits ``radius + 1`` shards of a segment however many there are,
+compares only the codes that are equal in the slice, and misses nothing. Shards that a frequent
+slice value overfills are split, and many queries of one shard are searched in blocks.
 
 A manifest names the segments and the batches they hold; publishing the next one is the commit, so
 a batch is added whole or not at all, and any later session opens the index where it was left.
@@ -29,6 +26,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,21 +34,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlake.functions.text import strip
-from skeinlake.llm import small_world
+from skeinlake.llm import slices, small_batch
 from skeinlake.plans.sizing import power_of_two
 from skeinlake.plans.staging import Workspace, delete, list_names, publish_text, read_text
 
-SHARD = "segment int, family int, part int, codes binary, links binary, rest binary, beam int, recall double, owners array<string>"
+SHARD = "segment int, family int, part int, codes binary, owners binary"
 SHARD_COLUMNS = [c.split()[0] for c in SHARD.split(", ")]
 KEY = ["segment", "family", "part"]
 ACCEPTED = "node string, sha string, code long, bucket int"
 MATCHES = "batch int, sha string, code long, accepted string, kind string"
-#: Leads the owner of a code that is accepted while a batch is being decided; sorts before any node.
-KEPT = "!"
+#: Taken from the rank of a signature that is accepted while a batch is being decided, so that it comes before any other.
+KEPT = 1 << 62
 #: Accepted media per digest bucket of a segment, and the most buckets.
 PER_BUCKET, MOST_BUCKETS = 1_000_000, 1 << 16
-#: Bytes that a code takes in a shard, roughly, and of shards that are sent to all executors rather than joined.
-CODE_BYTES, SENT_BYTES = 256, 32 << 20
+#: Bytes that a code takes in a shard, and of shards that are sent to all executors rather than joined.
+CODE_BYTES, SENT_BYTES = 8, 32 << 20
+#: Signatures of a batch that one task decides; larger batches are decided in rounds of joins.
+SMALL_BATCH = 1 << 17
+#: Pairs found that are handed on at once.
+FOUND = 1 << 20
 
 
 def media_signatures(media: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -76,10 +78,7 @@ def _buckets(accepted: int) -> int:
 
 @dataclass(frozen=True)
 class Layout:
-    """Where the codes of a segment lie: in ``parts`` shards each for ``families`` slices of their bits.
-
-    One family places codes by their whole value, and queries go to all its shards.
-    """
+    """Where the codes of a segment lie: in ``parts`` shards for each of ``families`` slices of their bits."""
 
     segment: int
     families: int
@@ -87,120 +86,93 @@ class Layout:
 
     @classmethod
     def of(cls, segment: int, count: int, capacity: int, radius: int) -> Layout:
-        parts = max(1, math.ceil(count / capacity))
-        return cls(segment, 1 if parts <= radius + 1 else radius + 1, parts)
+        return cls(segment, radius + 1, max(1, math.ceil(count / capacity)))
 
     def _part(self, code: Column, family: int) -> Column:
-        if self.families == 1:
-            return F.pmod(F.xxhash64(code), F.lit(self.parts)).cast("int")
-        cuts = [64 * i // self.families for i in range(self.families + 1)]
-        low, high = cuts[family], cuts[family + 1]
+        low, high = slices.cuts(self.families)[family : family + 2]
         piece = F.shiftrightunsigned(F.shiftleft(code, 64 - high), 64 - high + low)
         return F.pmod(F.xxhash64(piece, F.lit(family)), F.lit(self.parts)).cast("int")
 
-    def _at(self, family: Column, part: Column) -> Column:
-        return F.struct(F.lit(self.segment).alias("segment"), family.cast("int").alias("family"), part.cast("int").alias("part"))
-
     def placed(self, code: Column) -> Column:
-        """Array of the shards that hold a code."""
-        return F.array(*[self._at(F.lit(f), self._part(code, f)) for f in range(self.families)])
-
-    def visited(self, code: Column) -> Column:
-        """Array of the shards that a search for a code visits."""
-        if self.families > 1:
-            return self.placed(code)
-        return F.transform(F.sequence(F.lit(0), F.lit(self.parts - 1)), lambda p: self._at(F.lit(0), p))
-
-
-def _row(key: tuple, graph: small_world.Graph, owners) -> pd.DataFrame:
-    return pd.DataFrame(
-        {
-            "segment": [key[0]], "family": [key[1]], "part": [key[2]], "codes": [graph.codes.astype("<u8").tobytes()], "links": [graph.pack()],
-            "rest": [graph.rest.astype("<i8").tobytes()], "beam": [graph.beam], "recall": [graph.recall], "owners": [owners],
-        }
-    )
-
-
-def _codes(shard) -> np.ndarray:
-    return np.frombuffer(shard.codes, dtype="<u8")
-
+        """Array of the shards that hold a code, and that a search for it visits."""
+        at = lambda f: F.struct(F.lit(self.segment).alias("segment"), F.lit(f).alias("family"), self._part(code, f).alias("part"))
+        return F.array(*[at(f) for f in range(self.families)])
 
-def _graph(shard) -> small_world.Graph:
-    return small_world.Graph.unpack(_codes(shard), shard.links, int(shard.beam), np.frombuffer(shard.rest, dtype="<i8"))
 
-
-def _build_shard(radius: int):
+def _build_shard(families: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("spread", kind="stable")
-        graph = small_world.build(rows["code"].to_numpy(dtype=np.int64).view(np.uint64), radius)
-        return _row(key, graph, rows["owner"].tolist())
+        codes = rows["code"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = slices.by_cell(codes, key[1], families)
+        owners = rows["owner"].to_numpy(dtype=np.int64)[order].astype("<i8").tobytes() if "owner" in rows else None
+        return pd.DataFrame({"segment": [key[0]], "family": [key[1]], "part": [key[2]], "codes": [codes[order].astype("<u8").tobytes()], "owners": [owners]})
 
     return run
 
 
-def build_segment(codes: DataFrame, layout: Layout, capacity: int, radius: int) -> DataFrame:
-    """Shards of at most about ``capacity`` of the distinct codes (columns code, owner)."""
-    placed = codes.select("code", "owner", F.inline(layout.placed(F.col("code"))), F.xxhash64("code", F.lit(1)).alias("spread"))
-    if layout.families == 1:
+def build_segment(codes: DataFrame, layout: Layout, capacity: int) -> DataFrame:
+    """Shards of at most about ``capacity`` of the distinct codes (columns code and, if they have any, owner)."""
+    placed = codes.select("*", F.inline(layout.placed(F.col("code"))))
+    if layout.parts == 1:
         placed = placed.withColumn("sub", F.lit(0))
     else:
         sizes = placed.groupBy(*KEY).agg(F.ceil(F.count("*") / F.lit(2 * capacity)).alias("subs"))
         placed = placed.join(sizes, KEY).withColumn("sub", F.pmod(F.xxhash64("code", F.lit(3)), F.col("subs")))
-    shards = max(1, layout.families * layout.parts)
-    spread = placed.repartition(min(4 * shards, 2000), *KEY, "sub")
-    return spread.groupBy(*KEY, "sub").applyInPandas(_build_shard(radius), SHARD).select(*SHARD_COLUMNS)
-
-
-def _search_rows(radius: int, nearest_owner: bool):
-    """Searches query blocks joined with shards; all owned hits, or the least owner of each query's hits."""
+    return placed.groupBy(*KEY, "sub").applyInPandas(_build_shard(layout.families), SHARD)
+
+
+def _search_rows(radius: int, families: dict[int, int], least_owner: bool):
+    """Searches query blocks joined with shards; all hits, or the least owner of the other codes that each query hits."""
+
+    def found(shard) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        asked = np.asarray(shard.asked, dtype=np.int64)
+        codes = np.frombuffer(shard.codes, dtype="<u8")
+        pairs = slices.near(asked.view(np.uint64), codes, int(shard.family), families[int(shard.segment)], radius)
+        if not least_owner:
+            for q, n in pairs:
+                yield asked[q], codes[n].view(np.int64)
+            return
+        owners, none = np.frombuffer(shard.owners, dtype="<i8"), np.iinfo(np.int64).max
+        least = np.full(len(asked), none)
+        for q, n in pairs:
+            other = asked[q] != codes[n].view(np.int64)
+            np.minimum.at(least, q[other], owners[n[other]])
+        q = np.flatnonzero(least < none)
+        yield asked[q], least[q]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            held, size = [], 0
             for shard in batch.itertuples(index=False):
-                asked = np.asarray(shard.asked, dtype=np.int64)
-                q, n = small_world.search(_graph(shard), asked.view(np.uint64), radius)
-                owners = np.asarray(shard.owners, dtype=object)
-                held = np.array([o is not None for o in owners], dtype=bool)
-                q, n = q[held[n]], n[held[n]]
-                found = pd.DataFrame({"code": asked[q], "hit": _codes(shard).view(np.int64)[n], "owner": owners[n]})
-                yield found.groupby("code", as_index=False, sort=False).agg({"hit": "first", "owner": "min"}) if nearest_owner and len(found) else found
+                for pair in found(shard):
+                    held.append(pair)
+                    size += len(pair[0])
+                    if size >= FOUND:
+                        yield pd.DataFrame({"code": np.concatenate([p[0] for p in held]), "hit": np.concatenate([p[1] for p in held])})
+                        held, size = [], 0
+            if size:
+                yield pd.DataFrame({"code": np.concatenate([p[0] for p in held]), "hit": np.concatenate([p[1] for p in held])})
 
     return run
 
 
-def search_shards(shards: DataFrame, layouts: list[Layout], held: int, queries: DataFrame, count: int, radius: int, nearest_owner: bool = False, block: int = 1024) -> DataFrame:
-    """code, hit, owner: owned codes of ``shards`` within ``radius`` of each of the about ``count`` distinct ``queries`` codes.
+def search_shards(shards: DataFrame, layouts: list[Layout], held: int, queries: DataFrame, count: int, radius: int, least_owner: bool = False, block: int = 16384) -> DataFrame:
+    """code, hit: the different codes of ``shards`` within ``radius`` of each of the about ``count`` distinct ``queries`` codes.
 
     Blocks of queries meet the shards they visit; the shards, which have ``held`` codes at most, are
     sent to the blocks if that is less than ``SENT_BYTES``, else both are joined by shard. With
-    ``nearest_owner``, one row for each query and shard with the least owner among the hits;
-    otherwise all, reranked by exact distance.
+    ``least_owner``, hit is the least owner of the other codes that a query hits in a shard, one
+    row for each query and shard in which it hits any.
     """
-    routed = queries.select("code", F.inline(F.flatten(F.array(*[layout.visited(F.col("code")) for layout in layouts]))))
-    if any(layout.families > 1 for layout in layouts):
+    routed = queries.select("code", F.inline(F.flatten(F.array(*[layout.placed(F.col("code")) for layout in layouts]))))
+    if count > block:
         sizes = routed.groupBy(*KEY).agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
-        routed = routed.join(sizes, KEY)
+        routed = routed.join(sizes, KEY).withColumn("block", F.pmod(F.xxhash64("code", F.lit(2)), F.col("blocks")))
     else:
-        routed = routed.withColumn("blocks", F.lit(max(1, math.ceil(count / block))))
-    routed = routed.withColumn("block", F.pmod(F.xxhash64("code", F.lit(2)), F.col("blocks")))
-    tasks = max(1, math.ceil(count / block)) * sum(layout.parts for layout in layouts)
-    blocks = routed.repartition(min(2 * tasks, 2000), *KEY, "block").groupBy(*KEY, "block").agg(F.collect_list("code").alias("asked"))
-    size = CODE_BYTES * held * max(layout.families for layout in layouts)
-    rows = blocks.join(F.broadcast(shards) if size <= SENT_BYTES else shards, KEY).select("asked", "codes", "links", "rest", "beam", "owners")
-    found = rows.mapInPandas(_search_rows(radius, nearest_owner), "code long, hit long, owner string")
-    return found if nearest_owner else found.where(F.bit_count(F.col("code").bitwiseXOR(F.col("hit"))) <= radius).distinct()
-
-
-def set_owners(shards: DataFrame, layout: Layout, owners: DataFrame) -> DataFrame:
-    """The shards of one segment with the owners of ``owners`` (code, owner) in place of theirs; other codes have none and only guide searches."""
-
-    def run(key: tuple, held: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        own = dict(zip(rows["code"].tolist(), rows["owner"]))
-        held["owners"] = [[own.get(c) for c in _codes(s).view(np.int64).tolist()] for s in held.itertuples(index=False)]
-        return held[SHARD_COLUMNS]
-
-    placed = owners.select("code", "owner", F.inline(layout.placed(F.col("code"))))
-    return shards.groupBy(*KEY).cogroup(placed.groupBy(*KEY)).applyInPandas(run, SHARD)
+        routed = routed.withColumn("block", F.lit(0))
+    blocks = routed.groupBy(*KEY, "block").agg(F.collect_list("code").alias("asked"))
+    size = (2 if least_owner else 1) * CODE_BYTES * held * (radius + 1)
+    rows = blocks.join(F.broadcast(shards) if size <= SENT_BYTES else shards, KEY).select("segment", "family", "asked", "codes", "owners")
+    return rows.mapInPandas(_search_rows(radius, {layout.segment: layout.families for layout in layouts}, least_owner), "code long, hit long")
 
 
 @dataclass
@@ -231,7 +203,7 @@ class Manifest:
 
 
 class HistoryIndex:
-    """The accepted media under ``root``: their digests, and their codes in graph shards."""
+    """The accepted media under ``root``: their digests, and their codes in shards by slices of their bits."""
 
     def __init__(self, spark: SparkSession, root: str, radius: int = 4, capacity: int = 8192, fan_in: int = 4):
         self.spark, self.root, self.radius, self.capacity, self.fan_in = spark, root, radius, capacity, fan_in
@@ -259,11 +231,11 @@ class HistoryIndex:
         return self.spark.read.schema(ACCEPTED.rpartition(", ")[0]).parquet(*paths)
 
     def recall(self) -> DataFrame:
-        """segment, family, part, codes, beam, recall of each shard, as measured against exhaustive search when it was built."""
+        """segment, family, part, codes, recall of each shard. Codes within the radius are equal in a slice, and those are all compared: nothing is missed."""
         held = [s for s in self.manifest().segments if s.parts]
         if not held:
-            return self.spark.createDataFrame([], "segment int, family int, part int, codes bigint, beam int, recall double")
-        return self._shards(held).select(*KEY, (F.length("codes") / 8).cast("bigint").alias("codes"), "beam", "recall")
+            return self.spark.createDataFrame([], "segment int, family int, part int, codes bigint, recall double")
+        return self._shards(held).select(*KEY, (F.length("codes") / 8).cast("bigint").alias("codes"), F.lit(1.0).alias("recall"))
 
     def matches(self) -> DataFrame:
         """batch, sha, code, accepted, kind: what the signatures of each batch repeat."""
@@ -291,29 +263,33 @@ class HistoryIndex:
             F.count("*").alias("signatures"), F.count("code").alias("codes"), F.collect_set(F.when(F.col("sha").isNotNull(), slot % most)).alias("touched")
         ).head()
         codes = signatures.where("code is not null").select("code").distinct()
-        found, new = [], signatures
+        found, known = [], None
         if before.segments and n["signatures"]:
             matched = self._lookup(signatures, codes, n["codes"], before.segments, n["touched"])
             self._save(matched, batch, f"{attempt}/matches-history")
             found.append(f"{attempt}/matches-history")
             known = self.spark.read.schema(MATCHES).parquet(found[0]).select(F.col("sha").alias("s"), F.col("code").alias("c")).distinct()
-            new = signatures.join(known, F.col("sha").eqNullSafe(F.col("s")) & F.col("code").eqNullSafe(F.col("c")), "left_anti")
-            new = self.work.save(new, f"{name}_new")
+        repeats = None if known is None else F.col("sha").eqNullSafe(F.col("s")) & F.col("code").eqNullSafe(F.col("c"))
 
         segment = Segment(before.next_segment, 0, n["codes"], n["signatures"], _buckets(n["signatures"]), attempt)
-        graph = layout = None
         if n["codes"]:
             layout = Layout.of(segment.segment, n["codes"], self.capacity, radius)
             segment.families, segment.parts = layout.families, layout.parts
-            owners = new.where("code is not null").groupBy("code").agg(F.min("node").alias("owner"))
-            graph = self.work.save(build_segment(owners, layout, self.capacity, radius), f"{name}_graph")
-        kept = self._decide(new, graph, layout, n["codes"], name)
+        if n["signatures"] <= SMALL_BATCH:
+            fresh = F.lit(True) if known is None else F.col("found").isNull()
+            asked = signatures if known is None else signatures.join(known.withColumn("found", F.lit(True)), repeats, "left")
+            asked = asked.select("node", "sha", F.coalesce("code", F.lit(0)).alias("code"), F.col("code").isNotNull().alias("coded"), fresh.alias("fresh"))
+            decided = self.work.save(asked.coalesce(1).mapInPandas(small_batch.decide(radius), small_batch.OUT), f"{name}_decided")
+            kept, own = decided.where("kind = 'kept'").select(F.col("accepted").alias("node"), "sha", "code"), decided.where("kind <> 'kept'")
+        else:
+            new = signatures if known is None else signatures.join(known, repeats, "left_anti")
+            # Numbered in the order of the nodes: ids increase within a sorted partition and from one to the next.
+            new = self.work.save(new.orderBy("node").withColumn("rank", F.monotonically_increasing_id()), f"{name}_new")
+            kept, own = self._decide(new, segment.layout(), n["codes"], name), None
         self._keep(kept, segment)
-        stored = self._accepted([segment])
-        if graph is not None:
-            owned = stored.where("code is not null").select("code", F.col("node").alias("owner"))
-            set_owners(graph, layout, owned).write.option("compression", "zstd").parquet(f"{attempt}/shards")
-        self._save(self._lookup(signatures, codes, n["codes"], [segment], None), batch, f"{attempt}/matches-own")
+        if segment.parts:
+            self._store(build_segment(kept.where("code is not null").select("code"), segment.layout(), self.capacity), segment)
+        self._save(own or self._lookup(signatures, codes, n["codes"], [segment], None), batch, f"{attempt}/matches-own")
         found.append(f"{attempt}/matches-own")
 
         after = Manifest(before.version + 1, before.next_segment + 1, [*before.batches, batch], [*before.segments, segment], before.matches | {str(batch): found})
@@ -335,46 +311,53 @@ class HistoryIndex:
         held = [s for s in segments if s.parts]
         if held and count:
             hits = search_shards(self._shards(held), [s.layout() for s in held], sum(s.codes for s in held), codes, count, self.radius)
-            near = signatures.join(hits.select("code", F.col("owner").alias("accepted")), "code")
+            owners = self._accepted(segments).where("code is not null").select(F.col("code").alias("hit"), F.col("sha").alias("other"), F.col("node").alias("accepted"))
+            # A pair that is equal by digest is exact only. An accepted signature is matched by its own copies.
+            near = signatures.join(hits.join(owners, "hit"), "code").where("sha is null or other is null or sha <> other")
             found = found.unionByName(near.select("sha", "code", "accepted", F.lit("near").alias("kind")))
-        # A pair that is equal by digest is exact only. An accepted signature is matched by its own copies.
-        return found.groupBy("sha", "code", "accepted").agg(F.min("kind").alias("kind"))
+        return found
+
+    def _store(self, shards: DataFrame, segment: Segment) -> None:
+        shards.write.option("compression", "zstd").parquet(f"{segment.folder}/shards")
 
     def _keep(self, kept: DataFrame, segment: Segment) -> None:
         bucket = F.pmod(F.xxhash64("sha"), F.lit(segment.buckets)).cast("int")
         kept.select("node", "sha", "code", bucket.alias("bucket")).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{segment.folder}/accepted")
 
-    def _decide(self, new: DataFrame, graph: DataFrame | None, layout: Layout | None, count: int, name: str) -> DataFrame:
+    def _decide(self, new: DataFrame, layout: Layout, count: int, name: str) -> DataFrame:
         """node, sha, code that a pass over ``new`` in node order accepts.
 
         In each round a signature is accepted if it comes first among the undecided ones it conflicts
         with, and rejected if it conflicts with an accepted one. Searches return the least owner of
-        the hits only, so what a round moves is one row a signature, however alike they are.
+        the hits only, so what a round moves is one row a signature, however alike they are. Codes
+        without another one nearby are searched for once; those accepted matter to the next round
+        only, which rejects all that conflict with them.
         """
-        state = new.select("sha", "code", "node", F.lit(None).cast("boolean").alias("kept"))
+        state = new.select("sha", "code", "node", "rank", F.lit(None).cast("boolean").alias("kept"), F.lit(True).alias("crowded"))
+        accepted: list[DataFrame] = []
         turn = 0
         while True:
             undecided = state.where("kept is null")
-            rank = F.when(F.col("kept"), F.concat(F.lit(KEPT), F.col("node"))).otherwise(F.col("node")).alias("owner")
-            running = state.where("kept is null or kept")
-            by_sha = running.where("sha is not null").groupBy("sha").agg(F.min(rank).alias("first"))
-            rivals = undecided.join(by_sha, "sha", "left")
-            if graph is not None:
-                if turn:
-                    graph_now = set_owners(graph, layout, running.where("code is not null").groupBy("code").agg(F.min(rank).alias("owner")))
-                else:
-                    graph_now = graph
-                asked = undecided.where("code is not null").select("code").distinct()
-                near = search_shards(graph_now, [layout], count, asked, count, self.radius, nearest_owner=True).groupBy("code").agg(F.min("owner").alias("near"))
-                rivals = rivals.join(near, "code", "left").withColumn("first", F.least("first", "near"))
-            rivals = self.work.save(rivals.select("sha", "code", "node", F.coalesce("first", "node").alias("first")), f"{name}_rivals{turn}")
-            leaders = rivals.where("first = node").select(F.col("node").alias("leader"))
+            running = state.where("kept is null or kept").withColumn("owner", F.when(F.col("kept"), F.col("rank") - KEPT).otherwise(F.col("rank")))
+            by_sha = running.where("sha is not null").groupBy("sha").agg(F.min("owner").alias("same"))
+            by_code = running.where("code is not null").groupBy("code").agg(F.min("owner").alias("owner"), F.max("crowded").alias("crowded"))
+            rivals = undecided.drop("crowded").join(by_sha, "sha", "left").join(by_code.select("code", "owner"), "code", "left")
+            if layout.parts:
+                shards = build_segment(by_code.where("crowded").select("code", "owner"), layout, self.capacity)
+                asked = undecided.where("code is not null and crowded").select("code").distinct()
+                near = search_shards(shards, [layout], count, asked, count, self.radius, least_owner=True).groupBy("code").agg(F.min("hit").alias("near"))
+                rivals = rivals.join(near, "code", "left")
+            else:
+                rivals = rivals.withColumn("near", F.lit(None).cast("bigint"))
+            rivals = rivals.select("sha", "code", "node", "rank", F.least("same", "owner", "near").alias("first"), F.col("near").isNotNull().alias("crowded"))
+            rivals = self.work.save(rivals, f"{name}_rivals{turn}")
+            leaders = rivals.where("first = rank").select(F.col("rank").alias("leader"))
             marked = rivals.join(leaders, F.col("first") == F.col("leader"), "left")
-            verdict = F.when(F.col("first") == F.col("node"), True).when(F.col("first").startswith(KEPT) | F.col("leader").isNotNull(), False)
-            decided = marked.select("sha", "code", "node", verdict.alias("kept")).unionByName(state.where("kept"))
-            state = self.work.save(decided, f"{name}_state{turn}")
+            verdict = F.when(F.col("first") == F.col("rank"), True).when((F.col("first") < 0) | F.col("leader").isNotNull(), False)
+            state = self.work.save(marked.select("sha", "code", "node", "rank", verdict.alias("kept"), "crowded"), f"{name}_state{turn}")
+            accepted.append(state.where("kept").select("node", "sha", "code"))
             if state.where("kept is null").isEmpty():
-                return state.where("kept").select("node", "sha", "code")
+                return reduce(DataFrame.unionByName, accepted)
             turn += 1
 
     def _compact(self, after: Manifest) -> list[Segment]:
@@ -395,8 +378,7 @@ class HistoryIndex:
             if n["codes"]:
                 layout = Layout.of(merged.segment, n["codes"], self.capacity, self.radius)
                 merged.families, merged.parts = layout.families, layout.parts
-                codes = accepted.where("code is not null").select("code", F.col("node").alias("owner"))
-                build_segment(codes, layout, self.capacity, self.radius).write.option("compression", "zstd").parquet(f"{folder}/shards")
+                self._store(build_segment(accepted.where("code is not null").select("code"), layout, self.capacity), merged)
             after.segments = [s for s in after.segments if s not in full] + [merged]
             after.next_segment += 1
             gone += full
